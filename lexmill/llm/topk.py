@@ -121,7 +121,21 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of ``embeddings`` for every vector whose id is divisible by 100."""
     vectors = whole_numbers(table(spark, sf_dir, "embeddings"))
     found = top_k(vectors, vectors.filter("id % 100 = 0"), 10)
-    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score", "depth")
-
-
-SQL = None
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM e q JOIN e c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+WHERE k <= 10
+"""
