@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,8 +42,15 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
+        del df, writer
+        self.tidy()
         return path
 
+    def tidy(self) -> None:
+        """Let Spark's cleaner drop the shuffle files of steps whose results are written."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def read(self, path: str, schema=None) -> DataFrame:
         reader = self.spark.read
         return (reader.schema(schema) if schema is not None else reader).parquet(path)
