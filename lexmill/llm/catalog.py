@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name: module
 MODULES = {
     "op3_url_filters": "url_filter",
+    "op6_jaccard_join": "jaccard_join",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_exact_topk": "topk",
 }
