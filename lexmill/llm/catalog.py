@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = {
     "op3_url_filters": "url_filter",
     "op6_jaccard_join": "jaccard_join",
+    "op8_decontamination": "decontaminate",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_exact_topk": "topk",
 }
