@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name: module
 MODULES = {
+    "op2_pattern_packing": "packing",
     "op3_url_filters": "url_filter",
     "op6_jaccard_join": "jaccard_join",
     "op8_decontamination": "decontaminate",
