@@ -8,6 +8,8 @@ from importlib import import_module
 MODULES = {
     "op2_pattern_packing": "packing",
     "op3_url_filters": "url_filter",
+    "op4_language_id": "language_id",
+    "op4_language_id_pages": "language_id",
     "op6_jaccard_join": "jaccard_join",
     "op8_decontamination": "decontaminate",
     "op9_suffix_dedup": "suffix_dedup",
