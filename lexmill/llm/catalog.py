@@ -11,6 +11,7 @@ MODULES = {
     "op4_language_id": "language_id",
     "op4_language_id_pages": "language_id",
     "op6_jaccard_join": "jaccard_join",
+    "op7_backoff_lm": "backoff_lm",
     "op8_decontamination": "decontaminate",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_exact_topk": "topk",
