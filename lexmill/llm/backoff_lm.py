@@ -138,7 +138,7 @@ def _ask(parts: int):
     return run
 
 
-def _count(key, asked: pd.DataFrame) -> pd.DataFrame:
+def _count(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
     """One partition of hashes: total counts, sent back to each split that asked."""
     kind = int(key[1])
     grams = [np.frombuffer(x, np.uint64) for x in asked["grams"]]
