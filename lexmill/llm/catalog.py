@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name: module
 MODULES = {
+    "op1_chat_formatting": "chat",
     "op2_pattern_packing": "packing",
     "op3_url_filters": "url_filter",
     "op4_language_id": "language_id",
