@@ -11,6 +11,7 @@ MODULES = {
     "op3_url_filters": "url_filter",
     "op4_language_id": "language_id",
     "op4_language_id_pages": "language_id",
+    "op5_quality": "quality",
     "op6_jaccard_join": "jaccard_join",
     "op7_backoff_lm": "backoff_lm",
     "op8_decontamination": "decontaminate",
