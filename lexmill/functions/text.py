@@ -98,7 +98,7 @@ def iso_date(text: Column) -> Column:
     month = F.lit(None).cast("int")
     for i, full in enumerate(MONTHS, 1):
         month = F.when((F.length(name) >= 3) & F.lit(full).startswith(F.lower(name)), i).otherwise(month)
-    good = month.isNotNull() & day.cast("int").between(1, 31)
+    good = month.isNotNull() & F.coalesce(day.try_cast("int").between(1, 31), F.lit(False))
     return F.when(good, F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")))
 
 

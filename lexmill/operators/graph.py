@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexmill.session import Scratch
@@ -14,9 +14,6 @@ MOST_HOPS = 3
 TIERS = {"apex": 1.00, "appellate": 0.80, "specialist_appellate": 0.65, "high_court": 0.50, "specialist_high": 0.45, "tribunal": 0.20, "lower": 0.10}
 FLOOR = 0.10
 
-#: Iterations between written copies of the scores.
-WRITE_EVERY = 2
-
 
 def depth_factor(paragraphs: Column) -> Column:
     """1 for one citing paragraph, a quarter more for each further one, 2 at most (NUM-1)."""
@@ -49,9 +46,9 @@ def weighted_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """id, score of every node, the highest score 1 (GRA-2).
 
-    edges: src, dst, weight. Dangling mass spreads evenly. An iteration is one join with the edges, one partial
-    aggregate and one left join; the dangling sum is a one-row subplan of the same job. Every ``WRITE_EVERY``
-    iterations the scores are written and read back, which bounds the lineage without local checkpoints.
+    edges: src, dst, weight. Dangling mass spreads evenly. An iteration is one job: a join with the edges, a partial
+    aggregate by target, a left join with the nodes, and a written table, which cuts the lineage without local
+    checkpoints. The dangling sum of the next iteration is observed while the scores are written.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "pagerank")
@@ -60,17 +57,21 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
         return nodes.select("id", F.lit(0.0).alias("score"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out_weight"))
     shares = scratch.table(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out_weight")).alias("share")), "shares")
-    dangling = scratch.table(nodes.select("id").join(out.select(F.col("src").alias("id"), F.lit(False).alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling")), "nodes")
-    scores = dangling.select("id", "dangling", F.lit(1.0 / n).alias("score"))
-    for i in range(1, iterations + 1):
-        moved = shares.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        spread = scores.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("loose"))  # one row
-        joined = dangling.join(moved.withColumnRenamed("dst", "id"), "id", "left").crossJoin(F.broadcast(spread))
-        scores = joined.select("id", "dangling", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("score"))
-        if i % WRITE_EVERY == 0 or i == iterations:
-            scores = scratch.table(scores, f"scores{i}")
-    top = scores.agg(F.max("score").alias("top"))
-    return scores.crossJoin(F.broadcast(top)).select("id", (F.col("score") / F.col("top")).alias("score"))
+    known = out.select(F.col("src").alias("id"), F.lit(False).alias("d"))
+    scores = nodes.select("id").join(known, "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("score"))
+    every = None
+    for i in range(iterations + 1):
+        seen = Observation()
+        loose = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("loose")
+        path = scratch.write(scores.observe(seen, loose, F.max("score").alias("top")), f"scores{i}", tidy=i % 10 == 9)
+        scores = scratch.read(path, scores.schema)
+        every = every if every is not None else scores.select("id", "dangling")
+        if i == iterations:
+            break
+        spread = (1 - damping) / n + damping * seen.get["loose"] / n
+        got = shares.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+        scores = every.join(got, "id", "left").select("id", "dangling", (F.lit(spread) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"))
+    return scores.select("id", (F.col("score") / F.lit(seen.get["top"])).alias("score"))
 
 
 def neighbourhood(edges: DataFrame, centre, hops: int = 1) -> DataFrame:

@@ -90,19 +90,19 @@ def key_owner_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.key_owners(views.claims(spark, sf_dir))
 
 
-@_query(with_views("linked", "SELECT from_doc, from_para, citation_key, to_doc FROM linked"))
+@_query(with_views("linked", "SELECT from_doc, from_para, citation_key, coalesce(to_doc, -1) AS to_doc FROM linked"))
 def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every citation with its target (JN-3)."""
-    return _linked(spark, sf_dir).select("from_doc", "from_para", "citation_key", "to_doc")
+    return _linked(spark, sf_dir).select("from_doc", "from_para", "citation_key", F.coalesce("to_doc", F.lit(-1)).alias("to_doc"))
 
 
 @_query(with_views("c cl", """, early AS (SELECT citation_key, min(doc_id) AS old_doc FROM cl WHERE doc_id > 100 GROUP BY 1), late AS (SELECT citation_key, min(doc_id) AS to_doc FROM cl GROUP BY 1)
-    SELECT from_doc, from_para, citation_key, to_doc, old_doc IS DISTINCT FROM to_doc AS changed FROM c LEFT JOIN early USING (citation_key) LEFT JOIN late USING (citation_key)"""))
+    SELECT from_doc, from_para, citation_key, coalesce(to_doc, -1) AS to_doc, old_doc IS DISTINCT FROM to_doc AS changed FROM c LEFT JOIN early USING (citation_key) LEFT JOIN late USING (citation_key)"""))
 def relink_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What relinking changes once documents up to 100 have arrived (SNK-5, JN-4, ST-2)."""
     claims = views.claims(spark, sf_dir)
     before = corpus.link(views.citations(spark, sf_dir), corpus.key_owners(claims.filter("doc_id > 100")))
-    return corpus.relink(before, corpus.key_owners(claims)).select("from_doc", "from_para", "citation_key", "to_doc", "changed")
+    return corpus.relink(before, corpus.key_owners(claims)).select("from_doc", "from_para", "citation_key", F.coalesce("to_doc", F.lit(-1)).alias("to_doc"), "changed")
 
 
 @_query(with_views("linked", """SELECT from_doc, to_doc, greatest(count(DISTINCT coalesce(from_para, -1)), 1) AS paragraph_count
@@ -150,11 +150,11 @@ def cited_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE k % 4 WHEN 0 THEN 'neutral' WHEN 3 THEN 'caseno' ELSE 'reported' END AS kind,
     CASE k % 4 WHEN 0 THEN 'neutral:' || year || ':ZACC:' || (1 + c % 50) WHEN 1 THEN 'reported:' || year || ':' || (1 + k % 6) || ':SA:' || (1 + c % 900)
       WHEN 2 THEN 'reported:' || year || '::AD:' || (1 + c % 500) ELSE 'caseno:CCT:' || (1 + c % 300) || '/' || printf('%02d', k % 100) END AS citation_key,
-    (CASE k % 4 WHEN 0 THEN 1 + k % 90 END)::INTEGER AS paragraph FROM ct"""))
+    (CASE k % 4 WHEN 0 THEN 1 + k % 90 ELSE 0 END)::INTEGER AS paragraph FROM ct"""))
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of prose with key and paragraph (CT-0 to CT-8)."""
     found = cite.extract_citations(views.citation_texts(spark, sf_dir))
-    return found.select("id", "idx", "kind", "citation_key", F.col("pinpoint.start").alias("paragraph"))
+    return found.select("id", "idx", "kind", "citation_key", F.coalesce("pinpoint.start", F.lit(0)).alias("paragraph"))
 
 
 @_query(with_views("ct", """, keys AS (SELECT id, CASE k % 4 WHEN 0 THEN 'neutral:' || year || ':ZACC:' || (1 + c % 50) WHEN 1 THEN 'reported:' || year || ':' || (1 + k % 6) || ':SA:' || (1 + c % 900)
@@ -318,7 +318,7 @@ def vector_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(with_views("j", _BM25 + f""", {_SIM}, kw AS (SELECT id AS chunk_id, row_number() OVER (ORDER BY bm25, id) AS kr FROM s QUALIFY kr <= 64), vc AS (SELECT chunk_id, row_number() OVER (ORDER BY s DESC, chunk_id) AS vr FROM sim QUALIFY vr <= 64)
-    SELECT chunk_id, kr AS keyword_rank, vr AS vector_rank, round(coalesce(1.0 / (60 + kr), 0) + coalesce(1.0 / (60 + vr), 0), 9) AS score
+    SELECT chunk_id, coalesce(kr, 0) AS keyword_rank, coalesce(vr, 0) AS vector_rank, round(coalesce(1.0 / (60 + kr), 0) + coalesce(1.0 / (60 + vr), 0), 9) AS score
     FROM kw FULL JOIN vc USING (chunk_id) ORDER BY coalesce(1.0 / (60 + kr), 0) + coalesce(1.0 / (60 + vr), 0) DESC, chunk_id LIMIT 5"""))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and vector lists fused by reciprocal ranks (VEC-9, WIN-1 to WIN-3)."""
@@ -327,7 +327,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyword = search.bm25(views.judgments(spark, sf_dir), "the with").select(F.col("id").alias("chunk_id"), "bm25").orderBy("bm25", "chunk_id").limit(k)
     vector = retrieval.cosine_top(rows, query, k)
     fused = retrieval.fuse(retrieval.ranks(keyword, "bm25", "chunk_id"), retrieval.ranks(vector, F.desc("similarity"), "chunk_id"), 5)
-    return fused.select("chunk_id", "keyword_rank", "vector_rank", F.round("score", 9).alias("score"))
+    return fused.select("chunk_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("keyword_rank", "vector_rank")], F.round("score", 9).alias("score"))
 
 
 @_query(with_views("p", """, t AS (SELECT doc_id, para_index, sha256(unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS h FROM p)

@@ -35,7 +35,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def write(self, df: DataFrame, tag: str, partition_by: list[str] | None = None) -> str:
+    def write(self, df: DataFrame, tag: str, partition_by: list[str] | None = None, tidy: bool = True) -> str:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{tag}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
@@ -43,7 +43,8 @@ class Scratch:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
         del df, writer
-        self.tidy()
+        if tidy:
+            self.tidy()
         return path
 
     def tidy(self) -> None:
