@@ -13,8 +13,8 @@ The automaton grows with the corpus and is never whole in one place. Documents b
 file, or a hash where there is no file); a split needs only the states and arcs that its own texts can meet. So each
 split sends its distinct words and bigrams (with counts from training texts) to the partitions of their hashes,
 counts are summed there, and what each split asked for comes back as its part of the automaton. Words and bigrams
-travel as packed runs of sorted hashes. A bigram that occurs once in all is only sent back where the split cannot
-know it from its own training texts.
+travel as packed runs of sorted hashes (their differences, byte by byte); counts come back alone, in the order of
+the hashes, which the split finds again from its texts.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from lexmill.session import Scratch, table
 #: Pseudo-count of the base model; factor and power of a state's weight for its failure arc.
 BASE_PRIOR, STATE_FACTOR, STATE_POWER = 0.1, 2.0, 0.8
 #: Bytes of text of a split and of a partition of hashes, about.
-SPLIT_BYTES, PART_BYTES, LEAST_PARTS = 16 << 20, 8 << 20, 16
+SPLIT_BYTES, PART_BYTES, LEAST_PARTS = 16 << 20, 16 << 20, 16
 END = np.uint64(0x1BD11BDAA9FC1A22)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct n-grams that a task gathers for a split before it sends them.
@@ -43,7 +43,7 @@ GATHERED = 6_000_000
 WORD, PAIR, TOTALS = 0, 1, 2
 _RUN = "split long, part int, kind int, grams binary, counts binary"
 _RUN_ARROW = pa.schema([("split", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-_BACK = "split long, kind int, grams binary, counts binary"
+_BACK = "split long, kind int, part int, counts binary"
 
 
 def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -73,6 +73,27 @@ def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes % np.uint64(parts)).astype(np.int64)
 
 
+def pack_grams(grams: np.ndarray) -> bytes:
+    """Ascending hashes as the byte planes of their differences: high planes are nearly empty and compress."""
+    steps = np.diff(grams, prepend=np.uint64(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_grams(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as single bytes, followed by 8 bytes for each that is 255 or more."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(raw, "<u8", offset=n).astype(np.int64)
+    return counts
+
+
 class _Gather:
     """Distinct n-grams of one kind with counts, merged now and then."""
 
@@ -107,7 +128,9 @@ def _send(split: int, kind: int, own: _Gather, parts: int) -> pa.RecordBatch:
     grams, counts, part = own.grams[order], own.counts[order], part[order]
     cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(part))
-    rows = [(split, int(part[a]), kind, grams[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts, ends, strict=True)]
+    rows = [(split, int(part[a]), kind, pack_grams(grams[a:b]), pack_counts(counts[a:b])) for a, b in zip(cuts, ends, strict=True)]
+    if not rows:
+        return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _RUN_ARROW], schema=_RUN_ARROW)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUN_ARROW, strict=True)], schema=_RUN_ARROW)
 
 
@@ -139,25 +162,21 @@ def _ask(parts: int):
 
 
 def _count(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
-    """One partition of hashes: total counts, sent back to each split that asked."""
-    kind = int(key[1])
-    grams = [np.frombuffer(x, np.uint64) for x in asked["grams"]]
-    counts = [np.frombuffer(x, np.uint32).astype(np.int64) for x in asked["counts"]]
+    """One partition of hashes: total counts, sent back to each split for the hashes that it asked for, in order."""
+    part, kind = int(key[0]), int(key[1])
+    grams = [unpack_grams(x) for x in asked["grams"]]
+    counts = [unpack_counts(x, len(g)) for x, g in zip(asked["counts"], grams, strict=True)]
     names, total = summed(np.concatenate(grams), np.concatenate(counts))
-    names, total = names[total > 0], total[total > 0]
+    by_split: dict[int, list[np.ndarray]] = defaultdict(list)
+    for split, own in zip(asked["split"], grams, strict=True):
+        by_split[int(split)].append(own)
     rows = []
-    for split, own, mine in zip(asked["split"], grams, counts, strict=True):
-        if not len(names):
-            break
-        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-        hit = names[at] == own
-        if kind == PAIR:
-            hit &= (total[at] > 1) | (mine == 0)
-        if hit.any():
-            rows.append((int(split), kind, own[hit].tobytes(), total[at[hit]].astype(np.uint32).tobytes()))
+    for split, runs in by_split.items():
+        own = runs[0] if len(runs) == 1 else np.unique(np.concatenate(runs))
+        rows.append((split, kind, part, pack_counts(total[np.searchsorted(names, own)])))
     if kind == WORD:
-        rows.append((0, TOTALS, b"", np.array([len(names), total.sum()], np.int64).tobytes()))
-    return pd.DataFrame(rows, columns=["split", "kind", "grams", "counts"])
+        rows.append((0, TOTALS, part, np.array([(total > 0).sum(), total.sum()], np.int64).tobytes()))
+    return pd.DataFrame(rows, columns=["split", "kind", "part", "counts"])
 
 
 class Automaton:
@@ -179,8 +198,8 @@ class Automaton:
         at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
         return np.where(names[at] == keys, counts[at], 0)
 
-    def read(self, tok: np.ndarray, at: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words' counts, log10 base, log10 arc) at every token; ``once`` holds bigrams of the split's own training texts."""
+    def read(self, tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words' counts, log10 base, log10 arc) at every token."""
         pair, left = _pairs(tok, at)
         c = self._find(self.words, tok)
         base = (c + BASE_PRIOR) / (self.n + BASE_PRIOR * (self.v + 1))
@@ -189,31 +208,36 @@ class Automaton:
         first = self._find(self.words, np.array([END], np.uint64))[0]
         state[at[:-1]] = first
         arc = self._find(self.pairs, pair)
-        known = self._find((once, np.ones(len(once), np.int64)), pair)
-        arc = np.where(arc == 0, known, arc)
         weight = np.where(state > 0, 1.0 + STATE_FACTOR * state.astype(float) ** STATE_POWER, 1.0)
         return c, np.log10(base), np.log10((arc + weight * base) / (state + weight))
 
 
-def _score(n: int, v: int):
+def _score(n: int, v: int, parts: int):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        def side(kind: int) -> tuple[np.ndarray, np.ndarray]:
-            own = back.filter(pa.compute.equal(back.column("kind"), kind))
-            grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in own.column("grams")]
-            counts = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in own.column("counts")]
-            return (np.concatenate(grams), np.concatenate(counts)) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        def side(kind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The split's distinct hashes in the order in which they were asked for, with the counts that came back."""
+            own = back.filter(pa.compute.equal(back.column("kind"), kind)).sort_by("part")
+            part = _part(grams, parts)
+            grams = grams[np.argsort(part, kind="stable")]
+            sizes = np.bincount(part, minlength=parts)
+            counts = [unpack_counts(c.as_py(), sizes[p]) for p, c in zip(own.column("part").to_pylist(), own.column("counts"), strict=True)]
+            return grams, np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
-        automaton = Automaton(side(WORD), side(PAIR), n, v)
         train = docs.column("train").to_numpy()
-        once = []
-        for a, b, data, offsets in text_chunks(docs.column("text")):
+        own: dict[int, _Gather] = defaultdict(_Gather)
+        for _a, _b, data, offsets in text_chunks(docs.column("text")):
             tok, at = tokens(data, offsets)
-            once.append(np.unique(_pairs(tok, at)[0][np.repeat(train[a:b], np.diff(at))]))
-        once = np.unique(np.concatenate(once)) if once else np.zeros(0, np.uint64)
+            for kind, grams in ((WORD, tok), (PAIR, _pairs(tok, at)[0])):
+                grams = np.unique(grams)
+                own[kind].add(grams, np.ones(len(grams), np.int64))
+        for gather in own.values():
+            gather.merge()
+        automaton = Automaton(side(WORD, own[WORD].grams), side(PAIR, own[PAIR].grams), n, v)
+        own.clear()
         out = [np.zeros(docs.num_rows) for _ in range(4)]
         for a, b, data, offsets in text_chunks(docs.column("text")):
             tok, at = tokens(data, offsets)
-            c, base, arc = automaton.read(tok, at, once)
+            c, base, arc = automaton.read(tok, at)
             for o, values in zip(out, (np.ones(len(tok)), c > 0, base, arc), strict=True):
                 o[a:b] = np.add.reduceat(values.astype(float), at[:-1])
         columns = [docs.column("doc_id"), pa.array(~train), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(np.full(docs.num_rows, n)), pa.array(out[2]), pa.array(out[3])]
@@ -246,7 +270,7 @@ def score_texts(docs: DataFrame, train, text: str = "text", id_col: str = "doc_i
     v, n = (int(x) for x in (np.sum(totals, axis=0) if totals else (0, 0)))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     own = back.filter(F.col("kind") != TOTALS)
-    return docs.groupBy("split").cogroup(own.groupBy("split")).applyInArrow(_score(n, v), schema)
+    return docs.groupBy("split").cogroup(own.groupBy("split")).applyInArrow(_score(n, v, parts), schema)
 
 
 def _bytes(text: str) -> int:
