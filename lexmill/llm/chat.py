@@ -74,7 +74,7 @@ def _learn(turns: DataFrame, edges: DataFrame) -> dict[str, np.ndarray | dict[st
     for f, values in emit.items():
         total = sum(values.values(), np.zeros(n)) + PRIOR * (len(values) + 1)
         logs[f] = {v: np.log((c + PRIOR) / total) for v, c in values.items()} | {None: np.log(PRIOR / total)}
-    logs["marker"] = {r: np.where(np.arange(n) == i, np.log(0.97), np.log(0.01)) for r, i in at.items()} | {None: np.zeros(n)}
+    logs["marker"] = {r: np.where(np.arange(n) == i, np.log(0.998), np.log(0.001)) for r, i in at.items()} | {None: np.zeros(n)}
     start, move = np.full(n, PRIOR), np.full((n, n), PRIOR)
     for r in edges.collect():
         if r["a"] is None:
