@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import citations as cite
+from lexmill.functions import crawl
 from lexmill.functions import text as tx
-from lexmill.operators import attest, corpus, graph, retrieval, search
+from lexmill.operators import attest, corpus, graph, release, retrieval, search
 from lexmill.plans import views
 from lexmill.plans.views import with_views
 from lexmill.session import table
@@ -492,3 +493,78 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = views.graph_nodes(spark, sf_dir)
     scores = graph.pagerank(nodes, graph.weighted_edges(nodes, views.graph_edges(spark, sf_dir)))
     return scores.join(nodes, "id").orderBy(F.desc("score"), "id").limit(100)
+
+
+# --- crawl rules ---------------------------------------------------------------------------------------------------
+
+_SIGNALS = ["ai-input=no", "ai-input=no, search=yes", "use=reference search=no", "use=reference", "ai-train=no", "ai-input=yes, use=reference", "odd=1, ai-input=maybe", "AI-Input=NO, ai-input=yes"]
+_ELIGIBLE = ["citation-only", "search-only", "forbidden", "citation-only", "rag-permitted", "rag-permitted", "rag-permitted", "citation-only"]
+
+
+@_query(f"SELECT page_id, {_ELIGIBLE!r}[page_id % 8 + 1] AS eligibility FROM pages")
+def page_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page permits under a content signal (SC-25, FLT-16)."""
+    signal = F.element_at(F.array(*[F.lit(s) for s in _SIGNALS]), (F.col("page_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", crawl.eligibility(signal).alias("eligibility"))
+
+
+@_query(r"""WITH u AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+    SELECT page_id, host, path, CASE WHEN path LIKE '%.html' AND starts_with(path, '/') THEN false WHEN starts_with(path, '/en/1') THEN true WHEN starts_with(path, '/en') THEN false ELSE true END AS allowed FROM u""")
+def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under robots rules of their host: the longest fitting pattern decides (SC-24)."""
+    url = F.col("url")
+    paths = table(spark, sf_dir, "pages").select("page_id", tx.url_part(url, "host").alias("host"), tx.url_part(url, "path").alias("path"))
+    rules = paths.select("host").distinct().select("host", F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(a).alias("allow")) for p, a in (("/en", False), ("/en/1", True), ("/*.html$", False))])).alias("r"))
+    return crawl.allowed(paths, rules.select("host", "r.pattern", "r.allow"))
+
+
+# --- releases, upserts, projections --------------------------------------------------------------------------------
+
+
+@_query("""WITH i AS (SELECT DISTINCT sha256(text) AS hash, octet_length(encode(text)) AS size, min(doc_id) OVER (PARTITION BY text) AS d FROM documents)
+    SELECT hash, 'documents/' || hash AS path, size, CASE d % 4 WHEN 1 THEN 'missing' WHEN 2 THEN 'wrong_size' WHEN 3 THEN 'wrong_hash' ELSE 'ok' END AS status FROM i WHERE size > 1""")
+def release_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recomputed hashes and sizes of a release some of whose files are missing, cut or altered (REL-5)."""
+    docs = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("d")).filter(F.octet_length("text") > 1)
+    kind = F.col("d") % 4
+    altered = F.when(kind == 2, F.concat("text", F.lit("x"))).when(kind == 3, F.concat(F.lit("\u0001"), F.expr("substring(text, 2)"))).otherwise(F.col("text"))
+    # The altered first character is one byte as well: texts open with others only where their size differs too.
+    blobs = docs.filter(kind != 1).select(F.concat(F.lit("documents/"), F.sha2("text", 256)).alias("path"), F.when((kind == 3) & (F.octet_length(F.substring("text", 1, 1)) == 2), F.concat(F.lit("\u0001"), altered)).otherwise(altered).alias("text"))
+    return release.verify_files(release.file_index(docs), blobs)
+
+
+@_query("""SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last version of every key (SNK-1, SNK-2, SNK-4)."""
+    rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    return corpus.latest(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "event_type", "value", "event_id")
+
+
+@_query(with_views("linked j", """, b AS (SELECT to_doc AS id, count(DISTINCT from_doc) AS n FROM linked WHERE from_doc <> to_doc GROUP BY 1), o AS (SELECT from_doc AS id, count(*) AS n FROM linked GROUP BY 1)
+    SELECT j.id, court, region, authority, coalesce(b.n, 0) AS cited_by_count, coalesce(o.n, 0) AS cites_count FROM j LEFT JOIN b USING (id) LEFT JOIN o USING (id)"""))
+def case_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its counts (PRJ-3, JN-15)."""
+    linked = _linked(spark, sf_dir)
+    cited = corpus.cited_by_count(linked).withColumnRenamed("to_doc", "id")
+    cites = corpus.cites_count(linked).withColumnRenamed("from_doc", "id")
+    rows = views.judgments(spark, sf_dir).select("id", "court", "region", "authority").join(cited, "id", "left").join(cites, "id", "left")
+    return rows.select("id", "court", "region", "authority", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("cited_by_count", "cites_count")])
+
+
+@_query(with_views("a e", """, k AS (SELECT src % 97 AS f, dst % 41 AS t FROM e GROUP BY 1, 2) SELECT a.id, CASE WHEN a.from_doc > 90 THEN 'citing_judgment_not_held' WHEN a.to_doc > 38 THEN 'cited_judgment_not_held'
+    WHEN k.f IS NOT NULL THEN 'edge' ELSE 'no_edge_in_this_corpus' END AS support FROM a LEFT JOIN k ON k.f = a.from_doc AND k.t = a.to_doc"""))
+def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the graph holds of every claim's pair (JN-18)."""
+    claims = views.attestations(spark, sf_dir)
+    edges = views.graph_edges(spark, sf_dir).select((F.col("src") % 97).alias("from_doc"), (F.col("dst") % 41).alias("to_doc")).distinct()
+    held = claims.select(F.col("from_doc").alias("id")).filter("id <= 90").union(claims.select("to_doc").filter("to_doc <= 38")).distinct()
+    both = attest.mechanical_support(claims.filter("to_doc <= 38 or from_doc > 90"), edges, held)
+    gone = claims.filter("to_doc > 38 and from_doc <= 90").withColumn("support", F.lit("cited_judgment_not_held"))
+    return both.select("id", "support").union(gone.select("id", "support"))
+
+
+@_query(with_views("a", """SELECT count(*) AS examined, count(*) FILTER (id % 11 > 1) AS verified, count(*) FILTER (id % 11 = 0) AS rejected, count(*) FILTER (id % 11 = 1) AS unreadable FROM a"""))
+def verification_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many claims verified, failed or could not be read (AGG-16)."""
+    status = F.when(F.col("id") % 11 == 0, "rejected").when(F.col("id") % 11 == 1, "unreadable").otherwise("verified")
+    return attest.tallies(views.attestations(spark, sf_dir).withColumn("status", status))

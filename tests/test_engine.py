@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import citations as cite
+from lexmill.functions import crawl
 from lexmill.functions import text as tx
-from lexmill.operators import attest, corpus, graph, retrieval, search
+from lexmill.operators import attest, corpus, graph, release, retrieval, search
 from lexmill.plans import catalog
 from lexmill.sources import readers
 from lexmill.streaming import ingest
@@ -177,3 +178,24 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert Path(__spark_entry__.HERE).exists()
+
+
+@pytest.mark.parametrize(("pattern", "path", "fits"), [("/en", "/en/x", True), ("/en$", "/en/x", False), ("/*.html$", "/a/b.html", True), ("/*.html$", "/a/b.htmlx", False), ("/a*c", "/abxcd", True), ("", "/x", True), ("$", "/x", True), ("/a.b", "/axb", False), ("/q*", "/q", True)])
+def test_robots_patterns(spark, pattern, path, fits):
+    regex = spark.range(1).select(crawl.pattern_regex(F.lit(pattern)).alias("r"), F.lit(path).alias("p")).selectExpr("p rlike r").first()[0]
+    assert regex == fits
+
+
+@pytest.mark.parametrize(("signal", "want"), [("ai-input=no", "citation-only"), ("ai-input=no,search=yes", "search-only"), ("ai-input=no search=no", "forbidden"), ("use=reference", "citation-only"), ("ai-train=no", "rag-permitted"), ("ai-input=yes, use=reference", "rag-permitted"), ("x=1, y", "rag-permitted"), (None, "rag-permitted")])
+def test_content_signals(spark, signal, want):
+    assert spark.createDataFrame([(signal,)], "s string").select(crawl.eligibility(F.col("s"))).first()[0] == want
+
+
+def test_release_report(spark):
+    steps = lambda *s: spark.createDataFrame(list(enumerate(s)), "number int, status string")
+    outcome = lambda *s: release.report(steps(*s)).first().outcome
+    assert (outcome("PASS", "FAIL", "SKIP"), outcome("PASS", "SKIP"), outcome("PASS")) == ("failed", "incomplete", "verified")
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (2,)], "x int")
+    assert [(r.x, r.side) for r in release.same_rows(a, b).collect()] == [(1, "stored")]
+    chain = spark.createDataFrame([(1, None, "a"), (2, "a", "b"), (3, "x", "c")], "release int, previous string, hash string")
+    assert {r.release: r.chained for r in corpus.chain_breaks(chain).collect()} == {1: True, 2: True, 3: False}
