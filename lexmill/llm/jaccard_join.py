@@ -1,10 +1,11 @@
 """Near duplicates by a grouped prefix join on word shingles.
 
 Tokens (hashes of word shingles) have one total order: those known as frequent last, the rest by hash. Two sets
-that overlap in ``t`` tokens share at least two of their first ``n - t + 2`` tokens. Documents with the same set
-are one node; nodes with the same prefix and size are one group, and groups, not documents, meet in the buckets
-of prefix tokens. Group pairs pass the size filter and must share two prefix tokens; then their members are verified
-on whole sets.
+that overlap in ``t`` tokens share at least ``k`` of their first ``n - t + k`` tokens; ``k`` grows with the size, so that
+long texts do not meet by chance. Documents with the same set are one node; nodes with the same prefix and size are
+one group, and groups, not documents, meet in the buckets of prefix tokens. Group pairs pass the size filter, which
+leaves out of account the prefix tokens that no other group has, and must share ``k`` prefix tokens; then their
+members are verified on whole sets.
 
 Components are wanted, not all links, so a bucket is first tried through a pivot: each group meets at most one
 group, the one that is pivot of most of its buckets. Verified links are contracted, and buckets whose members have
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.bytewords import segments_unique, shingle_hashes, text_chunks, word_hashes, words
@@ -32,8 +33,8 @@ RANKED, LOCAL_COUNT = 1 << 18, 4
 PIVOT_ROUNDS = 2
 #: Partners of one pivot in one task.
 PIVOT_ROWS = 256
-#: Tokens shared by a linked pair among the first tokens of either.
-SHARED = 2
+#: A linked pair shares at least 2, and this part of the size, among the first tokens of either.
+SHARED_PART = 20
 
 _SETS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("sid", pa.binary()), ("n", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
 _PREFIX = pa.schema([("sid", pa.binary()), ("gid", pa.int64()), ("n", pa.int32()), ("ranked", pa.list_(pa.int64())), ("plain", pa.list_(pa.int64()))])
@@ -47,6 +48,11 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.nd
         yield (a, *segments_unique(values, at))
 
 
+def _shared(n: Column, percent: int) -> Column:
+    """The prefix tokens that a set of ``n`` shares with each set that is similar enough (the smaller of a pair's two)."""
+    return F.least(F.ceil(n * percent / 100), F.greatest(F.lit(2), 1 + F.floor(n / SHARED_PART)))
+
+
 def _sid(values: np.ndarray) -> bytes | None:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None
 
@@ -102,7 +108,7 @@ def _prefixes(width: int, percent: int, ranked: np.ndarray, ranks: np.ndarray):
                 order = np.argsort((owner.astype(np.int64) << 32) | rank, kind="stable")
                 values, rank = values[order], rank[order]
                 need = -(-percent * n // 100)
-                length = np.minimum(n, n - need + SHARED)
+                length = np.minimum(n, n - need + np.minimum(need, np.maximum(2, 1 + n // SHARED_PART)))
                 rows = []
                 for i in np.flatnonzero(n).tolist():
                     x, y = int(offsets[i]), int(offsets[i + 1])
@@ -174,11 +180,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     return scratch.table(sent.mapInArrow(_verify(percent), "a binary, b binary"), "links")
 
 
+def _can_overlap(percent: int) -> str:
+    """Sizes that allow the similarity, also when the overlap has none of the tokens that stand in one group alone."""
+    return f"100 * least(n, pn) >= {percent} * greatest(n, pn) and {100 + percent} * least(free, pfree) >= {percent} * (n + pn)"
+
+
 def _pivot_pairs(rows: DataFrame, members: DataFrame, percent: int, seed: int) -> DataFrame:
     """(p, x): each group's members with the first member of one pivot group, or of their own group."""
-    size = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    pivots = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid", F.lit(seed)).alias("h"), F.col("gid").alias("pgid"), F.col("n").alias("pn"))).alias("p")).select("token", "p.pgid", "p.pn")
-    met = rows.join(pivots, "token").filter("gid <> pgid").filter(size).groupBy("gid", "pgid").agg(F.count("*").alias("c")).filter(F.col("c") >= SHARED)
+    size = _can_overlap(percent)
+    enough = F.col("c") >= F.least(_shared(F.col("n"), percent), _shared(F.col("pn"), percent))
+    # The pivot of a bucket is a group with few tokens of its own: around a copied text it is the one nearest to it.
+    # Later rounds are coarser about that and try others.
+    own = F.floor((F.col("n") - F.col("free")) * (10 if seed else 1000) / F.col("n"))
+    pivots = rows.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("gid", F.lit(seed)).alias("h"), F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("free").alias("pfree"))).alias("p")).select("token", "p.pgid", "p.pn", "p.pfree")
+    met = rows.join(pivots, "token").filter("gid <> pgid").filter(size).groupBy("gid", "pgid", "n", "pn").agg(F.count("*").alias("c")).filter(enough)
     best = met.groupBy("gid").agg(F.max(F.struct("c", F.xxhash64("pgid", F.lit(seed)), "pgid")).alias("b")).select("gid", F.col("b.pgid").alias("pgid"))
     first = members.groupBy("gid").agg(F.min("sid").alias("p"))
     across = members.join(best, "gid").join(first.withColumnRenamed("gid", "pgid"), "pgid").select("p", F.col("sid").alias("x"))
@@ -188,9 +203,10 @@ def _pivot_pairs(rows: DataFrame, members: DataFrame, percent: int, seed: int) -
 
 def _all_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Every pair of nodes of different components that the filters leave: in one group, or in two."""
-    size = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    other = rows.select("token", F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("root").alias("proot"))
-    met = rows.join(other, "token").filter("gid < pgid and (root is null or proot is null or root <> proot)").filter(size).groupBy("gid", "pgid").agg(F.count("*").alias("c")).filter(F.col("c") >= SHARED)
+    size = _can_overlap(percent)
+    enough = F.col("c") >= F.least(_shared(F.col("n"), percent), _shared(F.col("pn"), percent))
+    other = rows.select("token", F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("free").alias("pfree"), F.col("root").alias("proot"))
+    met = rows.join(other, "token").filter("gid < pgid and (root is null or proot is null or root <> proot)").filter(size).groupBy("gid", "pgid", "n", "pn").agg(F.count("*").alias("c")).filter(enough)
     same = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid", F.col("gid").alias("pgid"))
     groups = met.select("gid", "pgid").union(same)
     right = members.select(F.col("gid").alias("pgid"), F.col("sid").alias("p"), F.col("root").alias("proot"))
@@ -213,16 +229,23 @@ def _classes(docs: DataFrame, text: str, id_col: str, width: int, percent: int,
     groups = prefixes.dropDuplicates(["gid", "n", "ranked", "plain"])
     # Plain tokens are rare by their order: a shuffle by token leaves those that groups share. Frequent ones are taken as shared.
     plain = groups.select("gid", "n", F.explode("plain").alias("token")).repartition("token").sortWithinPartitions("token").mapInArrow(_shared_runs, "gid long, n int, token long")
-    rows = scratch.table(plain.select("gid", "n", "token").union(groups.select("gid", "n", F.explode("ranked").alias("token"))), "rows")
-    scratch.tidy()
-    met = rows.groupBy("gid").agg(F.count("*").alias("c")).filter(F.col("c") >= SHARED).select("gid")
+    both = plain.select("gid", "n", "token", F.lit(False).alias("ranked")).union(groups.select("gid", "n", F.explode("ranked").alias("token"), F.lit(True)))
+    both = scratch.table(both, "shared")
+    # ``free``: the size without the prefix tokens that no other group has; an overlap cannot be larger.
+    shared = both.groupBy("gid", "n").agg(F.count_if(~F.col("ranked")).alias("s"))
+    free = groups.groupBy("gid", "n").agg(F.min(F.size("plain")).alias("all")).join(shared, ["gid", "n"]).select("gid", "n", (F.col("n") - F.col("all") + F.least("s", "all")).alias("free"))
+    free = free.filter(100 * F.col("free") >= percent * F.col("n"))
+    rows = scratch.table(both.select("gid", "n", "token").join(free, ["gid", "n"]), "rows")
+    # A partner may be smaller, down to ``percent`` of the size, and share as little as that size asks for.
+    smallest = F.ceil(F.col("n") * percent / 100)
+    met = rows.groupBy("gid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= _shared(smallest, percent)).select("gid")
     crowded = prefixes.groupBy("gid").agg(F.count("*").alias("c")).filter("c > 1").select("gid")
     members = prefixes.select("gid", "sid", "n").join(met.union(crowded).distinct(), "gid", "left_semi")
     members = scratch.table(members, "members")
     one = described.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k")).join(members.select("sid"), "sid", "left_semi").select("k.k1", "k.k2")
     one = scratch.table(one, "one")
     sets = docs.select("k1", "k2", "text").join(one, ["k1", "k2"], "left_semi").select("text").mapInArrow(lambda it: _token_sets(width)(it), "sid binary, tokens binary")
-    sets = scratch.table(sets.dropDuplicates(["sid"]), "sets")
+    sets = scratch.table(sets, "sets")  # a set stands twice if a row is repeated as a whole: its links then do too
 
     links, roots = None, None
     for round_ in range(pivot_rounds + 1):
