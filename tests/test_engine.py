@@ -13,7 +13,7 @@ from lexmill.functions import crawl
 from lexmill.functions import text as tx
 from lexmill.operators import attest, corpus, graph, release, retrieval, search
 from lexmill.plans import catalog
-from lexmill.sources import readers
+from lexmill.sources import judgment_xml, readers, registry
 from lexmill.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -199,3 +199,30 @@ def test_release_report(spark):
     assert [(r.x, r.side) for r in release.same_rows(a, b).collect()] == [(1, "stored")]
     chain = spark.createDataFrame([(1, None, "a"), (2, "a", "b"), (3, "x", "c")], "release int, previous string, hash string")
     assert {r.release: r.chained for r in corpus.chain_breaks(chain).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_judgment_xml(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<akomaNtoso xmlns="http://x"><judgment><meta><identification><FRBRWork><FRBRthis value="/akn/za/judgment/zacc/2026/26/main"/><FRBRuri value="/other"/>'
+        '<FRBRdate name="Hearing" date="2026-01-01"/><FRBRdate name="Judgment" date="2026-02-03"/><FRBRalias name="title" value="A v B"/></FRBRWork></identification>'
+        '<references><TLCPerson eId="judge-x" showAs="X J"/><TLCPerson eId="party" showAs="P"/></references><proprietary><case number="CCT 1/26"/></proprietary></meta>'
+        "<judgmentBody><p><num>[1]</num> One <i>two</i>\n three</p><p> </p><p>Plain</p></judgmentBody></judgment></akomaNtoso>"
+    )
+    (tmp_path / "b.xml").write_text("<broken")
+    rows = {r.location[-5:]: r for r in judgment_xml.read_judgment_xml(spark, str(tmp_path)).collect()}
+    a = rows["a.xml"]
+    assert (a.court, a.title, a.date, a.judges, a.case_numbers, a.neutral_citation, a.region, a.reason) == ("ZACC", "A v B", "2026-02-03", ["X J"], ["CCT 1/26"], "[2026] ZACC 26", "ZA", None)
+    assert [(p.number, p.text) for p in a.paragraphs] == [("1", "One two three"), (None, "Plain")]
+    assert rows["b.xml"].reason == "not well-formed"
+
+
+def test_profiles(spark):
+    text = 'code = "xx"\nname = "X"\n[[courts]]\ncode = "XXSC"\nname = "Top"\ntier = "apex"\n[[series]]\nabbr = "XR"\nname = "X Reports"\n[[series]]\nabbr = "OLD"\nname = "Old"\nno_volume = true\n'
+    profile = registry.parse_profile(text)
+    found = registry.grammar(profile).extract("[2020] XXSC 4; 2001 (2) XR 33; 1950 OLD 7; 2001 (2) SA 3")
+    assert [c["citation_key"] for c in found] == ["neutral:2020:XXSC:4", "reported:2001:2:XR:33", "reported:1950::OLD:7"]
+    rows = registry.with_court_names(spark.createDataFrame([("xxsc",), ("zz",)], "court string"), registry.courts(spark, {"XX": profile}))
+    assert {(r.court, r.court_name) for r in rows.collect()} == {("xxsc", "Top"), ("zz", "zz")}
+    for bad in (text.replace("apex", "best"), text.replace('"xx"', '""'), text + '[[courts]]\ncode = "xxsc"\nname = "T"\ntier = "apex"\n'):
+        with pytest.raises(ValueError):
+            registry.parse_profile(bad)
