@@ -14,10 +14,12 @@ its size does not grow with the data.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,47 +33,91 @@ CAPACITY, END_ID = 4096, 1
 #: Enumerated patterns, and sweeps of the fit.
 MOST_PATTERNS, SWEEPS = 12_000, 60
 #: Words whose ids a worker remembers before it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Token ids of texts, word by word: white space is a hard border for this tokenizer, so words are encoded once."""
+    """Token ids of texts, word by word.
+
+    White space is a hard border for this tokenizer, and so is one between letters and punctuation; it lower-cases, and
+    encodes each stretch of letters or of punctuation by itself. So words are remembered in lower case (A-Z only), and
+    unknown words of Latin letters, with or without ASCII punctuation behind them, are put together from the ids of
+    their stretches, which the tokenizer's model gives for their byte-level spelling. All other words go through the
+    whole tokenizer.
+    """
+
+    #: Letters of which each lower-cases to one letter, then punctuation (no apostrophe: it can start a stretch).
+    PLAIN = re.compile(r"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Byte-level spelling: printable bytes stand for themselves, the others for characters from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelling = {x: 256 + i for i, x in enumerate(x for x in range(256) if x not in plain)}
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.marks: dict[str, list[int]] = {"": []}
         self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _stretch(self, part: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(part.lower().encode().decode("latin-1").translate(self.spelling))]
+
+    def _store(self, words: list[bytes], found: list[list[int]]) -> None:
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        self.index.update(zip(words, range(len(self.count), len(self.count) + len(words)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n])
+        self.count = np.concatenate([self.count, n])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))])
+
+    def _add(self, fresh: list[bytes]) -> None:
+        stems: dict[bytes, str] = {}
+        built, whole = [], []  # (word, stem, punctuation); words for the whole tokenizer
+        for raw in fresh:
+            word = raw.decode()
+            m = self.PLAIN.fullmatch(word)
+            if m is None or "<|" in word:
+                whole.append(raw)
+                continue
+            stem, mark = m.groups()
+            key = stem.encode() if mark else raw
+            if key not in self.index:
+                stems[key] = stem
+            if mark:
+                built.append((raw, key, mark))
+                if mark not in self.marks:
+                    self.marks[mark] = self._stretch(mark)
+        self._store(list(stems), [self._stretch(x) for x in stems.values()])
+        self._store(whole, [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)])
+        at = [self.index[key] for _, key, _ in built]
+        first, last = self.first[at].tolist(), (self.first[at] + self.count[at]).tolist()
+        flat = self.flat
+        self._store([w for w, _, _ in built], [flat[a:b].tolist() + self.marks[mark] for a, b, (_, _, mark) in zip(first, last, built, strict=True)])
+
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Of each text its ids."""
-        split = [t.split() for t in texts]  # bytes split at space and 0x09-0x0D
-        fresh = {w for ws in split for w in ws if w not in self.index}
-        if len(self.index) + len(fresh) > CACHED_WORDS:
-            self.clear()
-            fresh = {w for ws in split for w in ws}
-        if fresh:
-            fresh = sorted(fresh)
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            self.index.update(zip(fresh, range(len(self.count), len(self.count) + len(fresh)), strict=True))
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(n) - n])
-            self.count = np.concatenate([self.count, n])
-            self.flat = np.concatenate([self.flat, np.array([i for ids in found for i in ids], np.uint32)])
-        out = []
-        for ws in split:
-            at = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            n = self.count[at]
-            total = int(n.sum())
-            before = np.cumsum(n) - n
-            out.append(self.flat[np.repeat(self.first[at] - before, n) + np.arange(total)])
-        return out
+        # Special tokens are matched with their case; bytes split at space and 0x09-0x0D.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            fresh = dict.fromkeys(words[i] for i in missing)
+            if len(self.index) + len(fresh) > CACHED_WORDS and self.index:
+                self.clear()
+                return self.ids(texts)
+            self._add(list(fresh))
+            at[missing] = np.fromiter((self.index[words[i]] for i in missing), np.int64, len(missing))
+        n = self.count[at]
+        ends = np.cumsum(n)
+        flat = self.flat[np.repeat(self.first[at] - (ends - n), n) + np.arange(int(n.sum()))]
+        cuts = np.append(0, ends)[np.cumsum([0, *map(len, split)])]
+        return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 _words: dict[str, WordIds] = {}
