@@ -175,7 +175,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_on, id_col: str = "
     scratch = Scratch(spark, "quality")
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     labels = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1) and id is not null")
-    rows = scratch.table(docs.filter(train_on(F.col("id"))).join(labels, "id"), "train")
+    # Labels grow with the documents: the join is by a sort at every size.
+    rows = scratch.table(docs.filter(train_on(F.col("id"))).join(labels.hint("merge"), "id"), "train")
     told = spark.sparkContext.broadcast(train(rows))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
