@@ -180,20 +180,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     return scratch.table(sent.mapInArrow(_verify(percent), "a binary, b binary"), "links")
 
 
-def _can_overlap(percent: int) -> str:
-    """Sizes that allow the similarity, also when the overlap has none of the tokens that stand in one group alone."""
-    return f"100 * least(n, pn) >= {percent} * greatest(n, pn) and {100 + percent} * least(free, pfree) >= {percent} * (n + pn)"
+def _pair_filters(percent: int) -> tuple[Column, Column]:
+    """(a filter of shared tokens, the least number of those that pass) for pairs of sets n, pn.
+
+    Similar sets share ``need`` tokens, at least k of them among the first n - need + k of the one and among the
+    first pn - need + k of the other: equal sizes need more, and so look at fewer tokens, than a set must keep for
+    all its partners. Sizes must allow the similarity, also without the tokens that stand in one group alone.
+    """
+    n, pn, least = F.col("n"), F.col("pn"), F.least("free", "pfree")
+    need = F.ceil(percent * (n + pn) / (100 + percent))
+    k = F.least(_shared(n, percent), _shared(pn, percent))
+    sizes = (100 * F.least(n, pn) >= percent * F.greatest(n, pn)) & ((100 + percent) * least >= percent * (n + pn))
+    return sizes & (F.col("pos") < n - need + k) & (F.col("ppos") < pn - need + k), k
 
 
 def _pivot_pairs(rows: DataFrame, members: DataFrame, percent: int, seed: int) -> DataFrame:
     """(p, x): each group's members with the first member of one pivot group, or of their own group."""
-    size = _can_overlap(percent)
-    enough = F.col("c") >= F.least(_shared(F.col("n"), percent), _shared(F.col("pn"), percent))
+    near, k = _pair_filters(percent)
     # The pivot of a bucket is a group with few tokens of its own: around a copied text it is the one nearest to it.
     # Later rounds are coarser about that and try others.
     own = F.floor((F.col("n") - F.col("free")) * (10 if seed else 1000) / F.col("n"))
-    pivots = rows.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("gid", F.lit(seed)).alias("h"), F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("free").alias("pfree"))).alias("p")).select("token", "p.pgid", "p.pn", "p.pfree")
-    met = rows.join(pivots, "token").filter("gid <> pgid").filter(size).groupBy("gid", "pgid", "n", "pn").agg(F.count("*").alias("c")).filter(enough)
+    pivots = rows.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("gid", F.lit(seed)).alias("h"), F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("free").alias("pfree"), F.col("pos").alias("ppos"))).alias("p")).select("token", "p.pgid", "p.pn", "p.pfree", "p.ppos")
+    met = rows.join(pivots, "token").filter("gid <> pgid").filter(near).groupBy("gid", "pgid", "n", "pn").agg(F.count("*").alias("c")).filter(F.col("c") >= k)
     best = met.groupBy("gid").agg(F.max(F.struct("c", F.xxhash64("pgid", F.lit(seed)), "pgid")).alias("b")).select("gid", F.col("b.pgid").alias("pgid"))
     first = members.groupBy("gid").agg(F.min("sid").alias("p"))
     across = members.join(best, "gid").join(first.withColumnRenamed("gid", "pgid"), "pgid").select("p", F.col("sid").alias("x"))
@@ -203,10 +211,9 @@ def _pivot_pairs(rows: DataFrame, members: DataFrame, percent: int, seed: int) -
 
 def _all_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Every pair of nodes of different components that the filters leave: in one group, or in two."""
-    size = _can_overlap(percent)
-    enough = F.col("c") >= F.least(_shared(F.col("n"), percent), _shared(F.col("pn"), percent))
-    other = rows.select("token", F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("free").alias("pfree"), F.col("root").alias("proot"))
-    met = rows.join(other, "token").filter("gid < pgid and (root is null or proot is null or root <> proot)").filter(size).groupBy("gid", "pgid", "n", "pn").agg(F.count("*").alias("c")).filter(enough)
+    near, k = _pair_filters(percent)
+    other = rows.select("token", F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("free").alias("pfree"), F.col("pos").alias("ppos"), F.col("root").alias("proot"))
+    met = rows.join(other, "token").filter("gid < pgid and (root is null or proot is null or root <> proot)").filter(near).groupBy("gid", "pgid", "n", "pn").agg(F.count("*").alias("c")).filter(F.col("c") >= k)
     same = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid", F.col("gid").alias("pgid"))
     groups = met.select("gid", "pgid").union(same)
     right = members.select(F.col("gid").alias("pgid"), F.col("sid").alias("p"), F.col("root").alias("proot"))
@@ -228,14 +235,15 @@ def _classes(docs: DataFrame, text: str, id_col: str, width: int, percent: int,
     prefixes = scratch.table(prefixes.dropDuplicates(["sid"]), "prefixes")
     groups = prefixes.dropDuplicates(["gid", "n", "ranked", "plain"])
     # Plain tokens are rare by their order: a shuffle by token leaves those that groups share. Frequent ones are taken as shared.
-    plain = groups.select("gid", "n", F.explode("plain").alias("token")).repartition("token").sortWithinPartitions("token").mapInArrow(_shared_runs, "gid long, n int, token long")
-    both = plain.select("gid", "n", "token", F.lit(False).alias("ranked")).union(groups.select("gid", "n", F.explode("ranked").alias("token"), F.lit(True)))
+    plain = groups.select("gid", "n", F.posexplode("plain").alias("pos", "token")).repartition("token").sortWithinPartitions("token").mapInArrow(_shared_runs, "gid long, n int, pos int, token long")
+    ranked = groups.select("gid", "n", F.size("plain").alias("before"), F.posexplode("ranked").alias("pos", "token")).select("gid", "n", "token", F.col("before") + F.col("pos"), F.lit(True))
+    both = plain.select("gid", "n", "token", "pos", F.lit(False).alias("ranked")).union(ranked)
     both = scratch.table(both, "shared")
     # ``free``: the size without the prefix tokens that no other group has; an overlap cannot be larger.
     shared = both.groupBy("gid", "n").agg(F.count_if(~F.col("ranked")).alias("s"))
     free = groups.groupBy("gid", "n").agg(F.min(F.size("plain")).alias("all")).join(shared, ["gid", "n"]).select("gid", "n", (F.col("n") - F.col("all") + F.least("s", "all")).alias("free"))
     free = free.filter(100 * F.col("free") >= percent * F.col("n"))
-    rows = scratch.table(both.select("gid", "n", "token").join(free, ["gid", "n"]), "rows")
+    rows = scratch.table(both.select("gid", "n", "token", "pos").join(free, ["gid", "n"]), "rows")
     # A partner may be smaller, down to ``percent`` of the size, and share as little as that size asks for.
     smallest = F.ceil(F.col("n") * percent / 100)
     met = rows.groupBy("gid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= _shared(smallest, percent)).select("gid")
@@ -244,7 +252,7 @@ def _classes(docs: DataFrame, text: str, id_col: str, width: int, percent: int,
     members = scratch.table(members, "members")
     one = described.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k")).join(members.select("sid"), "sid", "left_semi").select("k.k1", "k.k2")
     one = scratch.table(one, "one")
-    sets = docs.select("k1", "k2", "text").join(one, ["k1", "k2"], "left_semi").select("text").mapInArrow(lambda it: _token_sets(width)(it), "sid binary, tokens binary")
+    sets = docs.select("k1", "k2", "text").join(one.hint("merge"), ["k1", "k2"], "left_semi").select("text").mapInArrow(lambda it: _token_sets(width)(it), "sid binary, tokens binary")
     sets = scratch.table(sets, "sets")  # a set stands twice if a row is repeated as a whole: its links then do too
 
     links, roots = None, None
