@@ -3,9 +3,8 @@
 Tokens (hashes of word shingles) have one total order: those known as frequent last, the rest by hash. Two sets
 that overlap in ``t`` tokens share at least ``k`` of their first ``n - t + k`` tokens; ``k`` grows with the size, so that
 long texts do not meet by chance. Documents with the same set are one node; nodes with the same prefix and size are
-one group, and groups, not documents, meet in the buckets of prefix tokens. Group pairs pass the size filter, which
-leaves out of account the prefix tokens that no other group has, and must share ``k`` prefix tokens; then their
-members are verified on whole sets.
+one group, and groups, not documents, meet in the buckets of prefix tokens. Group pairs pass filters on sizes and
+on the places of shared tokens, and must share ``k`` prefix tokens; then their members are verified on whole sets.
 
 Components are wanted, not all links, so a bucket is first tried through a pivot: each group meets at most one
 group, the one that is pivot of most of its buckets. Verified links are contracted, and buckets whose members have
@@ -19,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.bytewords import segments_unique, shingle_hashes, text_chunks, word_hashes, words
@@ -180,18 +179,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     return scratch.table(sent.mapInArrow(_verify(percent), "a binary, b binary"), "links")
 
 
+def _need(percent: int) -> Column:
+    """The overlap of similar sets of sizes n and pn, at least."""
+    return F.ceil(percent * (F.col("n") + F.col("pn")) / (100 + percent))
+
+
 def _pair_filters(percent: int) -> tuple[Column, Column]:
     """(a filter of shared tokens, the least number of those that pass) for pairs of sets n, pn.
 
     Similar sets share ``need`` tokens, at least k of them among the first n - need + k of the one and among the
     first pn - need + k of the other: equal sizes need more, and so look at fewer tokens, than a set must keep for
-    all its partners. Sizes must allow the similarity, also without the tokens that stand in one group alone.
+    all its partners. Before a shared token come, of the overlap, only tokens that both prefixes share with others
+    (``before``, ``pbefore`` in number), and behind it no more than what is left of either set.
     """
-    n, pn, least = F.col("n"), F.col("pn"), F.least("free", "pfree")
-    need = F.ceil(percent * (n + pn) / (100 + percent))
+    n, pn = F.col("n"), F.col("pn")
+    need = _need(percent)
     k = F.least(_shared(n, percent), _shared(pn, percent))
-    sizes = (100 * F.least(n, pn) >= percent * F.greatest(n, pn)) & ((100 + percent) * least >= percent * (n + pn))
-    return sizes & (F.col("pos") < n - need + k) & (F.col("ppos") < pn - need + k), k
+    sizes = 100 * F.least(n, pn) >= percent * F.greatest(n, pn)
+    most = F.least("before", "pbefore") + F.least(n - F.col("pos"), pn - F.col("ppos"))
+    return sizes & (F.col("pos") < n - need + k) & (F.col("ppos") < pn - need + k) & (most >= need), k
 
 
 def _pivot_pairs(rows: DataFrame, members: DataFrame, percent: int, seed: int) -> DataFrame:
@@ -199,8 +205,8 @@ def _pivot_pairs(rows: DataFrame, members: DataFrame, percent: int, seed: int) -
     near, k = _pair_filters(percent)
     # The pivot of a bucket is a group with few tokens of its own: around a copied text it is the one nearest to it.
     # Later rounds are coarser about that and try others.
-    own = F.floor((F.col("n") - F.col("free")) * (10 if seed else 1000) / F.col("n"))
-    pivots = rows.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("gid", F.lit(seed)).alias("h"), F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("free").alias("pfree"), F.col("pos").alias("ppos"))).alias("p")).select("token", "p.pgid", "p.pn", "p.pfree", "p.ppos")
+    own = F.floor(F.col("own") * (10 if seed else 1000) / F.col("n"))
+    pivots = rows.groupBy("token").agg(F.min(F.struct(own.alias("own"), F.xxhash64("gid", F.lit(seed)).alias("h"), F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("before").alias("pbefore"), F.col("pos").alias("ppos"))).alias("p")).select("token", "p.pgid", "p.pn", "p.pbefore", "p.ppos")
     met = rows.join(pivots, "token").filter("gid <> pgid").filter(near).groupBy("gid", "pgid", "n", "pn").agg(F.count("*").alias("c")).filter(F.col("c") >= k)
     best = met.groupBy("gid").agg(F.max(F.struct("c", F.xxhash64("pgid", F.lit(seed)), "pgid")).alias("b")).select("gid", F.col("b.pgid").alias("pgid"))
     first = members.groupBy("gid").agg(F.min("sid").alias("p"))
@@ -212,8 +218,10 @@ def _pivot_pairs(rows: DataFrame, members: DataFrame, percent: int, seed: int) -
 def _all_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Every pair of nodes of different components that the filters leave: in one group, or in two."""
     near, k = _pair_filters(percent)
-    other = rows.select("token", F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("free").alias("pfree"), F.col("pos").alias("ppos"), F.col("root").alias("proot"))
-    met = rows.join(other, "token").filter("gid < pgid and (root is null or proot is null or root <> proot)").filter(near).groupBy("gid", "pgid", "n", "pn").agg(F.count("*").alias("c")).filter(F.col("c") >= k)
+    other = rows.select("token", F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("before").alias("pbefore"), F.col("pos").alias("ppos"), F.col("root").alias("proot"))
+    met = rows.join(other, "token").filter("gid < pgid and (root is null or proot is null or root <> proot)").filter(near).groupBy("gid", "pgid", "n", "pn").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("ppos").alias("ppos"))
+    # All that the two share up to the last shared token here is counted in c.
+    met = met.filter((F.col("c") >= k) & (F.col("c") + F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos")) - 1 >= _need(percent)))
     same = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid", F.col("gid").alias("pgid"))
     groups = met.select("gid", "pgid").union(same)
     right = members.select(F.col("gid").alias("pgid"), F.col("sid").alias("p"), F.col("root").alias("proot"))
@@ -236,17 +244,20 @@ def _classes(docs: DataFrame, text: str, id_col: str, width: int, percent: int,
     groups = prefixes.dropDuplicates(["gid", "n", "ranked", "plain"])
     # Plain tokens are rare by their order: a shuffle by token leaves those that groups share. Frequent ones are taken as shared.
     plain = groups.select("gid", "n", F.posexplode("plain").alias("pos", "token")).repartition("token").sortWithinPartitions("token").mapInArrow(_shared_runs, "gid long, n int, pos int, token long")
-    ranked = groups.select("gid", "n", F.size("plain").alias("before"), F.posexplode("ranked").alias("pos", "token")).select("gid", "n", "token", F.col("before") + F.col("pos"), F.lit(True))
-    both = plain.select("gid", "n", "token", "pos", F.lit(False).alias("ranked")).union(ranked)
-    both = scratch.table(both, "shared")
-    # ``free``: the size without the prefix tokens that no other group has; an overlap cannot be larger.
-    shared = both.groupBy("gid", "n").agg(F.count_if(~F.col("ranked")).alias("s"))
-    free = groups.groupBy("gid", "n").agg(F.min(F.size("plain")).alias("all")).join(shared, ["gid", "n"]).select("gid", "n", (F.col("n") - F.col("all") + F.least("s", "all")).alias("free"))
-    free = free.filter(100 * F.col("free") >= percent * F.col("n"))
-    rows = scratch.table(both.select("gid", "n", "token", "pos").join(free, ["gid", "n"]), "rows")
+    ranked = groups.select("gid", "n", F.size("plain").alias("before"), F.posexplode("ranked").alias("pos", "token")).select("gid", "n", "token", F.col("before") + F.col("pos"))
+    both = plain.select("gid", "n", "token", "pos").union(ranked)
+    # ``own``: how many prefix tokens no other prefix has. They may stand in a partner behind its prefix, and so only
+    # guide the choice of pivots. ``before``: the shared ones before a token. Of the tokens before it an overlap
+    # holds shared ones alone: what both sets have before a token that stands in both prefixes, both prefixes have.
+    group = Window.partitionBy("gid", "n")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + _shared(F.col("n"), percent)
+    rows = both.withColumn("before", F.row_number().over(group.orderBy("pos")) - 1).withColumn("own", length - F.count("*").over(group))
+    rows = rows.filter(100 * (F.col("n") - F.col("pos") + F.col("before")) >= percent * F.col("n"))
     # A partner may be smaller, down to ``percent`` of the size, and share as little as that size asks for.
     smallest = F.ceil(F.col("n") * percent / 100)
-    met = rows.groupBy("gid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= _shared(smallest, percent)).select("gid")
+    rows = rows.withColumn("c", F.count("*").over(group)).filter(F.col("c") >= _shared(smallest, percent)).drop("c")
+    rows = scratch.table(rows, "rows")
+    met = rows.select("gid").distinct()
     crowded = prefixes.groupBy("gid").agg(F.count("*").alias("c")).filter("c > 1").select("gid")
     members = prefixes.select("gid", "sid", "n").join(met.union(crowded).distinct(), "gid", "left_semi")
     members = scratch.table(members, "members")

@@ -94,6 +94,21 @@ def test_near_duplicates_of_a_chain_and_a_family(spark):
     assert got == classes(rows)
 
 
+def test_near_duplicates_of_isolated_pairs_of_unequal_size(spark):
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 400, 2):
+        w, more = fresh(104), fresh(r.randrange(14, 26))
+        at = r.choice((0, 50, 104))
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:at] + more + w[at:]))]
+    want = classes(rows)
+    assert sum(i != c for i, _, c in want) > 100
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.id, x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(frame).collect()), key=str)
+    assert got == want
+
+
 def test_keep_one_and_empty(spark, docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
