@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,9 +173,9 @@ def citation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(with_views("we", "SELECT src, dst, round(weight, 9) AS weight FROM we"))
-def weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weighted_edges(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
     """Edge weights from tier and depth (GRA-1, NUM-1, NUM-2)."""
-    edges = graph.weighted_edges(views.graph_nodes(spark, sf_dir), views.graph_edges(spark, sf_dir))
+    edges = graph.weighted_edges(views.graph_nodes(spark, sf_dir), edges_of(spark, sf_dir))
     return edges.select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
@@ -189,10 +191,10 @@ def weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
       )
     )
     SELECT id, round(score / (SELECT max(score) FROM pr WHERE i = 50), 6) AS score FROM pr WHERE i = 50"""))
-def pagerank_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pagerank_weighted(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
     """Fifty iterations of weighted PageRank, the best score one (GRA-2)."""
     nodes = views.graph_nodes(spark, sf_dir)
-    scores = graph.pagerank(nodes, graph.weighted_edges(nodes, views.graph_edges(spark, sf_dir)))
+    scores = graph.pagerank(nodes, graph.weighted_edges(nodes, edges_of(spark, sf_dir)))
     return scores.select("id", F.round("score", 6).alias("score"))
 
 
@@ -200,26 +202,26 @@ _HOPS = """, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, d
       SELECT DISTINCT src, 0 FROM u WHERE src = 1 UNION SELECT u.dst, r.depth + 1 FROM r JOIN u ON u.src = r.id WHERE r.depth < {hops}), best AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1)"""
 
 
-def _near(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
-    return graph.neighbourhood(views.graph_edges(spark, sf_dir), 1, hops)
+def _near(spark: SparkSession, sf_dir: str, hops: int, edges_of) -> DataFrame:
+    return graph.neighbourhood(edges_of(spark, sf_dir), 1, hops)
 
 
 @_query(with_views("e", _HOPS.format(hops=1) + " SELECT id, depth FROM best"))
-def khop_1(spark: SparkSession, sf_dir: str) -> DataFrame:
+def khop_1(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
     """Neighbours of one node (GRA-4)."""
-    return _near(spark, sf_dir, 1)
+    return _near(spark, sf_dir, 1, edges_of)
 
 
 @_query(with_views("e", _HOPS.format(hops=2) + " SELECT id, depth FROM best"))
-def khop_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+def khop_2(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
     """Two steps around one node (GRA-4)."""
-    return _near(spark, sf_dir, 2)
+    return _near(spark, sf_dir, 2, edges_of)
 
 
 @_query(with_views("e", _HOPS.format(hops=2) + " SELECT src, dst, paragraph_count FROM e WHERE src IN (SELECT id FROM best) AND dst IN (SELECT id FROM best)"))
-def khop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def khop_edges(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
     """Edges within two steps (JN-11)."""
-    return graph.induced_edges(views.graph_edges(spark, sf_dir), _near(spark, sf_dir, 2))
+    return graph.induced_edges(edges_of(spark, sf_dir), _near(spark, sf_dir, 2, edges_of))
 
 
 # --- full text -----------------------------------------------------------------------------------------------------
@@ -483,15 +485,15 @@ def corpus_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(_tree("src || '|' || dst || '|' || paragraph_count", f"({with_views('e', 'SELECT * FROM e')})"))
-def graph_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_root(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
     """The digest of the graph (AGG-20, GRA-3)."""
-    return corpus.sorted_root(views.graph_edges(spark, sf_dir), "src", "dst", "paragraph_count")
+    return corpus.sorted_root(edges_of(spark, sf_dir), "src", "dst", "paragraph_count")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most authoritative nodes of the citation graph: edges, weights, PageRank, order (GRA-1, GRA-2, ORD-2)."""
     nodes = views.graph_nodes(spark, sf_dir)
-    scores = graph.pagerank(nodes, graph.weighted_edges(nodes, views.graph_edges(spark, sf_dir)))
+    scores = graph.pagerank(nodes, graph.weighted_edges(nodes, views.whole_graph_edges(spark, sf_dir)))
     return scores.join(nodes, "id").orderBy(F.desc("score"), "id").limit(100)
 
 
@@ -553,10 +555,10 @@ def case_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(with_views("a e", """, k AS (SELECT src % 97 AS f, dst % 41 AS t FROM e GROUP BY 1, 2) SELECT a.id, CASE WHEN a.from_doc > 90 THEN 'citing_judgment_not_held' WHEN a.to_doc > 38 THEN 'cited_judgment_not_held'
     WHEN k.f IS NOT NULL THEN 'edge' ELSE 'no_edge_in_this_corpus' END AS support FROM a LEFT JOIN k ON k.f = a.from_doc AND k.t = a.to_doc"""))
-def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claim_support(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
     """What the graph holds of every claim's pair (JN-18)."""
     claims = views.attestations(spark, sf_dir)
-    edges = views.graph_edges(spark, sf_dir).select((F.col("src") % 97).alias("from_doc"), (F.col("dst") % 41).alias("to_doc")).distinct()
+    edges = edges_of(spark, sf_dir).select((F.col("src") % 97).alias("from_doc"), (F.col("dst") % 41).alias("to_doc")).distinct()
     held = claims.select(F.col("from_doc").alias("id")).filter("id <= 90").union(claims.select("to_doc").filter("to_doc <= 38")).distinct()
     both = attest.mechanical_support(claims.filter("to_doc <= 38 or from_doc > 90"), edges, held)
     gone = claims.filter("to_doc > 38 and from_doc <= 90").withColumn("support", F.lit("cited_judgment_not_held"))
@@ -568,3 +570,11 @@ def verification_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many claims verified, failed or could not be read (AGG-16)."""
     status = F.when(F.col("id") % 11 == 0, "rejected").when(F.col("id") % 11 == 1, "unreadable").otherwise("verified")
     return attest.tallies(views.attestations(spark, sf_dir).withColumn("status", status))
+
+
+# --- the graph of all line items -----------------------------------------------------------------------------------
+
+for _fn in (weighted_edges, pagerank_weighted, khop_1, khop_2, khop_edges, graph_root, claim_support):
+    _QUERIES[f"{_fn.__name__}_whole"] = partial(_fn, edges_of=views.whole_graph_edges)
+    if _fn is not pagerank_weighted:  # fifty recursive steps over all edges are tested by brute force
+        _SQL[f"{_fn.__name__}_whole"] = _SQL[_fn.__name__].replace(" WHERE l_quantity > 40", "")

@@ -49,14 +49,22 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("p_size") % 7 + 1).cast("int")).alias("tier"))
 
 
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, paragraph_count: parts that follow each other in orders, large quantities only."""
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey")
+def _follows(li: DataFrame) -> DataFrame:
     step = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
     pairs = li.select("l_orderkey", F.col("l_partkey").alias("src"), step.alias("dst")).filter("dst is not null and src <> dst")
     return pairs.groupBy("src", "dst").agg(F.count_distinct("l_orderkey").alias("paragraph_count"))
 
 
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, paragraph_count: parts that follow each other in orders, large quantities only (as in the SQL)."""
+    return _follows(table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey"))
+
+
+def whole_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, paragraph_count: parts that follow each other in orders, of all line items."""
+    return _follows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
+
+
 def attestations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, from_doc, to_doc, treatment, signer, signature of ``events``; signatures repeat."""
     e = F.col("event_id")

@@ -55,6 +55,41 @@ def test_pagerank_of_a_small_graph(spark):
     assert all(abs(got[i] - score[i] / max(score.values())) < 1e-9 for i in score)
 
 
+def test_pagerank_of_all_line_items(spark):
+    items = pd.read_parquet(f"{SF}/lineitem.parquet").sort_values(["l_orderkey", "l_linenumber", "l_partkey"])
+    parts = pd.read_parquet(f"{SF}/part.parquet")
+    orders = {}
+    for order, part in zip(items.l_orderkey, items.l_partkey, strict=True):
+        orders.setdefault(order, []).append(part)
+    met = {}
+    for order, row in orders.items():
+        for a, b in zip(row, row[1:], strict=False):
+            if a != b:
+                met.setdefault((a, b), set()).add(order)
+    names = ["apex", "appellate", "specialist_appellate", "high_court", "specialist_high", "tribunal", "lower"]
+    tier = dict(zip(names, (1.0, 0.8, 0.65, 0.5, 0.45, 0.2, 0.1), strict=True))
+    own = {p: tier[names[z % 7]] for p, z in zip(parts.p_partkey, parts.p_size, strict=True)}
+    out = {}
+    for (a, b), seen in met.items():
+        if a in own and b in own:
+            out.setdefault(a, {})[b] = own[a] * (1 + 0.25 * min(len(seen) - 1, 4))
+    n = len(own)
+    score = dict.fromkeys(own, 1 / n)
+    for _ in range(50):
+        loose, got = sum(s for i, s in score.items() if i not in out), dict.fromkeys(own, 0.0)
+        for a, row in out.items():
+            total = sum(row.values())
+            for b, w in row.items():
+                got[b] += score[a] * w / total
+        score = {i: 0.15 / n + 0.85 * (g + loose / n) for i, g in got.items()}
+    best = max(score.values())
+    whole = {r.id: r.score for r in catalog.queries()["pagerank_weighted_whole"](spark, SF).collect()}
+    top = {r.id: r.score for r in catalog.flagship(spark, SF).collect()}
+    assert set(whole) == set(score) and len(top) == min(100, n)
+    assert all(abs(whole[i] - s / best) < 2e-6 for i, s in score.items())
+    assert all(abs(s - score[i] / best) < 1e-9 for i, s in top.items())
+
+
 CITED = {
     "as held in … [1995] ZACC 3": ["neutral:1995:ZACC:3"],
     "2020 (3) SA 123 (SCA)": ["reported:2020:3:SA:123"],
