@@ -37,14 +37,15 @@ def _windows(values: Column, width: int, make) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: n > 0), make)
 
 
-def hashes(ws: Column, width: int) -> Column:
-    """Hashes, from the words' hashes, of the shingles of ``ws``; a shorter text is one shingle."""
-    of_words = lambda h: _windows(h, width, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
-    return _let(F.transform(ws, lambda w: F.xxhash64(w)), of_words)
+def hashes(ws: Column, *widths: int) -> Column:
+    """Hashes, from the words' hashes, of the shingles of ``ws`` of each width; a shorter text is one shingle."""
+    of_words = lambda h, width: _windows(h, width, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
+    return _let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.concat(*[of_words(h, width) for width in widths]))
 
 
-def shingles(ws: Column, width: int) -> Column:
-    return _let(ws, lambda w: _windows(w, width, lambda i: F.array_join(F.slice(w, i + 1, width), " ")))
+def shingles(ws: Column, *widths: int) -> Column:
+    of_words = lambda w, width: _windows(w, width, lambda i: F.array_join(F.slice(w, i + 1, width), " "))
+    return _let(ws, lambda w: F.concat(*[of_words(w, width) for width in widths]))
 
 
 def _size_class(n: Column) -> Column:
@@ -55,7 +56,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     """id, item, n_item and n_shared of each pair in which the document contains ``percent`` of the item's shingles.
 
     Sets are distinct shingles of ``width`` words, A-Z as a-z; a text of fewer words is one shingle, its whole
-    sequence, so a shorter item is found only in a document of the same words. Items and documents that are null,
+    sequence, and such an item is found wherever its sequence stands in a document. Items and documents that are null,
     empty or blank have no shingles and no pairs. Rows of one id are one document (null ids too), rows of one item
     are one item; items with a null id are left out. Repeated rows change nothing. Other columns are left aside.
     """
@@ -74,17 +75,20 @@ def leaked_items(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     order = Window.partitionBy("item").orderBy("hash")
     sketch = of_item.join(largest, "class").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("item", "hash")
     sketch = scratch.table(sketch, "sketch")
+    # Shorter items are looked up among the documents' shingles of their lengths.
+    length = F.size(F.split("shingle", " "))
+    widths = [width, *sorted(r[0] for r in of_item.select(length.alias("m")).filter(F.col("m") < width).distinct().collect())]
     bound = sketch.agg(F.count("*").alias("rows"), F.max("hash").alias("top")).first()
     if not bound["rows"]:
         return docs.select("id", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared")).filter("false")
     wanted = sketch.groupBy("hash").agg(F.collect_list("item").alias("items"))
     bounded = bound["rows"] <= BROADCAST_ROWS
-    low = docs.select("id", F.explode_outer(F.filter(hashes(words(F.col("text")), width), lambda h: h <= bound["top"])).alias("hash"))
+    low = docs.select("id", F.explode_outer(F.filter(hashes(words(F.col("text")), *widths), lambda h: h <= bound["top"])).alias("hash"))
     hits = low.join(F.broadcast(wanted) if bounded else wanted, "hash").select("id", F.explode("items").alias("item")).distinct()
     hits = scratch.table(hits, "hits")
     # Verification on the words of the candidates.
     own = docs.join(hits.select(F.col("id").alias("hit")).distinct(), F.col("id").eqNullSafe(F.col("hit")), "left_semi")
-    found = own.select("id", F.explode_outer(F.array_distinct(shingles(words(F.col("text")), width))).alias("shingle"))
+    found = own.select("id", F.explode_outer(F.array_distinct(shingles(words(F.col("text")), *widths))).alias("shingle"))
     of_item = of_item.select("item", "shingle", "n")
     small = of_item.count() <= BROADCAST_ROWS
     shared = found.join(F.broadcast(of_item) if small else of_item, "shingle").groupBy("id", "item", "n").agg(F.count_distinct("shingle").alias("n_shared"))

@@ -179,6 +179,20 @@ def test_leaks_equal_brute_force(spark, docs):
     assert decontaminate.leaked_items(empty(spark), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_short_items_are_found_inside_longer_documents(spark):
+    texts = [(1, "alpha beta gamma"), (2, prose(21, 30) + " Alpha  beta\tgamma " + prose(22, 9)), (3, "alpha beta gamma delta"), (4, "alpha x beta gamma and more words"), (5, prose(23, 40) + " one"), (6, None), (7, ""), (8, prose(24, 50) + " " + BASE)]
+    items = [(1, "alpha beta gamma"), (2, "ONE"), (3, "gamma delta"), (4, "nowhere to be found"), (5, " ".join(BASE.split()[10:60]))]
+    got = decontaminate.leaked_items(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    places = lambda t, m: {tuple(words(t)[i : i + m]) for i in range(len(words(t)) - m + 1)}
+    want = set()
+    for i, item in items:
+        m = min(5, len(words(item)))
+        need = places(item, m)
+        want |= {(d, i, len(need), len(need & places(t, m))) for d, t in texts if 100 * len(need & places(t, m)) >= 80 * len(need)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert {w[:2] for w in want} == {(1, 1), (2, 1), (3, 1), (5, 2), (3, 3), (8, 5)}
+
+
 # --- packing ---
 
 
