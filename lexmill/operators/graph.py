@@ -63,7 +63,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
     for i in range(iterations + 1):
         seen = Observation()
         loose = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("loose")
-        path = scratch.write(scores.observe(seen, loose, F.max("score").alias("top")), f"scores{i}", tidy=i % 10 == 9)
+        path = scratch.write(scores.observe(seen, loose, F.max("score").alias("top")), f"scores{i}")
         scores = scratch.read(path, scores.schema)
         every = every if every is not None else scores.select("id", "dangling")
         if i == iterations:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
@@ -14,14 +14,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Session settings of the engine: small Arrow batches, so that a task's memory does not follow the number of rows in a
+#: batch, and shuffle files that go as soon as the result of their query is written.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (local runs and tests) a folder of
-    this machine is taken, and remembered in the session.
+    Where that is unset, a session in one process (local runs and tests) takes a folder of its own; on a cluster, where
+    executors would not see it, that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("lexmill.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("lexmill.shared.dir", found)
     return found.rstrip("/")
@@ -32,26 +43,20 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
         self.root = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def write(self, df: DataFrame, tag: str, partition_by: list[str] | None = None, tidy: bool = True) -> str:
+    def write(self, df: DataFrame, tag: str, partition_by: list[str] | None = None) -> str:
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{tag}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(path)
-        del df, writer
-        if tidy:
-            self.tidy()
         return path
 
-    def tidy(self) -> None:
-        """Let Spark's cleaner drop the shuffle files of steps whose results are written."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
     def read(self, path: str, schema=None) -> DataFrame:
         reader = self.spark.read
         return (reader.schema(schema) if schema is not None else reader).parquet(path)
