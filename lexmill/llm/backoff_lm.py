@@ -1,20 +1,27 @@
-"""Language-model scores by a weighted backoff automaton.
-
-States are the empty history and each word with a count; a word's state has an arc for every bigram that training
-texts hold, and a failure arc, with the state's backoff weight, to the empty history, whose arcs are the words. A text
-is read from left to right: the state's arc for the next word is taken, else the failure arc and then the word's arc;
-log-probabilities add up on the way. With bigrams a state is the word before, so a whole run of texts is read at once.
-
-A bigram (h, w) has probability (c(h, w) + m(h) P(w)) / (c(h) + m(h)), with m(h) = 1 + 2 c(h) ** 0.8, about the
-number of different words that follow a word of that count (Heaps' law); the failure arc weighs m(h) / (c(h) + m(h)).
-P(w) is the base model's. For every history the probabilities of all words and of the unknown word sum to one.
-
-The automaton grows with the corpus and is never whole in one place. Documents belong to splits (their part of an input
-file, or a hash where there is no file); a split needs only the states and arcs that its own texts can meet. So each
-split sends its distinct words and bigrams (with counts from training texts) to the partitions of their hashes,
-counts are summed there, and what each split asked for comes back as its part of the automaton. Words and bigrams
-travel as packed runs of sorted hashes (their differences, byte by byte); counts come back alone, in the order of
-the hashes, which the split finds again from its texts.
+"""Language-model scores by a weighted backoff automaton over words, pairs and triples.
+
+States are histories: the empty one, each word and each pair of words that training texts hold. A history's state has an arc
+for every word that follows it there, to the state of the longest known history that then ends the text, and a failure
+arc, with a backoff weight, to the history without its first word; the empty history has an arc for every word. A text is
+read once from left to right: the state's arc for the next word is taken if there is one, else failure arcs are followed
+until there is; log-probabilities and backoff weights add up on the way.
+
+A word w has, after history h, probability (c(h w) + m(h) P(w | h')) / (c(h) + m(h)), where h' is h without its first word,
+and m(h) = 1 + f c(h) ** 0.8, about the number of different words that follow a history of that count (Heaps' law). So the
+failure arc weighs m(h) / (c(h) + m(h)), and P(w | empty) is the base model's. For every history the probabilities of
+all words and of the unknown word sum to one.
+
+The automaton grows with the corpus and is never whole in one place. Documents belong to splits of about
+``SPLIT_BYTES`` of text; a split needs only the states and arcs that its own texts can meet. So each split sends
+its distinct n-grams (with counts from training texts) to the partitions of their hashes, counts are summed there, and
+what each split asked for comes back. N-grams travel as packed runs of sorted hashes (their differences, byte by byte);
+counts come back alone, in the order of the hashes, which the split finds again from its texts. What travels is at
+most one entry for each n-gram of a text, whatever the number of splits and partitions.
+
+A split reads many tapes in step: pieces of its texts, each of which carries its own state. A piece that starts inside a
+text first reads the two tokens before it, which is all of the past that a state knows.
+
+N-grams go by 63-bit hashes of their words' 64-bit hashes; counts are exact but for chance collisions of those.
 """
 
 from __future__ import annotations
@@ -31,19 +38,23 @@ from pyspark.sql import functions as F
 from lexmill.llm.bytewords import mix, text_chunks, word_hashes, words
 from lexmill.session import Scratch, table
 
-#: Pseudo-count of the base model; factor and power of a state's weight for its failure arc.
-BASE_PRIOR, STATE_FACTOR, STATE_POWER = 0.1, 2.0, 0.8
+#: Pseudo-count of the base model; factors (by the history's length) and power of a state's weight for its failure arc.
+BASE_PRIOR, STATE_FACTORS, STATE_POWER = 0.1, (2.0, 2.0), 0.8
 #: Bytes of text of a split and of a partition of hashes, about.
-SPLIT_BYTES, PART_BYTES, LEAST_PARTS = 16 << 20, 16 << 20, 16
+SPLIT_BYTES, PART_BYTES, LEAST_PARTS = 8 << 20, 8 << 20, 16
+#: Tokens that a task gathers before it sends their n-grams.
+GATHERED = 4_000_000
+#: Tokens of a tape, but for its first two.
+TAPE = 256
 END = np.uint64(0x1BD11BDAA9FC1A22)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct n-grams that a task gathers for a split before it sends them.
-GATHERED = 6_000_000
+_ONE = np.uint64(1)
 
-WORD, PAIR, TOTALS = 0, 1, 2
+#: Kinds of rows by the length of their n-grams, and the kind that carries a partition's totals.
+ORDERS, TOTALS = (1, 2, 3), 0
 _RUN = "split long, part int, kind int, grams binary, counts binary"
 _RUN_ARROW = pa.schema([("split", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-_BACK = "split long, kind int, part int, counts binary"
+_BACK = "split long, kind int, part int, counts binary, distinct_tokens long, all_tokens long"
 
 
 def pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -61,16 +72,23 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, out_at
 
 
-def _pairs(tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bigram hash, left word) at every token; the first of a document has the end as its left word."""
+def grams(tok: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Even hashes, at every token, of the word, the pair and the triple that it ends.
+
+    The word before a text's first is the end; a first word ends no triple (0).
+    """
     left = np.empty_like(tok)
     left[1:] = tok[:-1]
     left[at[:-1]] = END
-    return pair_hashes(left, tok), left
+    pair = pair_hashes(left, tok)
+    triple = np.zeros_like(tok)
+    triple[1:] = pair_hashes(pair[:-1] + _STEP, tok[1:])
+    triple[at[:-1]] = 0
+    return [x & ~_ONE for x in (tok, pair, triple)]
 
 
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return (hashes % np.uint64(parts)).astype(np.int64)
+    return ((hashes >> _ONE) % np.uint64(parts)).astype(np.int64)
 
 
 def pack_grams(grams: np.ndarray) -> bytes:
@@ -94,69 +112,58 @@ def unpack_counts(raw: bytes, n: int) -> np.ndarray:
     return counts
 
 
-class _Gather:
-    """Distinct n-grams of one kind with counts, merged now and then."""
-
-    def __init__(self):
-        self.grams, self.counts, self.waiting, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
-        self.waiting.append((grams, counts))
-        self.size += len(grams)
-        if self.size > max(1 << 16, len(self.grams) // 2):
-            self.merge()
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Places at which a sorted array has a new value."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
-    def merge(self) -> None:
-        if self.waiting:
-            grams = np.concatenate([self.grams, *(g for g, _ in self.waiting)])
-            counts = np.concatenate([self.counts, *(c for _, c in self.waiting)])
-            self.grams, self.counts = summed(grams, counts)
-            self.waiting, self.size = [], 0
 
+def counted(grams: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct even hashes, ascending, and how often each stands where ``train`` holds; 0 is no n-gram."""
+    marked = np.sort(grams | train.astype(np.uint64))
+    marked = marked[np.searchsorted(marked, np.uint64(2)) :]
+    first = _firsts(marked & ~_ONE)
+    return marked[first] & ~_ONE, np.add.reduceat((marked & _ONE).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
-def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(grams, kind="stable")
-    grams, counts = grams[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-    return grams[first], np.add.reduceat(counts, first) if len(first) else counts
 
-
-def _send(split: int, kind: int, own: _Gather, parts: int) -> pa.RecordBatch:
-    own.merge()
-    part = _part(own.grams, parts)
+def _send(split: int, kind: int, names: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    part = _part(names, parts)
     order = np.argsort(part, kind="stable")
-    grams, counts, part = own.grams[order], own.counts[order], part[order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(part))
-    rows = [(split, int(part[a]), kind, pack_grams(grams[a:b]), pack_counts(counts[a:b])) for a, b in zip(cuts, ends, strict=True)]
-    if not rows:
-        return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _RUN_ARROW], schema=_RUN_ARROW)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RUN_ARROW, strict=True)], schema=_RUN_ARROW)
+    names, counts, part = names[order], counts[order], part[order]
+    cuts = _firsts(part)
+    rows = [(split, int(part[a]), kind, pack_grams(names[a:b]), pack_counts(counts[a:b])) for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_RUN_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RUN_ARROW, strict=True)], schema=_RUN_ARROW)
 
 
 def _ask(parts: int):
-    """A task's distinct words and bigrams by split."""
+    """A task's distinct n-grams by split."""
+
+    def sent(held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        by_split = defaultdict(list)
+        for split, *rest in held:
+            by_split[split].append(rest)
+        for split, runs in by_split.items():
+            tok, sizes = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+            train = np.repeat(np.concatenate([r[2] for r in runs]), sizes)
+            for kind, names in zip(ORDERS, grams(tok, np.append(0, np.cumsum(sizes))), strict=True):
+                yield _send(split, kind, *counted(names, train), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[tuple[int, int], _Gather] = defaultdict(_Gather)
+        held, size = [], 0  # (split, tokens, tokens of each text, whether each text trains)
         for batch in batches:
             split, train = batch.column("split").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False)
-            order = pa.array(np.argsort(split, kind="stable"))
-            batch, split, train = batch.take(order), split[order.to_numpy()], train[order.to_numpy()]
-            for a, b, data, offsets in text_chunks(batch.column("text")):
+            order = np.argsort(split, kind="stable")
+            split, train = split[order], train[order]
+            for a, b, data, offsets in text_chunks(batch.column("text").take(pa.array(order))):
                 tok, at = tokens(data, offsets)
-                pair, _ = _pairs(tok, at)
-                cuts = np.flatnonzero(np.concatenate([[True], split[a + 1 : b] != split[a : b - 1]]))
+                cuts = _firsts(split[a:b])
                 for x, y in zip(cuts, np.append(cuts[1:], b - a), strict=True):
-                    weight = np.repeat(train[a + x : a + y], np.diff(at[x : y + 1])).astype(np.int64)
-                    for kind, grams in ((WORD, tok), (PAIR, pair)):
-                        own[int(split[a + x]), kind].add(*summed(grams[at[x] : at[y]], weight))
-            if sum(len(g.grams) + g.size for g in own.values()) > GATHERED:
-                for (s, kind), g in own.items():
-                    yield _send(s, kind, g, parts)
-                own.clear()
-        for (s, kind), g in own.items():
-            yield _send(s, kind, g, parts)
+                    held.append((int(split[a + x]), tok[at[x] : at[y]], np.diff(at[x : y + 1]), train[a + x : a + y]))
+                size += len(tok)
+                if size > GATHERED:
+                    yield from sent(held)
+                    held, size = [], 0
+        yield from sent(held)
 
     return run
 
@@ -164,84 +171,163 @@ def _ask(parts: int):
 def _count(key: tuple, asked: pd.DataFrame) -> pd.DataFrame:
     """One partition of hashes: total counts, sent back to each split for the hashes that it asked for, in order."""
     part, kind = int(key[0]), int(key[1])
-    grams = [unpack_grams(x) for x in asked["grams"]]
-    counts = [unpack_counts(x, len(g)) for x, g in zip(asked["counts"], grams, strict=True)]
-    names, total = summed(np.concatenate(grams), np.concatenate(counts))
+    names = [unpack_grams(x) for x in asked["grams"]]
+    counts = np.concatenate([unpack_counts(x, len(g)) for x, g in zip(asked["counts"], names, strict=True)])
+    every = np.concatenate(names)
+    order = np.argsort(every)
+    every = every[order]
+    first = _firsts(every)
+    every, total = every[first], np.add.reduceat(counts[order], first)
+    del order, counts
     by_split: dict[int, list[np.ndarray]] = defaultdict(list)
-    for split, own in zip(asked["split"], grams, strict=True):
+    for split, own in zip(asked["split"], names, strict=True):
         by_split[int(split)].append(own)
     rows = []
     for split, runs in by_split.items():
         own = runs[0] if len(runs) == 1 else np.unique(np.concatenate(runs))
-        rows.append((split, kind, part, pack_counts(total[np.searchsorted(names, own)])))
-    if kind == WORD:
-        rows.append((0, TOTALS, part, np.array([(total > 0).sum(), total.sum()], np.int64).tobytes()))
-    return pd.DataFrame(rows, columns=["split", "kind", "part", "counts"])
+        rows.append((split, kind, part, pack_counts(total[np.searchsorted(every, own)]), None, None))
+    if kind == 1:
+        rows.append((0, TOTALS, part, None, int((total > 0).sum()), int(total.sum())))
+    out = pd.DataFrame(rows, columns=["split", "kind", "part", "counts", "distinct_tokens", "all_tokens"])
+    return out.astype({"distinct_tokens": "Int64", "all_tokens": "Int64"})
 
 
 class Automaton:
-    """The part of the automaton that one split's texts can meet."""
+    """The part of the automaton that one split's texts can meet.
 
-    def __init__(self, words_: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray], n: int, v: int):
-        self.words, self.pairs, self.n, self.v = self._sorted(*words_), self._sorted(*pairs), n, v
+    State 0 is the empty history. Arcs are kept by state and word in one sorted table; those of state 0 by word alone.
+    ``tok``, ``at``: the split's tokens and their offsets by document; ``counts``: totals of their words, pairs and triples,
+    each in the ascending order of the distinct hashes.
+    """
 
-    @staticmethod
-    def _sorted(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(names, kind="stable")
-        return names[order], counts[order]
+    def __init__(self, tok: np.ndarray, at: np.ndarray, counts: list[np.ndarray], n: int, v: int):
+        names = grams(tok, at)
+        # Words by number; pairs and triples by one place where they stand.
+        order = np.argsort(names[0])
+        first = _firsts(names[0][order])
+        self.word = np.empty(len(tok), np.int32)
+        self.word[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(tok))))
+        self.word_counts, self.vocabulary = counts[0], len(first)
+        self.end = int(self.word[at[1] - 1])  # every text ends with the end
+        p1 = (self.word_counts + BASE_PRIOR) / (n + BASE_PRIOR * (v + 1))
+        self.base = np.log10(p1)
+
+        order = np.argsort(names[1])
+        first = _firsts(names[1][order])
+        pair = np.empty(len(tok), np.int32)
+        pair[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(tok))))
+        place = order[first]
+        left = np.where(np.isin(place, at[:-1]), self.end, self.word[place - 1])
+        c2, right = counts[1], self.word[place]
+        self.of_word = np.where(self.word_counts > 0, np.cumsum(self.word_counts > 0), 0)
+        words_known = int((self.word_counts > 0).sum())
+        of_pair = np.where(c2 > 0, words_known + np.cumsum(c2 > 0), 0)
+        p2, fail1 = self._arcs(c2, self.word_counts[left], p1[right], 0)
+
+        order = np.argsort(names[2])
+        order = order[np.searchsorted(names[2], np.uint64(2), sorter=order) :]
+        place = order[_firsts(names[2][order])]
+        c3, history, last = counts[2], pair[place - 1], pair[place]
+        p3, _ = self._arcs(c3, c2[history], p2[last], 1)
+
+        known2, known3 = np.flatnonzero(c2 > 0), np.flatnonzero(c3 > 0)
+        key = np.concatenate([self.of_word[left[known2]] * self.vocabulary + right[known2], of_pair[history[known3]] * self.vocabulary + right[last[known3]]])
+        order = np.argsort(key)
+        self.key = key[order]
+        self.to = np.concatenate([of_pair[known2], of_pair[last[known3]]])[order]
+        self.log = np.log10(np.concatenate([p2[known2], p3[known3]]))[order]
+        # Failure arcs: of a pair's state to its second word's, of a word's state to 0.
+        states = 1 + words_known + len(known2)
+        self.fail_to, self.fail_log = np.zeros(states, np.int64), np.zeros(states)
+        self.fail_log[self.of_word] = np.log10(self._weight(self.word_counts, 0))
+        self.fail_to[of_pair[known2]] = self.of_word[right[known2]]
+        self.fail_log[of_pair[known2]] = np.log10(self._weight(c2[known2], 1))
 
     @staticmethod
-    def _find(table_: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
-        names, counts = table_
-        if not len(names):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        return np.where(names[at] == keys, counts[at], 0)
-
-    def read(self, tok: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words' counts, log10 base, log10 arc) at every token."""
-        pair, left = _pairs(tok, at)
-        c = self._find(self.words, tok)
-        base = (c + BASE_PRIOR) / (self.n + BASE_PRIOR * (self.v + 1))
-        state = np.empty_like(c)
-        state[1:] = c[:-1]
-        first = self._find(self.words, np.array([END], np.uint64))[0]
-        state[at[:-1]] = first
-        arc = self._find(self.pairs, pair)
-        weight = np.where(state > 0, 1.0 + STATE_FACTOR * state.astype(float) ** STATE_POWER, 1.0)
-        return c, np.log10(base), np.log10((arc + weight * base) / (state + weight))
+    def _mass(c: np.ndarray, length: int) -> np.ndarray:
+        return 1.0 + STATE_FACTORS[length] * c.astype(float) ** STATE_POWER
+
+    def _weight(self, c: np.ndarray, length: int) -> np.ndarray:
+        return self._mass(c, length) / (c + self._mass(c, length))
+
+    def _arcs(self, c: np.ndarray, of_history: np.ndarray, lower: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(probabilities of words after histories, histories' failure weights)."""
+        mass = self._mass(of_history, length)
+        return (c + mass * lower) / (of_history + mass), mass / (of_history + mass)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 of the ways, next states) of tapes in ``state`` that read ``word``."""
+        log, out = np.zeros(len(state)), np.empty(len(state), np.int64)
+        open_ = np.arange(len(state))
+        while len(open_):
+            now, read = state[open_], word[open_]
+            root = now == 0
+            done = open_[root]
+            log[done] += self.base[read[root]]
+            out[done] = self.of_word[read[root]]
+            open_, now, read = open_[~root], now[~root], read[~root]
+            if not len(open_):
+                break
+            key = now * self.vocabulary + read
+            at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+            hit = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
+            done = open_[hit]
+            log[done] += self.log[at[hit]]
+            out[done] = self.to[at[hit]]
+            open_, now = open_[~hit], now[~hit]
+            log[open_] += self.fail_log[now]
+            state = state.copy()
+            state[open_] = self.fail_to[now]
+        return log, out
+
+    def read(self, at: np.ndarray) -> np.ndarray:
+        """log10 probability of each text."""
+        n = np.diff(at)
+        tapes = -(-n // TAPE)
+        doc = np.repeat(np.arange(len(n)), tapes)
+        start = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(tapes) - tapes, tapes)) * TAPE
+        stop = np.minimum(start + TAPE, at[doc + 1])
+        inside = start > at[doc]
+        state = np.where(inside, 0, self.of_word[self.end])
+        for back in (2, 1):
+            own = np.flatnonzero(inside)
+            state[own] = self.step(state[own], self.word[start[own] - back])[1]
+        order = np.argsort(start - stop, kind="stable")  # longest first
+        start, size, state = start[order], (stop - start)[order], state[order]
+        total = np.zeros(len(doc))
+        active = np.searchsorted(-size, -np.arange(TAPE), side="left")  # tapes longer than each depth
+        for depth in range(int(size[0]) if len(size) else 0):
+            k = active[depth]
+            log, state[:k] = self.step(state[:k], self.word[start[:k] + depth])
+            total[:k] += log
+        return np.bincount(doc[order], weights=total, minlength=len(n))
 
 
 def _score(n: int, v: int, parts: int):
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        def side(kind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The split's distinct hashes in the order in which they were asked for, with the counts that came back."""
-            own = back.filter(pa.compute.equal(back.column("kind"), kind)).sort_by("part")
-            part = _part(grams, parts)
-            grams = grams[np.argsort(part, kind="stable")]
-            sizes = np.bincount(part, minlength=parts)
-            counts = [unpack_counts(c.as_py(), sizes[p]) for p, c in zip(own.column("part").to_pylist(), own.column("counts"), strict=True)]
-            return grams, np.concatenate(counts) if counts else np.zeros(0, np.int64)
-
         train = docs.column("train").to_numpy()
-        own: dict[int, _Gather] = defaultdict(_Gather)
-        for _a, _b, data, offsets in text_chunks(docs.column("text")):
-            tok, at = tokens(data, offsets)
-            for kind, grams in ((WORD, tok), (PAIR, _pairs(tok, at)[0])):
-                grams = np.unique(grams)
-                own[kind].add(grams, np.ones(len(grams), np.int64))
-        for gather in own.values():
-            gather.merge()
-        automaton = Automaton(side(WORD, own[WORD].grams), side(PAIR, own[PAIR].grams), n, v)
-        own.clear()
-        out = [np.zeros(docs.num_rows) for _ in range(4)]
-        for a, b, data, offsets in text_chunks(docs.column("text")):
-            tok, at = tokens(data, offsets)
-            c, base, arc = automaton.read(tok, at)
-            for o, values in zip(out, (np.ones(len(tok)), c > 0, base, arc), strict=True):
-                o[a:b] = np.add.reduceat(values.astype(float), at[:-1])
-        columns = [docs.column("doc_id"), pa.array(~train), pa.array(out[0].astype(np.int64)), pa.array(out[1].astype(np.int64)), pa.array(np.full(docs.num_rows, n)), pa.array(out[2]), pa.array(out[3])]
-        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        runs = [tokens(data, offsets) for _a, _b, data, offsets in text_chunks(docs.column("text"))]
+        tok = np.concatenate([t for t, _ in runs]) if runs else np.zeros(0, np.uint64)
+        at = np.append(0, np.cumsum(np.concatenate([np.diff(a) for _, a in runs]))) if runs else np.zeros(1, np.int64)
+        del runs
+        counts = []
+        for kind, names in zip(ORDERS, grams(tok, at), strict=True):
+            names, _ = counted(names, np.zeros(len(names), bool))
+            # Counts came back by partition, within it by hash.
+            part = _part(names, parts)
+            sizes = np.bincount(part, minlength=parts)
+            own = back.filter(pa.compute.equal(back.column("kind"), kind)).sort_by("part")
+            got = [unpack_counts(c.as_py(), sizes[p]) for p, c in zip(own.column("part").to_pylist(), own.column("counts"), strict=True)]
+            found = np.zeros(len(names), np.int64)
+            found[np.argsort(part, kind="stable")] = np.concatenate(got) if got else 0
+            counts.append(found)
+        columns = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        if docs.num_rows:
+            automaton = Automaton(tok, at, counts, n, v)
+            known = automaton.word_counts[automaton.word] > 0
+            columns = [np.diff(at), np.add.reduceat(known.astype(np.int64), at[:-1]), np.add.reduceat(automaton.base[automaton.word], at[:-1]), automaton.read(at)]
+        arrays = [docs.column("doc_id"), pa.array(~train), pa.array(columns[0]), pa.array(columns[1]), pa.array(np.full(docs.num_rows, n)), pa.array(columns[2]), pa.array(columns[3])]
+        return pa.table(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -257,27 +343,19 @@ def score_texts(docs: DataFrame, train, text: str = "text", id_col: str = "doc_i
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    file = F.input_file_name()
-    shares = max(1, -(-2 * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) // (2 * SPLIT_BYTES)))
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts, loose = max(LEAST_PARTS, -(-size // PART_BYTES)), max(LEAST_PARTS, -(-size // SPLIT_BYTES))
-    salt = F.xxhash64(id_col, F.length(text))
-    split = F.when(file != "", F.xxhash64(file, F.input_file_block_start(), F.pmod(salt, F.lit(shares)))).otherwise(F.pmod(salt, F.lit(loose)))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), split.alias("split"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
+    # A split: a share of the rows of one block of a file; where there is no file, a share of all rows.
+    sizes = docs.groupBy("file", "block").agg(F.sum(F.octet_length("text")).alias("size")).agg(F.max("size").alias("largest"), F.sum("size").alias("all")).first()
+    shares = max(1, -(-(sizes["largest"] or 0) // SPLIT_BYTES))
+    parts = max(LEAST_PARTS, -(-(sizes["all"] or 0) // PART_BYTES))
+    share = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shares))
+    docs = docs.select("doc_id", "text", "train", F.xxhash64("file", "block", share).alias("split"))
     asked = docs.select("split", "train", "text").mapInArrow(_ask(parts), _RUN)
     back = scratch.table(asked.groupBy("part", "kind").applyInPandas(_count, _BACK), "back")
-    totals = [np.frombuffer(r[0], np.int64) for r in back.filter(F.col("kind") == TOTALS).select("counts").collect()]  # a row for each part
-    v, n = (int(x) for x in (np.sum(totals, axis=0) if totals else (0, 0)))
+    totals = back.filter(F.col("kind") == TOTALS).agg(F.sum("distinct_tokens").alias("v"), F.sum("all_tokens").alias("n")).first()
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    own = back.filter(F.col("kind") != TOTALS)
-    return docs.groupBy("split").cogroup(own.groupBy("split")).applyInArrow(_score(n, v, parts), schema)
-
-
-def _bytes(text: str) -> int:
-    """A size setting of Spark as bytes."""
-    units = {"k": 10, "m": 20, "g": 30, "t": 40}
-    text = text.lower().removesuffix("b")
-    return int(text[:-1]) << units[text[-1]] if text[-1] in units else int(text)
+    own = back.filter(F.col("kind") != TOTALS).select("split", "kind", "part", "counts")
+    return docs.groupBy("split").cogroup(own.groupBy("split")).applyInArrow(_score(totals["n"] or 0, totals["v"] or 0, parts), schema)
 
 
 def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

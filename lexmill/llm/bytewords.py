@@ -7,12 +7,13 @@ size of its partition (a single longer text is a chunk of its own).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
@@ -34,23 +35,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_STEP))
-_BYTE_LOWER = _BYTE[_LOWER]
-_BASE = 0x9E3779B97F4A7C13 | 3  # 3 mod 8: few factors of two in base**n - 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and grown within a worker."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 1))
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have[:n]
+#: Random words by place in a word and byte; A-Z have those of a-z. Longer words are hashed by a digest of their bytes.
+TABLE_BYTES = 64
+_TABLE = mix(np.arange(1, TABLE_BYTES * 256 + 1, dtype=np.uint64) * np.uint64(_STEP)).reshape(TABLE_BYTES, 256)
+_TABLE_LOWER = np.ascontiguousarray(_TABLE[:, _LOWER]).ravel()
 
 
 def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -85,13 +73,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z as a-z, the same wherever the word stands."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z as a-z, the same wherever the word stands.
+
+    Words of up to ``TABLE_BYTES`` bytes are hashed by tabulation (the random words of their bytes by place, combined by
+    exclusive or), longer ones by a digest: no two words collide but by chance.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * powers(_BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_BASE_INV, len(data))[starts] + (ends - starts).astype(np.uint64))
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(first[-1] + size[-1]), dtype=np.int64) - np.repeat(first, size)
+    letters = data[place + np.repeat(starts, size)]
+    np.minimum(place, TABLE_BYTES - 1, out=place)
+    out = mix(np.bitwise_xor.reduceat(_TABLE_LOWER[place * 256 + letters], first) + size.astype(np.uint64))
+    for i in np.flatnonzero(size > TABLE_BYTES).tolist():
+        word = _LOWER[data[starts[i] : ends[i]]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out
 
 
 def shingle_hashes(hashes: np.ndarray, word_offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,15 +117,15 @@ def segments_unique(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     """Each document's distinct values, ascending, with new offsets."""
     if not len(values):
         return values, offsets
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((values, owner))
-    v, o = values[order], owner[order]
-    keep = np.ones(len(v), dtype=bool)
-    keep[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
-    counts = np.bincount(o[keep], minlength=len(offsets) - 1)
-    out = np.zeros(len(offsets), dtype=np.int64)
-    np.cumsum(counts, out=out[1:])
-    return v[keep], out
+    values, cuts = values.copy(), offsets.tolist()
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        values[x:y].sort()
+    keep = np.ones(len(values), dtype=bool)
+    keep[1:] = values[1:] != values[:-1]
+    keep[offsets[:-1][np.diff(offsets) > 0]] = True
+    out = np.zeros(len(values) + 1, dtype=np.int64)
+    np.cumsum(keep, out=out[1:])
+    return values[keep], out[offsets]
 
 
 def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -122,6 +123,39 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 31)) and all(got[i] == 100 for i in (100, 101, 102))
 
 
+def collide(n):
+    """Two different words of 2**n letters that every polynomial hash modulo 2**64 takes for one, for n >= 11."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_are_told_apart(spark):
+    one, two = collide(12)
+    rows = [(1, one), (2, two), (3, one.upper()), (4, one[:64]), (5, two[:64]), (6, one[:65]), (7, one[:65] + " "), (8, "a" * 64), (9, "a" * 65)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(frame).collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 1, 4), (5, 1, 5), (6, 1, 6), (7, 1, 6), (8, 1, 8), (9, 1, 9)]
+    known = {r.doc_id: r.n_known for r in backoff_lm.score_texts(frame, F.col("doc_id") == 1).collect()}
+    assert known[2] == 1 and known[3] == 2  # the end, and the word in capitals
+
+
+def test_copies_too_far_apart_to_link(spark):
+    r = random.Random(12)
+    base = [r.choice(VOCABULARY) + str(i) for i in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for at in r.sample(range(150), 2 if i % 3 else 5):
+            w[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    want = classes(rows)
+    assert 1 < len({c for _, _, c in want}) < 100
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((x.id, x.n_shingles, x.component_id) for x in jaccard_join.near_duplicates(frame).collect()), key=str) == want
+
+
 # --- suffix arrays ---
 
 
@@ -286,30 +320,74 @@ def test_top_k_with_ties(spark):
 # --- language model ---
 
 
-def test_scores_equal_brute_force(spark, docs):
-    train = F.col("doc_id") % 3 != 0
-    rows = backoff_lm.score_texts(docs, train).collect()
-    texts = [(i, t, i is not None and i % 3 != 0) for i, t, _ in DOCS]
-    uni, bi = collections.Counter(), collections.Counter()
+def walk(texts):
+    """(score, base) of each text by a dictionary automaton: states are tuples of words, failure arcs drop the first."""
+    counts = [collections.Counter() for _ in range(3)]
     for _, t, learn in texts:
+        w = [*words(t), "\n"]
         if learn:
-            w = [*words(t), "\n"]
-            uni.update(w)
-            bi.update(zip(["\n", *w[:-1]], w, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    p = lambda w: (uni[w] + 0.1) / (n + 0.1 * (v + 1))
-    want = []
-    for i, t, learn in texts:
+            counts[0].update((x,) for x in w)
+            counts[1].update(zip(["\n", *w[:-1]], w, strict=True))
+            counts[2].update(zip(["\n", *w[:-2]], w[:-1], w[1:], strict=False))
+    n, v = sum(counts[0].values()), len(counts[0])
+    base = lambda x: (counts[0][(x,)] + 0.1) / (n + 0.1 * (v + 1))
+    known = lambda h: not h or counts[len(h) - 1][h] > 0
+    mass = lambda h: 1 + 2 * counts[len(h) - 1][h] ** 0.8
+    fail = lambda h: mass(h) / (counts[len(h) - 1][h] + mass(h))
+
+    def arc(h, x):
+        if not h:
+            return base(x)
+        c = counts[len(h)][(*h, x)]
+        return (c + mass(h) * (arc(h[1:], x) if counts[len(h) - 1][(*h[1:], x)] or len(h) == 1 else 0)) / (counts[len(h) - 1][h] + mass(h)) if c else None
+
+    out, longest = [], 0
+    for _, t, _ in texts:
+        state, score = (("\n",) if known(("\n",)) else ()), 0.0
         w = [*words(t), "\n"]
-        weight = lambda h: 1 + 2 * uni[h] ** 0.8 if uni[h] else 1.0
-        score = sum(math.log10((bi[h, x] + weight(h) * p(x)) / (uni[h] + weight(h))) for h, x in zip(["\n", *w[:-1]], w, strict=True))
-        want.append((i, not learn, len(w), sum(uni[x] > 0 for x in w), n, round(sum(math.log10(p(x)) for x in w), 6), round(score, 6)))
+        for x in w:
+            fails = 0
+            while (p := arc(state, x)) is None:
+                score, state, fails = score + math.log10(fail(state)), state[1:], fails + 1
+            longest = max(longest, fails)
+            score += math.log10(p)
+            state = (*state, x)[-2:]
+            while not known(state):
+                state = state[1:]
+        out.append((len(w), sum(counts[0][(x,)] > 0 for x in w), n, round(sum(math.log10(base(x)) for x in w), 6), round(score, 6)))
+    return out, longest
+
+
+def test_scores_equal_a_walk(spark, docs, monkeypatch):
+    train = F.col("doc_id") % 3 != 0
+    rows = backoff_lm.score_texts(docs, train).collect()
+    texts = [(i, t, i is not None and i % 3 != 0) for i, t, _ in DOCS]
+    want, longest = walk(texts)
+    assert longest == 2
     got = [(r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in rows]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(got, key=str) == sorted(((i, not learn, *w) for (i, _, learn), w in zip(texts, want, strict=True)), key=str)
     assert backoff_lm.score_texts(empty(spark), train).count() == 0
     assert {r.train_tokens for r in backoff_lm.score_texts(docs, F.lit(False)).collect()} == {0}
 
 
+def test_tapes_and_probabilities():
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 2, 3, 255, 256, 257, 511, 700, 5)]
+    texts += [" ".join(x) for n in (1, 2, 3) for x in itertools.product([*"abcdefgh", "zz"], repeat=n)]  # every n-gram
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    tok, at = backoff_lm.tokens(data, np.append(0, np.cumsum([len(t) for t in texts])))
+    learn = np.arange(len(texts)) < 10
+    counts = [backoff_lm.counted(g, np.repeat(learn, np.diff(at)))[1] for g in backoff_lm.grams(tok, at)]
+    n, v = int(counts[0].sum()), int((counts[0] > 0).sum())
+    machine = backoff_lm.Automaton(tok, at, counts, n, v)
+    want, _ = walk([(i, t, i < 10) for i, t in enumerate(texts)])
+    assert [round(x, 6) for x in machine.read(at)] == [w[-1] for w in want]
+    # From every state the known words, the end and one unknown word have all the probability.
+    every = np.unique(machine.word)
+    for state in range(len(machine.fail_to)):
+        assert abs((10 ** machine.step(np.full(len(every), state), every)[0]).sum() - 1) < 1e-9
+
+
 def test_grams_round_trip():
     grams = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2))
     assert (backoff_lm.unpack_grams(backoff_lm.pack_grams(grams)) == grams).all()
