@@ -382,10 +382,16 @@ def test_tapes_and_probabilities():
     machine = backoff_lm.Automaton(tok, at, counts, n, v)
     want, _ = walk([(i, t, i < 10) for i, t in enumerate(texts)])
     assert [round(x, 6) for x in machine.read(at)] == [w[-1] for w in want]
-    # From every state the known words, the end and one unknown word have all the probability.
+    # From every state that a text goes on from the known words, the end and one unknown word have all the probability.
     every = np.unique(machine.word)
-    for state in range(len(machine.fail_to)):
-        assert abs((10 ** machine.step(np.full(len(every), state), every)[0]).sum() - 1) < 1e-9
+    seen, fresh = set(), {0, int(machine.of_word[machine.end])}
+    while fresh:
+        state = fresh.pop()
+        seen.add(state)
+        log, to = machine.step(np.full(len(every), state), every)
+        assert abs((10**log).sum() - 1) < 1e-9
+        fresh |= set(to[every != machine.end].tolist()) - seen
+    assert len(seen) > 60
 
 
 def test_grams_round_trip():
