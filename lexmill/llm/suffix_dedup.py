@@ -2,10 +2,11 @@
 
 Documents come in batches. A batch's suffix array holds its sampled suffixes (anchors.py: every window of
 ``length`` bytes contains the start of one, at a place that depends on the window alone), in lexicographic order of
-their first K bytes. It is merge-scanned against the array of every existing level; suffixes that agree in K bytes
-within the batch or between batch and level are the places where a long match can be. The new array then becomes a
-level, and when a batch arrives, levels of one size merge pairwise into the next size, so a suffix is rewritten a
-logarithmic number of times.
+their first K bytes. It is merged, for a scan, with the array of every existing level: in the merged order each suffix is
+compared with its neighbour, and neighbours that agree in K bytes, of which one is new, are places where a long match
+can be. The new array then becomes a level, and levels of one size merge pairwise into the next size, neighbours that
+agree into one entry, so a suffix is rewritten a logarithmic number of times. A scan reads every level, so the number of
+batches grows with the logarithm of the input: the scans of n batches read the input n / 2 times.
 
 The matches are settled exactly, whatever the number of copies:
 
@@ -33,7 +34,8 @@ from lexmill.llm.bytewords import mix, text_chunks
 from lexmill.session import Scratch, table
 
 LENGTH = 400
-BATCHES = 4
+#: Join keys of one suffix: contexts of a suffix that very many texts hold are dealt to so many tasks.
+SALTS = 16
 #: Windows of a block.
 BLOCK = 16
 #: Larger groups of one block digest go through the shuffle of single windows.
@@ -46,11 +48,6 @@ _BLOCK_ARROW = pa.schema([("digest", pa.binary()), ("k1", pa.int64()), ("k2", pa
 _MARK = "k1 long, k2 int, start int, stop int"
 
 
-def _keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """Two hashes of id and text name a row; rows that agree in both are alike in result too."""
-    return docs.withColumns({"k1": F.xxhash64(id_col, text), "k2": F.hash(text, id_col)})
-
-
 def _entries(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,39 +172,87 @@ def suffix_entries(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("k1", "k2", "text").mapInArrow(_entries(length), _ENTRY)
 
 
+def batch_count(size: int) -> int:
+    """Batches for ``size`` bytes of text: one more for each doubling."""
+    return max(2, size.bit_length() - 25)
+
+
+def _neighbours(merge: bool):
+    """Of rows sorted by suffix: the suffixes that a new row shares with its neighbour, or (merge) one row for each suffix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in [*batches, None] if merge else batches:
+            if batch is not None and not batch.num_rows:
+                continue
+            parts = [x for x in (held, batch) if x is not None]
+            if not parts:
+                return
+            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            suffix = whole.column("suffix")
+            first = suffix.offset * K
+            grid = np.frombuffer(suffix.buffers()[2], np.uint64, whole.num_rows * K // 8, first).reshape(-1, K // 8)
+            same = (grid[1:] == grid[:-1]).all(axis=1)
+            if not merge:
+                fresh = whole.column("fresh").to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(same & (fresh[1:] | fresh[:-1]))
+                yield pa.RecordBatch.from_arrays([suffix.take(pa.array(hit))], names=["suffix"])
+                held = whole.slice(whole.num_rows - 1)
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            n = np.add.reduceat(whole.column("n").to_numpy(), starts)
+            done = starts if batch is None else starts[:-1]  # the last suffix may go on
+            yield pa.RecordBatch.from_arrays([suffix.take(pa.array(done)), pa.array(n[: len(done)])], names=["suffix", "n"])
+            held = None if batch is None else pa.RecordBatch.from_arrays([suffix.slice(starts[-1], 1), pa.array([True]), pa.array(n[-1:])], names=["suffix", "fresh", "n"])
+
+    return run
+
+
+class SuffixFamily:
+    """Sorted arrays of suffixes (first K bytes, and how many suffixes begin with them), of sizes that double."""
+
+    SCHEMA = "suffix binary, n long"
+
+    def __init__(self, scratch: Scratch):
+        self.scratch = scratch
+        self.levels: list[tuple[int, str]] = []  # (batches that it holds, path), larger ones first
+
+    def _sorted(self, new: str, level: str) -> DataFrame:
+        both = self.scratch.read(new, self.SCHEMA).select("suffix", F.lit(True).alias("fresh"), "n")
+        both = both.union(self.scratch.read(level, self.SCHEMA).select("suffix", F.lit(False), "n"))
+        return both.repartitionByRange("suffix").sortWithinPartitions("suffix")
+
+    def add(self, suffixes: DataFrame) -> DataFrame:
+        """The suffixes of a new batch that stand twice in it or in a level too; the batch is a level from now on."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:  # equal levels merge
+            (n, one), (_, two) = self.levels.pop(), self.levels.pop()
+            merged = self.scratch.write(self._sorted(one, two).mapInArrow(_neighbours(True), self.SCHEMA), f"level{2 * n}")
+            self.scratch.drop(one)
+            self.scratch.drop(two)
+            self.levels.append((2 * n, merged))
+        summed = suffixes.groupBy("suffix").agg(F.count("*").alias("n"))
+        new = self.scratch.write(summed.repartitionByRange("suffix").sortWithinPartitions("suffix"), "batch")
+        hits = self.scratch.read(new, self.SCHEMA).filter("n > 1").select("suffix")
+        for _, level in self.levels:
+            hits = hits.union(self._sorted(new, level).mapInArrow(_neighbours(False), "suffix binary"))
+        self.levels.append((1, new))
+        return self.scratch.table(hits, "hits")
+
+
 def repeated_suffixes(entries: DataFrame, scratch: Scratch, batches: int) -> DataFrame:
     """The K-byte suffix starts that occur more than once, through the family of arrays."""
-    levels: list[tuple[int, str]] = []  # (batches that it holds, path), larger ones first
-    schema, found = "suffix binary, n long", []
-    summed = lambda df: df.groupBy("suffix").agg(F.sum("n").alias("n"))
+    family, every = SuffixFamily(scratch), None
+    for b in range(batches):
+        hits = family.add(entries.filter(F.col("batch") == b).select("suffix"))
+        every = hits if every is None else every.union(hits)
+    return scratch.table(every.distinct(), "repeated")
 
-    def array(df: DataFrame, tag: str) -> str:
-        return scratch.write(df.repartitionByRange("suffix").sortWithinPartitions("suffix"), tag)
 
-    for b in range(batches):
-        while len(levels) > 1 and levels[-1][0] == levels[-2][0]:  # equal levels merge
-            (n, one), (_, two) = levels.pop(), levels.pop()
-            merged = array(summed(scratch.read(one, schema).union(scratch.read(two, schema))), f"level{n * 2}")
-            scratch.drop(one)
-            scratch.drop(two)
-            levels.append((n * 2, merged))
-        batch = entries.filter(F.pmod(F.col("k1"), F.lit(batches)) == b).select("suffix", F.lit(1).cast("long").alias("n"))
-        path = array(summed(batch), f"batch{b}")
-        new = scratch.read(path, schema)
-        hits = new.filter("n > 1").select("suffix")
-        for _, level in levels:  # the merge-scan: both sides sorted by suffix
-            hits = hits.union(new.select("suffix").hint("merge").join(scratch.read(level, schema).select("suffix").hint("merge"), "suffix", "left_semi"))
-        found.append(scratch.write(hits, f"hits{b}"))
-        levels.append((1, path))
-    every = scratch.read(found[0], "suffix binary")
-    for path in found[1:]:
-        every = every.union(scratch.read(path, "suffix binary"))
-    return scratch.table(every.distinct(), "hits")
-
-
-def repeat_marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> DataFrame:
+def repeat_marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batches: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
     """k1, k2, start, stop: byte ranges of ``docs`` (k1, k2, text) that repeated windows cover; ranges can overlap."""
-    entries = scratch.table(suffix_entries(docs, length), "entries")
+    batches = batches or batch_count(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    entries = suffix_entries(docs, length).withColumn("batch", F.pmod("k1", F.lit(batches)).cast("int"))
+    entries = scratch.read(scratch.write(entries, "entries", partition_by=["batch"]), entries.schema)
     hits = repeated_suffixes(entries, scratch, batches)
     # Sampled suffixes that a long match can hold, and their distinct contexts.
     held = scratch.table(
@@ -218,8 +263,10 @@ def repeat_marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batche
     )
     whole = held.join(contexts.filter("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("k1", "k2", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
     open_grams = contexts.groupBy("gram").agg(F.count("*").alias("c"), F.min("n").alias("least")).filter("c > 1 and least = 1").select("gram")
+    salted = contexts.withColumn("salt", F.pmod(F.xxhash64("context"), F.lit(SALTS)).cast("int"))
+    every_salt = open_grams.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     wanted = (
-        contexts.join(open_grams, "gram", "left_semi").select("at.*", (F.col("n") == 1).alias("once"))
+        salted.join(every_salt, ["gram", "salt"], "left_semi").select("at.*", (F.col("n") == 1).alias("once"))
         .groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "lo", "hi", "once")).alias("wants"))
     )
     wanted = scratch.table(wanted, "wanted")
@@ -236,7 +283,8 @@ def repeat_marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batche
     again = single.groupBy("digest", "e", "window").agg(F.count("*").alias("c")).filter("c > 1").select("digest", "e", "window")
     at = F.col("pos") - BLOCK * F.col("u") - F.col("e")
     more = single.filter("once").join(again, ["digest", "e", "window"], "left_semi").select("k1", "k2", at.cast("int").alias("start"), (at + length).cast("int").alias("stop"))
-    return scratch.table(whole.union(settled).union(more), "marks")
+    # Rows that are repeated as a whole have the same marks.
+    return scratch.table(whole.union(settled).union(more).distinct(), "marks")
 
 
 def _merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -251,36 +299,27 @@ def _merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def long_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, batches: int = BATCHES, group_rows: int = GROUP_ROWS) -> DataFrame:
+def long_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH, batches: int | None = None, group_rows: int = GROUP_ROWS, spans: str = "spans") -> DataFrame:
     """``docs`` with ``spans``: the byte ranges (start, stop) of the text, as UTF-8, that longer repeats cover.
 
     A byte is covered if some string of ``length`` bytes over it also starts at another place, in the same or in
     another document (overlapping places count); spans are the maximal runs. Null and short texts have none. Rows
     with the same id and text are documents of their own, so each covers the other. Null ids are ids like others.
-    Other columns stay; one named spans is replaced, ones named k1, k2 or ranges must not exist. An empty table
-    gives an empty result.
+    Other columns stay; one of the name ``spans`` is replaced. An empty table gives an empty result.
     """
-    clash = {"k1", "k2", "ranges"} & set(docs.columns)
-    if clash:
-        names = {c: f"__own_{c}" for c in clash}
-        found = long_repeats(docs.withColumnsRenamed(names), text, id_col, length, batches, group_rows)
-        return found.withColumnsRenamed({v: k for k, v in names.items()})
     scratch = Scratch(docs.sparkSession, "repeats")
-    keyed = _keyed(docs.drop("spans"), text, id_col)
-    marks = repeat_marks(keyed.select("k1", "k2", F.coalesce(F.col(text), F.lit("")).alias("text")), scratch, length, batches, group_rows)
+    keys = {"__k1": F.xxhash64(id_col, text), "__k2": F.hash(text, id_col)}
+    marks = repeat_marks(docs.select(keys["__k1"].alias("k1"), keys["__k2"].alias("k2"), F.coalesce(F.col(text), F.lit("")).alias("text")), scratch, length, batches, group_rows)
     ranges = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     @F.pandas_udf("array<struct<start:int,stop:int>>")
-    def spans(ranges: pd.Series) -> pd.Series:
-        def one(found):
-            if found is None or not len(found):
-                return []
-            return [{"start": a, "stop": b} for a, b in _merged(np.array([x["start"] for x in found]), np.array([x["stop"] for x in found]))]
-
-        return ranges.map(one)
+    def merged(ranges: pd.Series) -> pd.Series:
+        return ranges.map(lambda found: [{"start": a, "stop": b} for a, b in _merged(np.array([x["start"] for x in found]), np.array([x["stop"] for x in found]))])
 
-    ranges = ranges.select("k1", "k2", spans("ranges").alias("spans"))
-    return keyed.join(ranges, ["k1", "k2"], "left").drop("k1", "k2").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,stop:int>>)")))
+    ranges = ranges.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), merged("ranges").alias("__spans"))
+    none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
+    found = docs.drop(spans).withColumns(keys).join(ranges, ["__k1", "__k2"], "left")
+    return found.withColumn(spans, F.coalesce("__spans", none)).drop("__k1", "__k2", "__spans")
 
 
 def _kept(raw: bytes, spans) -> bytes:
@@ -294,7 +333,8 @@ def _kept(raw: bytes, spans) -> bytes:
 def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """``docs`` whose texts have lost their long repeats; null texts stay null.
 
-    A span's end inside a character moves so that the character stays whole: it is kept.
+    A span's end inside a character moves so that the character stays whole: it is kept. Other columns stay as they
+    are, whatever their names.
     """
 
     @F.pandas_udf("string")
@@ -314,26 +354,26 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    return long_repeats(docs, text, id_col, length).withColumn(text, kept(text, "spans")).drop("spans")
+    return long_repeats(docs, text, id_col, length, spans="__found").withColumn(text, kept(text, "__found")).drop("__found").select(docs.columns)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the repeats of 400 bytes leave of every document."""
+    """What the repeats of 400 bytes leave of every document; n_kept and n_chars are its bytes and characters then."""
     found = long_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, removed, n_spans, sha = [], [], [], []
+            rows = []
             for value, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw, spans = (value.as_py() or "").encode(), spans.as_py()
                 kept = _kept(raw, spans)
-                n_bytes.append(len(raw))
-                removed.append(len(raw) - len(kept))
-                n_spans.append(len(spans))
-                sha.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                chars = len(kept) - int(np.count_nonzero(np.frombuffer(kept, np.uint8) & 0xC0 == 0x80))
+                rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(kept), chars))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "n_chars"])
 
-    return found.select("doc_id", "text", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return found.select("doc_id", "text", "spans").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, n_chars long")
 
 
 SQL = None

@@ -181,6 +181,22 @@ def test_long_repeats_equal_brute_force(spark, docs, group_rows):
     assert got == removed([(i, t) for i, t, _ in DOCS], 400)
 
 
+def test_family_of_arrays(spark):
+    r = random.Random(6)
+    grams = [bytes([r.randrange(3)] * 31) + bytes([r.randrange(40)]) for _ in range(300)]
+    family, seen, every = suffix_dedup.SuffixFamily(Scratch(spark, "t")), collections.Counter(), set()
+    for i in range(0, 300, 50):
+        fresh = collections.Counter(grams[i : i + 50])
+        got = family.add(spark.createDataFrame([(bytearray(g),) for g in grams[i : i + 50]], "suffix binary"))
+        want = {g for g, n in fresh.items() if n > 1 or seen[g]}
+        assert {bytes(x.suffix) for x in got.collect()} == want
+        seen += fresh
+        every |= want
+    assert [n for n, _ in family.levels] == [4, 1, 1]
+    assert family.add(spark.createDataFrame([], "suffix binary")).count() == 0
+    assert [suffix_dedup.batch_count(x) for x in (0, 1 << 27, 1 << 30, 1 << 47)] == [2, 3, 6, 23]
+
+
 def test_passages_of_many_documents(spark):
     rows = [(i, prose(100 + i, 30 + i) + " " + PASSAGE[i * 3 :] + " " + prose(200 + i, 40)) for i in range(12)]
     found = suffix_dedup.long_repeats(spark.createDataFrame(rows, "doc_id long, text string"), batches=3)
@@ -188,7 +204,9 @@ def test_passages_of_many_documents(spark):
 
 
 def test_removed_texts_stay_text(spark, docs):
-    got = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(docs).collect()}
+    kept = suffix_dedup.remove_repeats(docs)
+    assert kept.columns == docs.columns and {(r.k1, r.root, r.spans) for r in kept.collect()} == {(1, "kept", 2)}
+    got = {r.doc_id: r.text for r in kept.collect()}
     assert got[5] is None and got[6] == "" and PASSAGE not in got[10] and got[8] == "one two three" and got[11].startswith("é")
     assert suffix_dedup.long_repeats(empty(spark)).count() == 0
 
