@@ -30,6 +30,8 @@ BUCKETS = 1 << 14
 TEXT_WEIGHT, TRIGRAM_PRIOR, VALUE_PRIOR, HOST_PRIOR = 40.0, 0.5, 1.0, 20.0
 #: A row is kept if its best language has this posterior, and its text at least one letter.
 LEAST_POSTERIOR = 0.5
+#: Hosts whose priors are broadcast; those of more hosts are joined by a sort.
+BROADCAST_HOSTS = 50_000
 
 _is_letter = np.zeros(256, dtype=bool)
 _is_letter[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0xC3, 0x100)]] = True
@@ -163,16 +165,18 @@ def identify(rows: DataFrame, text: str = "text", declared: str | None = "lang",
     by_suffix = _shares(said, ["__suffix"], whole, [], languages)
     by_parent = _shares(said, ["__parent"], by_suffix, ["__suffix"], languages) if host else None
     prior = _shares(said, ["__host"], by_parent, ["__parent"], languages) if host else None
-    declared_l = _value_likelihood(said, "__declared", languages, "__declared_l")
+    # One value for each language and one for all others.
+    declared_l = F.broadcast(_value_likelihood(said, "__declared", languages, "__declared_l"))
+    few = F.broadcast if host and said.select("__host").distinct().count() <= BROADCAST_HOSTS else lambda df: df
     out = spoken(marked, [*columns, "__declared", "__host", "__suffix"])
     if host:
-        out = out.join(prior.select("__host", F.col("p").alias("__prior")), "__host", "left")
+        out = out.join(few(prior.select("__host", F.col("p").alias("__prior"))), "__host", "left")
     else:
         out = out.crossJoin(F.broadcast(whole.select(F.col("p").alias("__prior"))))  # one row
     out = out.join(declared_l, "__declared", "left")
     parts = [F.col("__text"), F.transform(F.coalesce("__prior", F.array(*[F.lit(1.0)] * len(languages))), lambda p: F.log(p)), F.coalesce("__declared_l", F.array(*[F.lit(0.0)] * len(languages)))]
     if suffix:
-        out = out.join(_value_likelihood(said, "__suffix", languages, "__suffix_l"), "__suffix", "left")
+        out = out.join(few(_value_likelihood(said, "__suffix", languages, "__suffix_l")), "__suffix", "left")
         parts.append(F.coalesce("__suffix_l", F.array(*[F.lit(0.0)] * len(languages))))
     logs = F.array(*[sum((p[i] for p in parts[1:]), parts[0][i]) for i in range(len(languages))])
     out = out.withColumn("__p", posteriors(logs))
