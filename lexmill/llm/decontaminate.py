@@ -4,7 +4,9 @@ A test item is a set of word shingles. Items are partitioned by size (powers of
 MinHash: the k smallest hashes of its shingles, with k for the partition's largest size such that a document that
 contains ``percent`` of the item must hold one of the k: 1 + the most shingles that may be missing. So no
 contained item is lost, however long the document, and a document's shingles above the largest sketched hash of
-all items need no lookup. Candidates are then verified on the shingles' words.
+all items need no lookup. Shingles that many items share come last in the order, so that they make candidates only of
+items that consist of such shingles. Candidates are then verified on the shingles' words: each candidate pair looks up
+its item's shingles among its document's.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from lexmill.session import Scratch, table
 WIDTH, PERCENT = 5, 80
 #: Sketch rows that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Items that share a shingle before it comes last in their sketches.
+COMMON_ITEMS = 16
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,8 +76,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     of_item = scratch.table(of_item.withColumn("class", _size_class(F.col("n"))), "items")
     largest = of_item.groupBy("class").agg(F.max("n").alias("most"))
     k = (F.col("most") - F.ceil(F.col("most") * percent / 100) + 1).cast("int")
-    order = Window.partitionBy("item").orderBy("hash")
-    sketch = of_item.join(largest, "class").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("item", "hash")
+    shared_by = of_item.groupBy("hash").agg((F.count_distinct("item") > COMMON_ITEMS).alias("common"))
+    order = Window.partitionBy("item").orderBy("common", "hash")
+    sketch = of_item.join(largest, "class").join(shared_by, "hash").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).select("item", "hash")
     sketch = scratch.table(sketch, "sketch")
     # Shorter items are looked up among the documents' shingles of their lengths.
     length = F.size(F.split("shingle", " "))
@@ -81,27 +86,22 @@ def leaked_items(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     bound = sketch.agg(F.count("*").alias("rows"), F.max("hash").alias("top")).first()
     if not bound["rows"]:
         return docs.select("id", F.lit(None).cast(items.schema["item"].dataType).alias("item"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared")).filter("false")
-    wanted = sketch.groupBy("hash").agg(F.collect_list("item").alias("items"))
-    bounded = bound["rows"] <= BROADCAST_ROWS
+    few = F.broadcast if bound["rows"] <= BROADCAST_ROWS else lambda df: df
     low = docs.select("id", F.explode_outer(F.filter(hashes(words(F.col("text")), *widths), lambda h: h <= bound["top"])).alias("hash"))
-    hits = low.join(F.broadcast(wanted) if bounded else wanted, "hash").select("id", F.explode("items").alias("item")).distinct()
-    hits = scratch.table(hits, "hits")
+    hits = scratch.table(low.join(few(sketch), "hash").select("id", "item").distinct(), "hits")
     # Verification on the words of the candidates.
     own = docs.join(hits.select(F.col("id").alias("hit")).distinct(), F.col("id").eqNullSafe(F.col("hit")), "left_semi")
+    few = F.broadcast if of_item.count() <= BROADCAST_ROWS else lambda df: df
     found = own.select("id", F.explode_outer(F.array_distinct(shingles(words(F.col("text")), *widths))).alias("shingle"))
-    of_item = of_item.select("item", "shingle", "n")
-    small = of_item.count() <= BROADCAST_ROWS
-    shared = found.join(F.broadcast(of_item) if small else of_item, "shingle").groupBy("id", "item", "n").agg(F.count_distinct("shingle").alias("n_shared"))
-    sure = hits.select(F.col("id").alias("hit"), F.col("item").alias("hit_item"))
-    return (
-        shared.filter(100 * F.col("n_shared") >= percent * F.col("n"))
-        .join(sure, F.col("id").eqNullSafe(F.col("hit")) & (F.col("item") == F.col("hit_item")), "left_semi")
-        .select("id", "item", F.col("n").alias("n_item"), "n_shared")
-    )
+    found = found.join(few(of_item.select("shingle").distinct()), "shingle", "left_semi").distinct()
+    asked = hits.join(few(of_item.select("item", "shingle", "n")), "item")
+    same = (asked["shingle"] == found["shingle"]) & asked["id"].eqNullSafe(found["id"])
+    shared = asked.join(found, same, "left_semi").groupBy("id", "item", "n").agg(F.count("*").alias("n_shared"))
+    return shared.filter(100 * F.col("n_shared") >= percent * F.col("n")).select("id", "item", F.col("n").alias("n_item"), "n_shared")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", **named) -> DataFrame:
-    """The rows of ``docs`` whose document contains no item; null ids are one document."""
+    """The rows of ``docs`` whose document contains no item; null ids are one document. Other columns stay, whatever their names."""
     leaks = leaked_items(docs, items, text, id_col, **named).select(F.col("id").alias("__leak")).distinct()
     leaks = Scratch(docs.sparkSession, "leaks").table(leaks, "leaks")
     return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
