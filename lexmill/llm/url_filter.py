@@ -2,9 +2,9 @@
 
 A rule (host, path prefix) fits its host and every subdomain. A url therefore has one key for each of its
 host's suffixes: the labels reversed and closed with a separator, then the path. A rule's key is built alike, and
-the keys that start with it are one interval of the sorted keys. Keys and rule intervals are dealt to the same
-ranges (a rule to every range that its interval meets), and in each range one sorted sweep keeps the stack of
-the nested rules that are open.
+the keys that start with it are one interval of the sorted keys. Distinct keys and rule intervals are dealt to the
+same ranges (a rule to every range that its interval meets), and in each range one sorted sweep reads them as they
+come and keeps the stack of the nested rules that are open. Only keys that a rule fits go back to their urls.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.session import shuffle_partitions, table
+from lexmill.session import Scratch, shuffle_partitions, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = "\U0010ffff"
 #: Sampled keys for each range; they only set the borders of ranges.
 SAMPLE_PER_RANGE = 32
+#: Distinct keys of a range, about.
+RANGE_KEYS = 250_000
 
 
 def url_host(url: Column) -> Column:
@@ -47,23 +49,22 @@ def _borders(keys: DataFrame, ranges: int) -> list[str]:
     return sample[SAMPLE_PER_RANGE // 2 :: SAMPLE_PER_RANGE]
 
 
-def _sweep(cell, keys: pd.DataFrame, rules: pd.DataFrame) -> pd.DataFrame:
-    """Keys and rules of one range in sorted order, with a stack of the rules that are open."""
-    keys, rules = keys.sort_values("key"), rules.sort_values(["key", "rank"])
-    at, stack, found = 0, [], []
-    rule_keys = rules["key"].tolist()
-    for key in keys["key"]:
-        while at < len(rule_keys) and rule_keys[at] <= key:
-            while stack and not rule_keys[at].startswith(rule_keys[stack[-1]]):
+def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The innermost open rule of each key, from keys and rules sorted by range, key and rank; rules stand before equal keys."""
+    columns = ["cell", "key", "rank", "rule", "verdict", "host_length"]
+    at, stack = None, []  # the rules that are open in this range, outer ones first
+    for frame in frames:
+        found = []
+        for cell, key, *rule in zip(*(frame[c].tolist() for c in columns), strict=True):
+            if cell != at:
+                at, stack = cell, []
+            while stack and not key.startswith(stack[-1][0]):
                 stack.pop()
-            stack.append(at)
-            at += 1
-        while stack and not key.startswith(rule_keys[stack[-1]]):
-            stack.pop()
-        found.append(stack[-1] if stack else -1)
-    hit = np.array(found, dtype=np.int64)
-    mine, rule = keys[hit >= 0], rules.iloc[hit[hit >= 0]]
-    return pd.DataFrame({"host": mine["host"].to_numpy(), "path": mine["path"].to_numpy()} | {c: rule[c].to_numpy() for c in ("rule", "verdict", "host_length", "rank")})
+            if not pd.isna(rule[1]):
+                stack.append((key, *rule))
+            elif stack:
+                found.append((key, *stack[-1][1:]))
+        yield pd.DataFrame(found, columns=columns[1:])
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -76,7 +77,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     replaced. Empty inputs give empty or rule-free results.
     """
     spark = pages.sparkSession
-    ranges = shuffle_partitions(spark)
+    scratch = Scratch(spark, "urls")
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     labels = F.split("host", "[.]")
     keys = (
@@ -84,7 +85,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(labels))))
         .select("host", "path", _key(F.slice(labels, F.size(labels) - F.col("depth") + 1, F.col("depth")), F.col("path")).alias("key"))
     )
-    borders = _borders(keys, ranges)
+    single = scratch.table(keys.select("key").distinct(), "keys")
+    ranges = max(shuffle_partitions(spark), -(-single.count() // RANGE_KEYS))
+    borders = _borders(single, ranges)
 
     @F.pandas_udf(T.IntegerType())
     def cell(keys: pd.Series) -> pd.Series:
@@ -96,15 +99,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rules = (
         rules.select(host.alias("host"), "path", "verdict").dropna().filter("host <> ''").distinct()
         .select(
-            _key(F.split("host", "[.]"), F.col("path")).alias("key"), F.concat("host", "path").alias("rule"), "verdict",
-            F.when(F.col("verdict") == "block", 1).otherwise(0).alias("rank"), F.length("host").alias("host_length"),
+            _key(F.split("host", "[.]"), F.col("path")).alias("key"), F.when(F.col("verdict") == "block", 1).otherwise(0).alias("rank"),
+            F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_length"),
         )
         .withColumn("cell", F.explode(F.sequence(cell("key"), cell(F.concat("key", F.lit(LAST))))))
     )
-    found = (
-        keys.withColumn("cell", cell("key")).groupBy("cell").cogroup(rules.groupBy("cell"))
-        .applyInPandas(_sweep, "host string, path string, rule string, verdict string, host_length int, rank int")
-    )
+    asked = single.select("key", F.lit(2).alias("rank"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("int").alias("host_length"), cell("key").alias("cell"))
+    swept = rules.unionByName(asked).repartition("cell").sortWithinPartitions("cell", "key", "rank", "verdict")
+    swept = swept.mapInPandas(_sweep, "key string, rank int, rule string, verdict string, host_length int")
+    found = keys.join(swept, "key")
     size = F.struct(F.length("rule"), "host_length", "rank", "rule", "verdict")
     best = found.groupBy("host", "path").agg(F.max(size).alias("b")).select("host", "path", "b.rule", "b.verdict")
     return pages.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
