@@ -245,6 +245,16 @@ def test_short_items_are_found_inside_longer_documents(spark):
     assert {w[:2] for w in want} == {(1, 1), (2, 1), (3, 1), (5, 2), (3, 3), (8, 5)}
 
 
+def test_a_shingle_of_all_items(spark):
+    head = "what is the answer to"
+    items = [(i, f"{head} {prose(300 + i, 14)}") for i in range(40)] + [(40, head), (41, f"{head} this")]
+    texts = [(i, f"{prose(400 + i, 20)} {head} {prose(300 + i, 14) if i % 3 else prose(900 + i, 14)}") for i in range(30)]
+    got = decontaminate.leaked_items(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    sets = {i: shingles(t) for i, t in items}
+    want = {(d, i, len(s), len(s & shingles(t))) for d, t in texts for i, s in sets.items() if 100 * len(s & shingles(t)) >= 80 * len(s)}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 50
+
+
 # --- packing ---
 
 
@@ -294,9 +304,9 @@ def test_plans_use_the_histogram_up(seed):
 # --- url filters ---
 
 
-def test_url_rules_equal_brute_force(spark):
+def test_url_rules_equal_brute_force(spark, monkeypatch):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("a.com", "", "block"), ("a.com", "", "allow"), ("", "/", "block"), (None, "/", "block")]
-    urls = ["http://x.example.org/en/12", "http://EXAMPLE.org/en/2", "http://example.org", "https://b.a.com?x", "ftp://q.com/de/1#f", "http://com/fr/", "notexample.org/es/", "http://notexample.org/es/", None, "", "://", "http://a.b.c.com/fr/x?y=http://org/", "http://org:80/", "HTTP://q.org/é/中"] * 2
+    urls = ["http://x.example.org/en/12", "http://EXAMPLE.org/en/2", "http://example.org", "https://b.a.com?x", "ftp://q.com/de/1#f", "http://com/fr/", "notexample.org/es/", "http://notexample.org/es/", None, "", "://", "http://a.b.c.com/fr/x?y=http://org/", "http://org:80/", "HTTP://q.org/é/中", "http://a.org/" + "x/" * 30_000, "http://example.org/en/1" + "y" * 50_000] * 2
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, rule string").repartition(4)
 
     def judge(url):
@@ -310,6 +320,9 @@ def test_url_rules_equal_brute_force(spark):
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
     assert got == {i: judge(u) for i, u in enumerate(urls)}
     assert url_filter.judge_urls(empty(spark, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
+    for ranges in (1, 50):  # few and many keys in a range
+        monkeypatch.setattr(url_filter, "RANGE_KEYS", ranges)
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()} == got
     none = url_filter.judge_urls(pages, empty(spark, "host string, path string, verdict string"))
     assert {r.verdict for r in none.collect()} == {"allow"}
 
@@ -335,6 +348,28 @@ def test_top_k_with_ties(spark):
     assert [(r.id, r.vector) for r in topk.whole_numbers(odd).collect()] == [(2, [512, -512])]
 
 
+def test_top_k_of_large_numbers_and_many_blocks(spark):
+    big = (1 << 62) + 5
+    rows = [(0, [big, big, 1]), (1, [big, big, 0]), (2, [big, -big, 0]), (3, [1, 2, 3]), (4, [big, big, -1]), (5, [-big, -big, 7]), (100, [0, 0, 0])]
+    frame = spark.createDataFrame(rows, "id long, vector array<long>")
+    product = lambda v, w: sum(a * b for a, b in zip(v, w, strict=True))
+    clip = lambda x: min(max(x, -(1 << 63)), (1 << 63) - 1)
+    got = {(r.query_id, r.id): r.score for r in topk.top_k(frame, frame.filter("id = 0"), 6).collect()}
+    assert got == {(0, i): clip(product(rows[0][1], v)) for i, v in rows[1:]}
+    rng = np.random.default_rng(4)
+    many = [(i, (rng.normal(size=4) * [900, 60, 5, 1]).astype(int).tolist()) for i in range(4000)]
+    frame = spark.createDataFrame(many, "id long, vector array<long>")
+    got = collections.defaultdict(list)
+    found = topk.top_k(frame, frame.filter("id % 200 = 0"), 5).orderBy("query_id", "rank").collect()
+    for r in found:
+        got[r.query_id].append((r.id, r.score))
+    for q in range(0, 4000, 200):
+        want = sorted((-product(many[q][1], w), i) for i, w in many if i != q)[:5]
+        assert got[q] == [(i, -s) for s, i in want]
+    large = spark.createDataFrame([(1, [1e300, -1e300])], "vec_id long, embedding array<double>")
+    assert topk.whole_numbers(large).first().vector == [(1 << 63) - 1, -(1 << 63)]
+
+
 # --- language model ---
 
 
