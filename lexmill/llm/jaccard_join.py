@@ -8,9 +8,9 @@ on the places of shared tokens, and must share ``k`` prefix tokens; then their m
 
 Components are wanted, not all links, so a bucket is first tried through a pivot: each group meets at most one
 group, the one that is pivot of most of its buckets. Verified links are contracted, and buckets whose members have
-come together go. What is left after the pivot rounds meets in full, all pairs of different components. There the
-prefixes are those that must share ``LAST_SHARED`` tokens only: they are shorter and stop before the tokens that copies of
-one text, too far apart to link, share with each other.
+come together go. What is left after the pivot rounds meets in full, all pairs of different components. There one
+shared token makes a pair, among prefixes that are so much shorter, and a pair meets at its first shared token, not at all
+of them: each row knows the tokens before its own, and does not meet a row that knows one of them too.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ PIVOT_ROUNDS = 2
 PIVOT_ROWS = 256
 #: A linked pair shares at least 2, and this part of the size, among the first tokens of either.
 SHARED_PART = 20
-#: Tokens that a pair must share in the last round, where it meets in full; fewer mean shorter prefixes.
-LAST_SHARED = 2
+#: Tokens before its own that a row of the last round knows. More spare more repeated meetings of a pair; results are the same.
+KNOWN_BEFORE = 4
 
 _SETS = pa.schema([("k1", pa.int64()), ("k2", pa.int32()), ("sid", pa.binary()), ("n", pa.int64()), ("token", pa.int64()), ("df", pa.int64())])
 _PREFIX = pa.schema([("sid", pa.binary()), ("gid", pa.int64()), ("n", pa.int32()), ("ranked", pa.list_(pa.int64())), ("plain", pa.list_(pa.int64()))])
@@ -188,18 +188,17 @@ def _need(percent: int) -> Column:
     return F.ceil(percent * (F.col("n") + F.col("pn")) / (100 + percent))
 
 
-def _pair_filters(percent: int, most_shared: int | None = None) -> tuple[Column, Column]:
+def _pair_filters(percent: int, one: bool = False) -> tuple[Column, Column]:
     """(a filter of shared tokens, the least number of those that pass) for pairs of sets n, pn.
 
     Similar sets share ``need`` tokens, at least k of them among the first n - need + k of the one and among the
     first pn - need + k of the other: equal sizes need more, and so look at fewer tokens, than a set must keep for
     all its partners. Before a shared token come, of the overlap, only tokens that both prefixes share with others
-    (``before``, ``pbefore`` in number), and behind it no more than what is left of either set. With ``most_shared`` k
-    is no larger than that.
+    (``before``, ``pbefore`` in number), and behind it no more than what is left of either set. With ``one`` k is 1.
     """
     n, pn = F.col("n"), F.col("pn")
     need = _need(percent)
-    k = F.least(_shared(n, percent), _shared(pn, percent), *([F.lit(most_shared)] if most_shared else []))
+    k = F.lit(1) if one else F.least(_shared(n, percent), _shared(pn, percent))
     sizes = 100 * F.least(n, pn) >= percent * F.greatest(n, pn)
     most = F.least("before", "pbefore") + F.least(n - F.col("pos"), pn - F.col("ppos"))
     return sizes & (F.col("pos") < n - need + k) & (F.col("ppos") < pn - need + k) & (most >= need), k
@@ -222,11 +221,18 @@ def _pivot_pairs(rows: DataFrame, members: DataFrame, percent: int, seed: int) -
 
 def _all_pairs(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Every pair of nodes of different components that the filters leave: in one group, or in two."""
-    near, k = _pair_filters(percent, LAST_SHARED)
-    other = rows.select("token", F.col("gid").alias("pgid"), F.col("n").alias("pn"), F.col("before").alias("pbefore"), F.col("pos").alias("ppos"), F.col("root").alias("proot"))
-    met = rows.join(other, "token").filter("gid < pgid and (root is null or proot is null or root <> proot)").filter(near).groupBy("gid", "pgid", "n", "pn").agg(F.count("*").alias("c"), F.max("pos").alias("pos"), F.max("ppos").alias("ppos"))
-    # All that the two share up to the last shared token here is counted in c.
-    met = met.filter((F.col("c") >= k) & (F.col("c") + F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("ppos")) - 1 >= _need(percent)))
+    near, _ = _pair_filters(percent, one=True)
+    within = Window.partitionBy("gid", "n").orderBy("pos")
+    known = [f"l{i}" for i in range(1, KNOWN_BEFORE + 1)]
+    rows = rows.select("token", "gid", "n", "pos", "before", "root", *[F.lag("token", i).over(within).alias(c) for i, c in enumerate(known, 1)])
+    rows = rows.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100))  # the prefix for the smallest partner
+    other = rows.select("token", *[F.col(c).alias(f"p{c}") for c in rows.columns if c != "token"])
+    # A pair that links passes the filters at its first shared token, and has no other before it.
+    later = F.lit(False)
+    for mine in known:
+        for theirs in known:
+            later = later | F.coalesce(F.col(mine) == F.col(f"p{theirs}"), F.lit(False))
+    met = rows.join(other, "token").filter("gid < pgid and (root is null or proot is null or root <> proot)").filter(near).filter(~later).select("gid", "pgid").distinct()
     same = members.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gid", F.col("gid").alias("pgid"))
     groups = met.select("gid", "pgid").union(same)
     right = members.select(F.col("gid").alias("pgid"), F.col("sid").alias("p"), F.col("root").alias("proot"))
