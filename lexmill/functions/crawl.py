@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The keys of a content signal and the eligibilities.
@@ -40,6 +40,48 @@ def signal_text(signal: Column) -> Column:
     return F.when(text != "", text).otherwise("none")
 
 
+def product_token(agent: Column) -> Column:
+    """The name of a crawler without its version: what stands before the first slash or blank, lower case (SC-22)."""
+    return F.lower(F.regexp_extract(F.trim(agent), r"^[^/\s]*", 0))
+
+
+def robots_lines(files: DataFrame, body: str = "body", key: str = "host") -> DataFrame:
+    """key, line, field, value of each directive: comments go, lines without a colon are none (SC-22)."""
+    lines = files.select(key, F.posexplode(F.split(F.regexp_replace(body, "\r\n?", "\n"), "\n")).alias("line", "raw"))
+    text = F.trim(F.regexp_replace("raw", "#.*$", ""))
+    return lines.filter(F.contains(text, F.lit(":"))).select(key, "line", F.lower(F.trim(F.split_part(text, F.lit(":"), F.lit(1)))).alias("field"), F.trim(F.regexp_replace(text, "^[^:]*:", "")).alias("value"))
+
+
+def robots_groups(files: DataFrame, body: str = "body", key: str = "host") -> DataFrame:
+    """key, group, agent, line, pattern, allow, crawl_delay, signal: a row for each agent of a group and each of its directives (SC-23).
+
+    Agents in a row share one group; a directive before any agent belongs to none and goes, but for content signals,
+    which hold for all (agent ``*``). Rules without a pattern forbid nothing and go. A group with agents alone is one
+    row without a directive. The window sees the lines of one file.
+    """
+    lines = robots_lines(files, body, key).filter(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay", "content-signal"))
+    within = Window.partitionBy(key).orderBy("line")
+    opens = (F.col("field") == "user-agent") & (F.coalesce(F.lag("field").over(within), F.lit("")) != "user-agent")
+    lines = lines.withColumn("group", F.sum(opens.cast("int")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    agents = lines.filter("field = 'user-agent'").select(key, "group", product_token(F.col("value")).alias("agent")).distinct()
+    signals = lines.filter("field = 'content-signal'").select(key, F.lit(0).alias("group"), F.lit("*").alias("agent"), "line", F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("boolean").alias("allow"), F.lit(None).cast("double").alias("crawl_delay"), F.lower("value").alias("signal"))
+    delay = F.when(F.col("field") == "crawl-delay", F.col("value").try_cast("double"))
+    rules = lines.filter("field in ('allow', 'disallow', 'crawl-delay') and value <> ''").filter((F.col("field") != "crawl-delay") | (delay >= 0)).select(
+        key, "group", "line", F.when(F.col("field") != "crawl-delay", F.col("value")).alias("pattern"), F.when(F.col("field") != "crawl-delay", F.col("field") == "allow").alias("allow"), delay.alias("crawl_delay"),
+    )
+    owned = agents.join(rules, [key, "group"], "left").select(key, "group", "agent", "line", "pattern", "allow", "crawl_delay", F.lit(None).cast("string").alias("signal"))
+    return owned.union(signals)
+
+
+def rules_for(groups: DataFrame, agent: str, key: str = "host") -> DataFrame:
+    """key, pattern, allow for one crawler: the groups that name it, else those for all."""
+    token = agent.split("/")[0].split(" ")[0].lower()
+    named = groups.filter(F.col("signal").isNull() & F.col("agent").isin(token, "*"))
+    own = named.groupBy(key).agg(F.max(F.col("agent") == token).alias("named"))
+    mine = named.join(own, key).filter(F.col("agent") == F.when(F.col("named"), token).otherwise("*"))
+    return mine.filter("pattern is not null").select(key, "pattern", "allow").distinct()
+
+
 def pattern_regex(pattern: Column) -> Column:
     """A robots pattern as a regular expression (SC-24).
 

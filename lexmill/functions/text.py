@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,10 +114,34 @@ def url_part(url: Column, part: str) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits (TXT-2, TXT-6)."""
+    """Lower-case runs of letters and digits, diacritics kept, for embeddings (TXT-6)."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def _marked_letters() -> tuple[str, str]:
+    """Letters that are a base letter with marks, and their base letters; then the marks themselves, which go."""
+    source, target = [], []
+    for cp in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(cp))
+        if marks and all(unicodedata.combining(m) for m in marks):
+            source.append(chr(cp))
+            target.append(base)
+    return "".join([*source, *map(chr, range(0x300, 0x370))]), "".join(target)
+
+
+MARKED, BARE = _marked_letters()
+
+
+def fold(text: Column) -> Column:
+    """Lower case without diacritics."""
+    return F.lower(F.translate(text, MARKED, BARE))
+
+
+def search_tokens(text: Column) -> Column:
+    """Runs of letters and digits for search: lower case, without diacritics (TXT-2)."""
+    return F.regexp_extract_all(fold(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
+
 def document_id(text: Column) -> Column:
     """A document's key: the hash of its canonical text (SC-2, with SHA-256 as the hash)."""
     return F.sha2(canonicalise(text), 256)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +91,45 @@ def mechanical_support(claims: DataFrame, edges: DataFrame, nodes: DataFrame) ->
     return out.withColumn("support", label).select(*claims.columns, "support")
 
 
+def signing_bytes(domain: str, *fields: Column) -> Column:
+    """What a signature covers (CR-1): a domain line, then each field behind its length as eight bytes, high byte first."""
+    raw = [F.encode(F.coalesce(f.cast("string"), F.lit("")), "UTF-8") for f in fields]
+    return F.concat(F.encode(F.lit(domain + "\n"), "UTF-8"), *[F.concat(F.unhex(F.lpad(F.hex(F.octet_length(r).cast("long")), 16, "0")), r) for r in raw])
+
+
+def key_fault(key: Column, digits: int) -> Column:
+    """Why a hex key or signature cannot be read (CR-9): missing, not_hex or wrong_length; null if it can."""
+    return F.when(key.isNull() | (key == ""), "missing").when(~key.rlike("^[0-9a-fA-F]*$"), "not_hex").when(F.length(key) != digits, "wrong_length")
+
+
+def parse_policy(text: str, unlisted: float = 0.0) -> tuple[list[tuple[int, str, float]], float]:
+    """A reader's policy from a request (NUM-4, TR-7, TR-8): rows (ord, key, weight) and the weight of signers that it does not name.
+
+    ``key:weight`` parts between commas; a missing or unreadable weight is 1, weights are clamped to 0 and 1, keys are
+    lower-cased, parts without a key of 64 hex digits go. An empty text is the empty policy.
+    """
+
+    def number(value: str, default: float) -> float:
+        try:
+            w = float(value)
+        except ValueError:
+            return default
+        return min(max(w, 0.0), 1.0) if w == w and abs(w) != float("inf") else 0.0
+
+    rows = []
+    for part in (text or "").split(","):
+        key, _, weight = part.strip().partition(":")
+        if re.fullmatch("[0-9a-fA-F]{64}", key.strip()):
+            rows.append((len(rows), key.strip().lower(), number(weight, 1.0)))
+    return rows, number(str(unlisted), 0.0)
+
+
+def treatment_view(claims: DataFrame, doc_id, policy: DataFrame, unlisted: float = 0.0) -> DataFrame:
+    """The claims about one document with their reader's weights, in the order of the store (TR-6)."""
+    about = claims.filter(F.col("to_doc") == doc_id)
+    return weighted(about, policy, unlisted).orderBy("created_at", "signer", "from_doc", "treatment", "signature")
+
+
 def tallies(claims: DataFrame) -> DataFrame:
     """examined, verified, rejected, unreadable over a ``status`` column (AGG-16)."""
     return claims.agg(F.count("*").alias("examined"), *[F.count_if(F.col("status") == s).alias(s) for s in ("verified", "rejected", "unreadable")])

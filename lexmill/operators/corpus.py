@@ -54,7 +54,7 @@ def cited_by(citations: DataFrame, judgments: DataFrame) -> DataFrame:
 
 
 def stats(judgments: DataFrame, citations: DataFrame) -> DataFrame:
-    """One row: documents, distinct courts, distinct resolved edges, unresolved citations (AGG-5)."""
+    """One row: documents, distinct courts, distinct resolved edges, unresolved citations (AGG-5); class counts are class_counts()."""
     docs = judgments.agg(F.count("*").alias("documents"), F.count_distinct("court").alias("courts"))
     edges = citations.filter("to_doc is not null and to_doc <> from_doc").select("from_doc", "to_doc").distinct().agg(F.count("*").alias("edges"))
     open_ = citations.agg(F.count_if(F.col("to_doc").isNull()).alias("unresolved"))
@@ -77,6 +77,13 @@ def witness_classes(provenance: DataFrame, threshold: int = 2) -> DataFrame:
     return n.withColumn("provenance_class", provenance_class(F.col("witnesses"), threshold))
 
 
+def class_counts(judgments: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row: documents that are corroborated, single and manual; those without any record are manual (AGG-5)."""
+    kind = F.coalesce("provenance_class", F.lit("manual"))
+    rows = judgments.select(F.col("id").alias("doc_id")).join(classes.select("doc_id", "provenance_class"), "doc_id", "left")
+    return rows.agg(*[F.count_if(kind == c).alias(c) for c in ("corroborated", "single", "manual")])
+
+
 def corroborate(provenance: DataFrame, threshold: int = 2) -> DataFrame:
     """doc_id, raw_hash, agreeing, conflicting, provenance_class (AGG-10, WIN-5, WIN-7).
 
@@ -129,13 +136,21 @@ def drop_children(children: DataFrame, removed: DataFrame, key: str = "doc_id")
     return children.join(removed.select(key).distinct(), key, "left_anti")
 
 
+def length_prefixed(*fields: Column) -> Column:
+    """Fields as text, each behind its length in bytes, null as a dash: no two lists of fields read alike."""
+    text = [f.cast("string") for f in fields]
+    return F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
+
+
 def sorted_root(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row, ``root``: a digest of the whole set of rows that does not depend on their order (AGG-20).
+    """One row, ``root``: a digest of all rows, repeated ones included, that does not depend on their order (AGG-20, CR-8).
 
-    A hash tree over the sorted row hashes: leaves meet by six hex digits, these by three, these in the root. A node
-    of the upper levels has at most 4096 children, so no task and no driver holds all rows; equal sets, equal roots.
+    A hash tree over the sorted row hashes, each with how often it stands: leaves meet by six hex digits, these by
+    three, these in the root. A node of the upper levels has at most 4096 children, so no task and no driver holds
+    all rows; equal tables, equal roots.
     """
-    level = rows.select(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256).alias("h")).distinct().withColumn("b", F.col("h"))
+    own = rows.select(F.sha2(length_prefixed(*[F.col(c) for c in columns]), 256).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    level = own.select(F.col("h").alias("b"), F.sha2(F.concat("h", F.lit(":"), F.col("n").cast("string")), 256).alias("h"))
     for digits in (6, 3, 0):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: F.concat(x.b, x.h)), "")
         level = level.groupBy(F.substring("b", 1, digits).alias("b")).agg(F.sha2(joined, 256).alias("h"))
@@ -148,6 +163,12 @@ def snapshot_delta(old: DataFrame, new: DataFrame, key: str = "hash") -> DataFra
     return added.unionByName(old.join(new.select(key), key, "left_anti").withColumn("change", F.lit("removed")))
 
 
+def added_bytes(delta: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row: the files and bytes that a delta's additions bring (AGG-18). sizes: hash, size."""
+    added = delta.filter("change = 'added'").select("hash").distinct().join(sizes.select("hash", "size").dropDuplicates(["hash"]), "hash")
+    return added.agg(F.count("*").alias("added_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("added_bytes"))
+
+
 def chain_breaks(releases: DataFrame) -> DataFrame:
     """release, chained: whether each release names the hash of the one before (WIN-8, REL-4).
 

@@ -43,6 +43,33 @@ def weighted_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return real.select("src", "dst", (F.col("tier_weight") * depth_factor(F.col("paragraph_count"))).alias("weight"))
 
 
+def encoded_edges(edges: DataFrame) -> DataFrame:
+    """src, dst, paragraph_count as a graph file holds them: no self edges, no zero counts, of repeated pairs the largest
+    count (FLT-10, AGG-13, CR-4)."""
+    real = edges.filter("src <> dst and paragraph_count > 0")
+    return real.groupBy("src", "dst").agg(F.max("paragraph_count").alias("paragraph_count"))
+
+
+def unsorted_edges(blob: DataFrame) -> DataFrame:
+    """Rows of a graph file (ord, src, dst) that do not come strictly after the one before (WIN-9); none in a canonical one.
+
+    Joined by place, so no window gathers the file.
+    """
+    before = blob.select((F.col("ord") + 1).alias("ord"), F.col("src").alias("__src"), F.col("dst").alias("__dst"))
+    return blob.join(before, "ord").filter((F.col("src") < F.col("__src")) | ((F.col("src") == F.col("__src")) & (F.col("dst") <= F.col("__dst")))).drop("__src", "__dst")
+
+
+def reextracted_edges(found: DataFrame, owners: DataFrame) -> DataFrame:
+    """from_doc, to_doc, paragraph_count of citations found anew in stored text (GRA-7, AGG-17, JN-21).
+
+    found: id, idx, citation_key, as the extractor gives them. owners: citation_key, doc_id. Each distinct key is resolved
+    once; keys that nobody owns and citations of the document itself make no edge.
+    """
+    places = found.select(F.col("id").alias("from_doc"), "idx", "citation_key").distinct()
+    linked = places.join(owners.select("citation_key", F.col("doc_id").alias("to_doc")), "citation_key").filter("from_doc <> to_doc")
+    return linked.groupBy("from_doc", "to_doc").agg(F.count_distinct("idx").alias("paragraph_count"))
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """id, score of every node, the highest score 1 (GRA-2).
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The outcomes of a step and of a report.
 PASS, FAIL, SKIP = "PASS", "FAIL", "SKIP"
+# The steps of a verification that are data work; signatures are none (they need a key library).
+STEPS = ("file set", "document hashes", "corpus root", "closed references", "graph root", "re-extraction", "chain")
 
 
 def file_index(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -42,6 +44,46 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("stored")).unionAll(b.exceptAll(a).withColumn("side", F.lit("recomputed")))
 
 
+def step(number: int, faults: DataFrame | None, examined: DataFrame | None) -> DataFrame:
+    """One row: number, name, status, examined, faults. A step without its inputs is skipped, never passed."""
+    named = [F.lit(number).alias("number"), F.lit(STEPS[number - 1]).alias("name")]
+    if faults is None or examined is None:
+        one = examined if examined is not None else faults
+        if one is None:
+            raise ValueError("a step needs one table at least, to be skipped with it")
+        return one.agg(F.count("*").alias("n")).select(*named, F.lit(SKIP).alias("status"), F.lit(0).cast("long").alias("examined"), F.lit(0).cast("long").alias("faults"))
+    seen, bad = examined.agg(F.count("*").alias("examined")), faults.agg(F.count("*").alias("faults"))
+    both = seen.crossJoin(bad)  # two single rows
+    return both.select(*named, F.when(F.col("faults") > 0, FAIL).otherwise(PASS).alias("status"), "examined", "faults")
+
+
+def verify(index: DataFrame, documents: DataFrame, stored_edges: DataFrame, found_edges: DataFrame, manifest: DataFrame, previous: DataFrame | None) -> DataFrame:
+    """The report of a release (REL-6, REL-9): number, name, status, examined, faults; each step is judged by itself.
+
+    index: hash, path, size. documents: id, path, text (as held). stored_edges, found_edges: from_doc, to_doc,
+    paragraph_count. manifest: one row with corpus_root, graph_root and previous (a release's hash). previous: one row with
+    hash, or None where no earlier release is held: the chain is then skipped.
+    """
+    from lexmill.operators.corpus import sorted_root
+
+    files = verify_files(index, documents)
+    edges = ["from_doc", "to_doc", "paragraph_count"]
+    roots = manifest.crossJoin(sorted_root(documents, "id").withColumnRenamed("root", "documents_now")).crossJoin(sorted_root(stored_edges, *edges).withColumnRenamed("root", "graph_now"))  # single rows
+    steps = [
+        step(1, files.filter("status in ('missing', 'wrong_size')"), files),
+        step(2, files.filter("status = 'wrong_hash'"), files.filter("status <> 'missing'")),
+        step(3, roots.filter("corpus_root <> documents_now"), documents),
+        step(4, open_references(stored_edges, documents), stored_edges),
+        step(5, roots.filter("graph_root <> graph_now"), stored_edges),
+        step(6, same_rows(stored_edges.select(*edges), found_edges.select(*edges)), found_edges),
+        step(7, None if previous is None else manifest.crossJoin(previous.select("hash")).filter("not (previous <=> hash)"), manifest),
+    ]
+    out = steps[0]
+    for s in steps[1:]:
+        out = out.unionByName(s)
+    return out
+
+
 def report(steps: DataFrame) -> DataFrame:
     """One row: passed, failed, skipped and the outcome of steps (number, status): any failure fails, any skip leaves open (REL-8)."""
     count = lambda s: F.count_if(F.col("status") == s)

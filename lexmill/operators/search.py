@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import word_tokens
+from lexmill.functions.text import fold, search_tokens
 from lexmill.operators.corpus import clamp
 
 # BM25 and the weight of authority in the rank.
@@ -29,15 +30,40 @@ def sanitise(query: str) -> list[Phrase]:
     """Quoted runs are phrases, alphanumeric runs are words, a star behind one makes a prefix; all else goes (TXT-1)."""
     out = []
     for m in re.finditer(r'"([^"]*)"?(\*?)|([^\W_]+)(\*?)', query):
-        words = tuple(re.findall(r"[^\W_]+", (m[1] if m[1] is not None else m[3]).lower()))
+        plain = "".join(c for c in unicodedata.normalize("NFD", m[1] if m[1] is not None else m[3]) if not unicodedata.combining(c))
+        words = tuple(re.findall(r"[^\W_]+", plain.lower()))
         if words:
             out.append(Phrase(words, bool(m[2] or m[4])))
     return out
 
 
+def _words(text: str | tuple[str, ...]) -> Column:
+    """The words of one column, or of several: then with an empty word between them, which no phrase spans (TXT-3)."""
+    if isinstance(text, str):
+        return search_tokens(F.col(text))
+    parts = [F.coalesce(search_tokens(F.col(c)), F.expr("cast(array() as array<string>)")) for c in text]
+    return F.concat(parts[0], *[x for p in parts[1:] for x in (F.array(F.lit("")), p)])
+
+
+def _length(words: Column, text: str | tuple[str, ...]) -> Column:
+    return F.size(words) - (0 if isinstance(text, str) else len(text) - 1)
+
+
+def _folded(text: str | tuple[str, ...]) -> Column:
+    return fold(F.col(text)) if isinstance(text, str) else fold(F.concat_ws(" ", *text))
+
+
+def fts_documents(judgments: DataFrame, blank: str = r"^(?U)\s*$") -> DataFrame:
+    """id, title, text, citation of each document as search sees it (PRJ-5): paragraphs joined by blank lines, and the neutral
+    citation, reported ones and case numbers in one line. judgments: also neutral_citation, reported, case_numbers."""
+    paragraphs = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(blank))
+    citation = F.concat_ws(" ", "neutral_citation", "reported", "case_numbers")
+    return judgments.withColumns({"text": F.array_join(paragraphs, "\n\n"), "citation": citation})
+
+
 def postings(docs: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
     """id, term, positions, tf, doc_length: one row for each word of each document (TXT-2)."""
-    tokens = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text)).alias("w"))
+    tokens = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text)).alias("w"))
     words = tokens.select("id", F.size("w").alias("doc_length"), F.posexplode("w").alias("pos", "term"))
     return words.groupBy("id", "term", "doc_length").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
 
@@ -56,27 +82,27 @@ def _hits(tokens: Column, phrase: Phrase) -> Column:
     return F.size(F.filter(places, lambda i: F.coalesce(here(i), F.lit(False))))
 
 
-def matches(docs: DataFrame, query: str, text: str = "text", where: Column | None = None) -> DataFrame:
+def matches(docs: DataFrame, query: str, text: str | tuple[str, ...] = "text", where: Column | None = None) -> DataFrame:
     """``docs`` that hold every phrase (FLT-5), with ``tf`` (an array, one count for each phrase) and ``doc_length``.
 
     A cheap containment test on the lower-cased text runs first; words are only split where it passes.
     """
     phrases = sanitise(query)
     rows = docs if where is None else docs.filter(where)
-    low = F.lower(F.col(text))
+    low = _folded(text)
     for phrase in phrases:
         for word in phrase.words:
             rows = rows.filter(low.contains(word))
-    counted = F.get(F.transform(F.array(word_tokens(F.col(text))), lambda w: F.struct(F.array(*[_hits(w, p) for p in phrases]).alias("tf"), F.size(w).alias("doc_length"))), F.lit(0))
+    counted = F.get(F.transform(F.array(_words(text)), lambda w: F.struct(F.array(*[_hits(w, p) for p in phrases]).alias("tf"), _length(w, text).alias("doc_length"))), F.lit(0))
     found = rows.withColumn("__m", counted).filter(F.forall("__m.tf", lambda x: x > 0))
     return found.withColumns({"tf": F.col("__m.tf"), "doc_length": F.col("__m.doc_length")}).drop("__m")
 
 
-def bm25(docs: DataFrame, query: str, text: str = "text", where: Column | None = None) -> DataFrame:
+def bm25(docs: DataFrame, query: str, text: str | tuple[str, ...] = "text", where: Column | None = None) -> DataFrame:
     """The matching documents with ``bm25``, negative, lower is better (TXT-4). Statistics cover all of ``docs``."""
     n = len(sanitise(query))
     found = matches(docs, query, text)
-    whole = docs.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(F.size(word_tokens(F.col(text))), F.lit(0))).alias("mean_length"))
+    whole = docs.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(_length(_words(text), text), F.lit(0))).alias("mean_length"))
     frequency = _document_frequencies(docs, query, text)
     rows = (found if where is None else found.filter(where)).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(frequency))  # one row each
     score = F.lit(0.0)
@@ -87,17 +113,17 @@ def bm25(docs: DataFrame, query: str, text: str = "text", where: Column | None =
     return rows.withColumn("bm25", -score).drop("n_docs", "mean_length", "df")
 
 
-def _document_frequencies(docs: DataFrame, query: str, text: str) -> DataFrame:
+def _document_frequencies(docs: DataFrame, query: str, text: str | tuple[str, ...]) -> DataFrame:
     """One row: for each phrase the number of documents that hold it."""
     phrases = sanitise(query)
-    low = F.lower(F.col(text))
+    low = _folded(text)
     maybe = [reduce(lambda a, b: a & b, [low.contains(w) for w in p.words]) for p in phrases]
     rows = docs.filter(reduce(lambda a, b: a | b, maybe))
-    has = F.get(F.transform(F.array(word_tokens(F.col(text))), lambda w: F.array(*[(_hits(w, p) > 0).cast("int") for p in phrases])), F.lit(0))
+    has = F.get(F.transform(F.array(_words(text)), lambda w: F.array(*[(_hits(w, p) > 0).cast("int") for p in phrases])), F.lit(0))
     return rows.select(has.alias("h")).agg(F.array(*[F.coalesce(F.sum(F.col("h")[i]), F.lit(0)) for i in range(len(phrases))]).alias("df"))
 
 
-def search(docs: DataFrame, query: str, where: Column | None = None, limit: int | None = 20, offset: int = 0, text: str = "text") -> DataFrame:
+def search(docs: DataFrame, query: str, where: Column | None = None, limit: int | None = 20, offset: int = 0, text: str | tuple[str, ...] = "text") -> DataFrame:
     """A page of matches by relevance less twice the authority, then id (ORD-1); a query without words browses (ORD-2)."""
     if not sanitise(query):
         rows = (docs if where is None else docs.filter(where)).withColumn("bm25", F.lit(None).cast("double")).orderBy(F.desc("authority"), "id")
@@ -106,6 +132,58 @@ def search(docs: DataFrame, query: str, where: Column | None = None, limit: int
     return rows.offset(offset).limit(clamp(limit, 1, 100, 20))
 
 
+class PostingsIndex:
+    """Postings in a folder, in partitions by the hash of the term, with one row of statistics: a query reads its terms' partitions only.
+
+    Built once for a corpus, it spares queries the splitting of all texts.
+    """
+
+    def __init__(self, spark, folder: str, buckets: int = 256):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(self.buckets)).cast("int")
+
+    def build(self, docs: DataFrame, text: str | tuple[str, ...] = "text", id_col: str = "id") -> PostingsIndex:
+        """Write the index of ``docs``; one that is there is replaced."""
+        words = docs.select(F.col(id_col).alias("id"), _words(text).alias("w")).withColumn("doc_length", _length(F.col("w"), text))
+        rows = words.select("id", "doc_length", F.posexplode("w").alias("pos", "term")).filter("term <> ''")
+        rows = rows.groupBy("id", "term", "doc_length").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+        rows = rows.withColumn("bucket", self._bucket(F.col("term")))
+        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings")
+        docs.select(_length(_words(text), text).alias("n")).agg(F.count("*").alias("n_docs"), F.avg(F.coalesce("n", F.lit(0))).alias("mean_length")).write.mode("overwrite").parquet(f"{self.folder}/statistics")
+        return self
+
+    def _phrase(self, phrase: Phrase, number: int) -> DataFrame:
+        """id, doc_length, tf of the documents that hold a phrase: its words' places meet by position arithmetic."""
+        import zlib
+
+        every = self.spark.read.schema("id long, term string, doc_length int, positions array<int>, bucket int").parquet(f"{self.folder}/postings")
+        found = None
+        for i, word in enumerate(phrase.words):
+            if phrase.prefix and i == len(phrase.words) - 1:
+                own = every.filter(F.col("term").startswith(word))  # a prefix has no bucket of its own
+            else:
+                own = every.filter((F.col("bucket") == zlib.crc32(word.encode()) % self.buckets) & (F.col("term") == word))
+            own = own.select("id", "doc_length", F.explode("positions").alias("pos")).select("id", "doc_length", (F.col("pos") - i).alias("start"))
+            found = own if found is None else found.join(own.drop("doc_length"), ["id", "start"])
+        return found.groupBy("id", "doc_length").agg(F.count_distinct("start").cast("int").alias("tf")).withColumn("phrase", F.lit(number))
+
+    def bm25(self, query: str) -> DataFrame:
+        """id, bm25 of the documents that hold every phrase (FLT-5, TXT-4)."""
+        phrases = sanitise(query)
+        hits = None
+        for i, phrase in enumerate(phrases):
+            own = self._phrase(phrase, i)
+            hits = own if hits is None else hits.union(own)
+        df = F.broadcast(hits.groupBy("phrase").agg(F.count("*").alias("df")))  # a row for each phrase
+        whole = F.broadcast(self.spark.read.schema("n_docs long, mean_length double").parquet(f"{self.folder}/statistics"))  # one row
+        rows = hits.join(df, "phrase").crossJoin(whole)
+        idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / F.col("mean_length")))
+        return rows.groupBy("id").agg(F.count("*").alias("c"), F.sum(part).alias("s")).filter(F.col("c") == len(phrases)).select("id", (-F.col("s")).alias("bm25"))
+
+
 def snippet(text: Column, query: str) -> Column:
     """Up to 18 words around the first hit, hits marked (TXT-5)."""
     words = {w for p in sanitise(query) for w in p.words}

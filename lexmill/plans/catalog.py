@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +28,13 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from lexmill.plans import lookups  # noqa: F401  adds its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -173,9 +174,9 @@ def citation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(with_views("we", "SELECT src, dst, round(weight, 9) AS weight FROM we"))
-def weighted_edges(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
+def weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edge weights from tier and depth (GRA-1, NUM-1, NUM-2)."""
-    edges = graph.weighted_edges(views.graph_nodes(spark, sf_dir), edges_of(spark, sf_dir))
+    edges = graph.weighted_edges(views.graph_nodes(spark, sf_dir), views.graph_edges(spark, sf_dir))
     return edges.select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
@@ -191,10 +192,10 @@ def weighted_edges(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges)
       )
     )
     SELECT id, round(score / (SELECT max(score) FROM pr WHERE i = 50), 6) AS score FROM pr WHERE i = 50"""))
-def pagerank_weighted(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
+def pagerank_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty iterations of weighted PageRank, the best score one (GRA-2)."""
     nodes = views.graph_nodes(spark, sf_dir)
-    scores = graph.pagerank(nodes, graph.weighted_edges(nodes, edges_of(spark, sf_dir)))
+    scores = graph.pagerank(nodes, graph.weighted_edges(nodes, views.graph_edges(spark, sf_dir)))
     return scores.select("id", F.round("score", 6).alias("score"))
 
 
@@ -202,31 +203,31 @@ _HOPS = """, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(id, d
       SELECT DISTINCT src, 0 FROM u WHERE src = 1 UNION SELECT u.dst, r.depth + 1 FROM r JOIN u ON u.src = r.id WHERE r.depth < {hops}), best AS (SELECT id, min(depth) AS depth FROM r GROUP BY 1)"""
 
 
-def _near(spark: SparkSession, sf_dir: str, hops: int, edges_of) -> DataFrame:
-    return graph.neighbourhood(edges_of(spark, sf_dir), 1, hops)
+def _near(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
+    return graph.neighbourhood(views.graph_edges(spark, sf_dir), 1, hops)
 
 
 @_query(with_views("e", _HOPS.format(hops=1) + " SELECT id, depth FROM best"))
-def khop_1(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
+def khop_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of one node (GRA-4)."""
-    return _near(spark, sf_dir, 1, edges_of)
+    return _near(spark, sf_dir, 1)
 
 
 @_query(with_views("e", _HOPS.format(hops=2) + " SELECT id, depth FROM best"))
-def khop_2(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
+def khop_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two steps around one node (GRA-4)."""
-    return _near(spark, sf_dir, 2, edges_of)
+    return _near(spark, sf_dir, 2)
 
 
 @_query(with_views("e", _HOPS.format(hops=2) + " SELECT src, dst, paragraph_count FROM e WHERE src IN (SELECT id FROM best) AND dst IN (SELECT id FROM best)"))
-def khop_edges(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
+def khop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges within two steps (JN-11)."""
-    return graph.induced_edges(edges_of(spark, sf_dir), _near(spark, sf_dir, 2, edges_of))
+    return graph.induced_edges(views.graph_edges(spark, sf_dir), _near(spark, sf_dir, 2))
 
 
 # --- full text -----------------------------------------------------------------------------------------------------
 
-_TOKENS = ", tok AS (SELECT id, region, authority, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM j)"
+_TOKENS = ", tok AS (SELECT id, region, authority, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS w FROM j)"
 
 
 @_query(with_views("j", _TOKENS + " SELECT id FROM tok WHERE list_contains(w, 'the') AND list_contains(w, 'of') AND region = 'EN'"))
@@ -470,30 +471,31 @@ def release_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.snapshot_delta(docs.filter("doc_id % 5 <> 0"), docs.filter("doc_id % 7 <> 0"))
 
 
-def _tree(leaf: str, source: str) -> str:
-    """The SQL of a hash tree over a leaf expression."""
-    return f"""WITH l AS (SELECT DISTINCT sha256({leaf}) AS h FROM {source}),
-    a AS (SELECT substr(h, 1, 6) AS b, sha256(string_agg(h || h, '' ORDER BY h)) AS h FROM l GROUP BY 1),
+def _tree(source: str, *fields: str) -> str:
+    """The SQL of a hash tree over fields, each behind its length in bytes."""
+    leaf = " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields)
+    return f"""WITH r AS (SELECT sha256({leaf}) AS b FROM {source}), l AS (SELECT b, sha256(b || ':' || count(*)) AS h FROM r GROUP BY 1),
+    a AS (SELECT substr(b, 1, 6) AS b, sha256(string_agg(b || h, '' ORDER BY b)) AS h FROM l GROUP BY 1),
     c AS (SELECT substr(b, 1, 3) AS b, sha256(string_agg(b || h, '' ORDER BY b)) AS h FROM a GROUP BY 1)
     SELECT sha256(string_agg(b || h, '' ORDER BY b)) AS root FROM c"""
 
 
-@_query(_tree("doc_id || '|' || text", "documents"))
+@_query(_tree("documents", "doc_id", "text"))
 def corpus_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of all documents (AGG-20)."""
     return corpus.sorted_root(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@_query(_tree("src || '|' || dst || '|' || paragraph_count", f"({with_views('e', 'SELECT * FROM e')})"))
-def graph_root(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
+@_query(_tree(f"({with_views('e', 'SELECT * FROM e')})", "src", "dst", "paragraph_count"))
+def graph_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of the graph (AGG-20, GRA-3)."""
-    return corpus.sorted_root(edges_of(spark, sf_dir), "src", "dst", "paragraph_count")
+    return corpus.sorted_root(views.graph_edges(spark, sf_dir), "src", "dst", "paragraph_count")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most authoritative nodes of the citation graph: edges, weights, PageRank, order (GRA-1, GRA-2, ORD-2)."""
     nodes = views.graph_nodes(spark, sf_dir)
-    scores = graph.pagerank(nodes, graph.weighted_edges(nodes, views.whole_graph_edges(spark, sf_dir)))
+    scores = graph.pagerank(nodes, graph.weighted_edges(nodes, views.graph_edges(spark, sf_dir)))
     return scores.join(nodes, "id").orderBy(F.desc("score"), "id").limit(100)
 
 
@@ -555,10 +557,10 @@ def case_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(with_views("a e", """, k AS (SELECT src % 97 AS f, dst % 41 AS t FROM e GROUP BY 1, 2) SELECT a.id, CASE WHEN a.from_doc > 90 THEN 'citing_judgment_not_held' WHEN a.to_doc > 38 THEN 'cited_judgment_not_held'
     WHEN k.f IS NOT NULL THEN 'edge' ELSE 'no_edge_in_this_corpus' END AS support FROM a LEFT JOIN k ON k.f = a.from_doc AND k.t = a.to_doc"""))
-def claim_support(spark: SparkSession, sf_dir: str, edges_of=views.graph_edges) -> DataFrame:
+def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the graph holds of every claim's pair (JN-18)."""
     claims = views.attestations(spark, sf_dir)
-    edges = edges_of(spark, sf_dir).select((F.col("src") % 97).alias("from_doc"), (F.col("dst") % 41).alias("to_doc")).distinct()
+    edges = views.graph_edges(spark, sf_dir).select((F.col("src") % 97).alias("from_doc"), (F.col("dst") % 41).alias("to_doc")).distinct()
     held = claims.select(F.col("from_doc").alias("id")).filter("id <= 90").union(claims.select("to_doc").filter("to_doc <= 38")).distinct()
     both = attest.mechanical_support(claims.filter("to_doc <= 38 or from_doc > 90"), edges, held)
     gone = claims.filter("to_doc > 38 and from_doc <= 90").withColumn("support", F.lit("cited_judgment_not_held"))
@@ -575,6 +577,5 @@ def verification_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- the graph of all line items -----------------------------------------------------------------------------------
 
 for _fn in (weighted_edges, pagerank_weighted, khop_1, khop_2, khop_edges, graph_root, claim_support):
-    _QUERIES[f"{_fn.__name__}_whole"] = partial(_fn, edges_of=views.whole_graph_edges)
-    if _fn is not pagerank_weighted:  # fifty recursive steps over all edges are tested by brute force
-        _SQL[f"{_fn.__name__}_whole"] = _SQL[_fn.__name__].replace(" WHERE l_quantity > 40", "")
+    _QUERIES[f"{_fn.__name__}_whole"] = _fn  # the same queries under their earlier names
+    _SQL[f"{_fn.__name__}_whole"] = _SQL[_fn.__name__]

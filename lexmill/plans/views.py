@@ -56,22 +56,18 @@ def _follows(li: DataFrame) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst, paragraph_count: parts that follow each other in orders, large quantities only (as in the SQL)."""
-    return _follows(table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_linenumber", "l_partkey"))
-
-
-def whole_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, paragraph_count: parts that follow each other in orders, of all line items."""
     return _follows(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"))
 
 
 def attestations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, from_doc, to_doc, treatment, signer, signature of ``events``; signatures repeat."""
+    """id, from_doc, to_doc, treatment, signer, signature, created_at of ``events``; signatures repeat."""
     e = F.col("event_id")
     names = F.array(*[F.lit(x) for x in ("followed", "applied", "distinguished", "criticised", "overruled")])
     return table(spark, sf_dir, "events").select(
         e.alias("id"), (e % 97).alias("from_doc"), (e % 41).alias("to_doc"), F.element_at(names, ((e + F.length("event_type")) % 5 + 1).cast("int")).alias("treatment"),
         F.concat(F.lit("K"), F.col("user_id") % 50).alias("signer"), (e % 5000).cast("string").alias("signature"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
     )
 
 
@@ -95,14 +91,14 @@ SQL = {
     "linked": """SELECT c.*, own.to_doc FROM c LEFT JOIN own USING (citation_key)""",
     "n": """SELECT p_partkey AS id, ['apex', 'appellate', 'specialist_appellate', 'high_court', 'specialist_high', 'tribunal', 'lower'][p_size % 7 + 1] AS tier FROM part""",
     "e": """SELECT src, dst, count(DISTINCT l_orderkey) AS paragraph_count FROM (
-        SELECT l_orderkey, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem WHERE l_quantity > 40)
+        SELECT l_orderkey, l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem)
         WHERE dst IS NOT NULL AND src <> dst GROUP BY 1, 2""",
     "we": """SELECT src, dst, CASE tier WHEN 'apex' THEN 1.0 WHEN 'appellate' THEN 0.8 WHEN 'specialist_appellate' THEN 0.65 WHEN 'high_court' THEN 0.5
         WHEN 'specialist_high' THEN 0.45 WHEN 'tribunal' THEN 0.2 ELSE 0.1 END::DOUBLE * (1 + 0.25 * least(greatest(paragraph_count - 1, 0), 4))::DOUBLE AS weight
         FROM e JOIN n ON n.id = e.src WHERE e.dst IN (SELECT id FROM n)""",
     "a": """SELECT event_id AS id, event_id % 97 AS from_doc, event_id % 41 AS to_doc,
         ['followed', 'applied', 'distinguished', 'criticised', 'overruled'][(event_id + length(event_type)) % 5 + 1] AS treatment,
-        'K' || (user_id % 50) AS signer, (event_id % 5000)::VARCHAR AS signature FROM events""",
+        'K' || (user_id % 50) AS signer, (event_id % 5000)::VARCHAR AS signature, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at FROM events""",
     "w": """SELECT l_orderkey AS doc_id, 'w' || (l_suppkey % 5) AS witness, 'h' || (l_partkey % 3) AS raw_hash, strftime(l_shipdate, '%Y-%m-%d') AS fetched_at FROM lineitem""",
     "p": """SELECT id AS doc_id, (i - 1)::INTEGER AS para_index, lines[i] AS text FROM (SELECT id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id AS id, string_split(text, chr(10)) AS lines FROM documents))
         WHERE NOT regexp_matches(lines[i], '^\\s*$')""",

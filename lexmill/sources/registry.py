@@ -56,3 +56,28 @@ def with_court_names(rows: DataFrame, known: DataFrame, court: str = "court") ->
     """``rows`` with court_name, the code where the registry has no name (PRJ-1)."""
     names = known.select(F.col("code").alias("__code"), F.col("name").alias("__name")).dropDuplicates(["__code"])
     return rows.join(names, F.upper(court) == F.col("__code"), "left").withColumn("court_name", F.coalesce("__name", court)).drop("__code", "__name")
+
+
+def sources_of_hosts(pages: DataFrame, sources: DataFrame, host: str = "host") -> DataFrame:
+    """``pages`` with the source of their host (SRC-14, JN-24): a source's host fits itself, its subdomains and its parents.
+
+    sources: ord, source_id, source_host; the first fitting one counts. Both sides are turned into their suffixes,
+    so the lookup is two equi-joins and no pairwise comparison.
+    """
+
+    def suffixes(rows: DataFrame, column: str) -> DataFrame:
+        labels = F.split(F.lower(column), "[.]")
+        at = F.explode(F.sequence(F.lit(1), F.size(labels)))
+        return rows.withColumn("__at", at).withColumn("__suffix", F.array_join(F.slice(labels, F.col("__at"), F.size(labels)), ".")).drop("__at")
+
+    hosts = pages.select(host).filter(F.col(host) != "").distinct()
+    below = suffixes(hosts, host).join(sources.select("ord", "source_id", F.lower("source_host").alias("__suffix")), "__suffix")
+    above = suffixes(sources, "source_host").join(hosts.select(F.lower(host).alias("__suffix"), host), "__suffix")
+    fits = below.select(host, "ord", "source_id").union(above.select(host, "ord", "source_id"))
+    first = fits.groupBy(host).agg(F.min_by("source_id", "ord").alias("source_id"))
+    return pages.join(first, host, "left")
+
+
+def source_of_region(sources: DataFrame, region: str) -> DataFrame:
+    """The first source of a region, whatever its case (SRC-14)."""
+    return sources.filter(F.upper("region") == region.strip().upper()).orderBy("ord").limit(1)

@@ -1,5 +1,6 @@
 """Queries against their SQL on the smallest tables, and operators on small fixtures."""
 
+import json
 import math
 from pathlib import Path
 
@@ -9,11 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import citations as cite
-from lexmill.functions import crawl
+from lexmill.functions import crawl, titles
 from lexmill.functions import text as tx
-from lexmill.operators import attest, corpus, graph, release, retrieval, search
+from lexmill.operators import attest, corpus, graph, listing, rag, release, retrieval, search
 from lexmill.plans import catalog
-from lexmill.sources import judgment_xml, readers, registry
+from lexmill.session import Scratch
+from lexmill.sources import bundles, judgment_xml, readers, registry
 from lexmill.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -261,3 +263,110 @@ def test_profiles(spark):
     for bad in (text.replace("apex", "best"), text.replace('"xx"', '""'), text + '[[courts]]\ncode = "xxsc"\nname = "T"\ntier = "apex"\n'):
         with pytest.raises(ValueError):
             registry.parse_profile(bad)
+
+
+# --- lookups, titles, crawl rules, bundles, releases ---
+
+
+def test_roots_tell_fields_and_repeats_apart(spark):
+    root = lambda rows: corpus.sorted_root(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()["root"]
+    assert root([("x|y", "z")]) != root([("x", "y|z")]) and root([("x1:y", "z")]) != root([("x", "1:yz")])
+    assert root([(None, "z")]) != root([("", "z")]) and root([("a", "b")]) != root([("a", "b"), ("a", "b")])
+    assert root([("a", "b"), ("c", "d")]) == root([("c", "d"), ("a", "b")])
+
+
+def test_titles_and_addresses(spark):
+    one = lambda expr: spark.range(1).select(expr.alias("x")).first()["x"]
+    lit = F.lit
+    assert one(titles.og_title(lit('<meta property="og:title" content="A &amp; B"><meta name="twitter:title" content="C">'))) == "A & B"
+    assert one(titles.og_title(lit('<META content="C" name="twitter:title">'))) == "C" and one(titles.og_title(lit("<title>x</title>"))) is None
+    assert one(titles.h1_title(lit("<h1 class=x>A <b>v</b>\n B</h1><h1>second</h1>"))) == "A v B" and one(titles.h1_title(lit(""))) is None
+    assert one(titles.decision_type(lit("A v B [2020] C 1 (5 May 2020)"))) is None and one(titles.decision_type(lit("A ([2020] X)"))) is None
+    assert one(titles.parties(lit("No brackets"))) == "No brackets" and one(titles.case_description(lit("A [2020] B 1"))) is None
+    assert one(titles.akn_path(lit("ftp://h/akn/ke/judgment/keca/2026/7?q"))) == "/akn/ke/judgment/keca/2026/7" and one(titles.akn_path(lit("x"))) is None
+    assert one(titles.neutral_citation(lit("/akn/ke/judgment/keca/x/7"))) is None and one(titles.akn_country(lit("/akn/kenya/judgment"))) is None
+    from urllib.parse import urljoin
+
+    bases = ["https://h.org/a/b/c.html?x=1#y", "http://h.org", "https://h.org/"]
+    hrefs = ["https://o.org/z", "//o.org/z", "/r/s?t", "d/e", "./d", "../d", "../../../d", "?q=2", "#f", "d/", "..", "a/./b/../c"]
+    rows = spark.createDataFrame([(b, h) for b in bases for h in hrefs], "b string, h string").select("b", "h", titles.resolve_url(F.col("b"), F.col("h")).alias("u")).collect()
+    plain = lambda u: u.rstrip("/").removesuffix("#f") if "#f" in u else u.rstrip("/")
+    assert [(r.b, r.h) for r in rows if plain(r.u) != plain(urljoin(r.b, r.h))] == []
+    assert one(titles.resolve_url(lit("nowhere"), lit("/x"))) is None
+
+
+def test_html_helpers(spark):
+    one = lambda expr: spark.range(1).select(expr.alias("x")).first()["x"]
+    page = "<head><title>t</title></head><script>var a='<p>';</script><p>1. First &amp; <b>bold</b></p><div>[2] second</div><p>  </p>third<style>p{}</style>"
+    assert one(tx.html_paragraphs(F.lit(page))) == ["1. First & bold", "[2] second", "third"]
+    assert one(tx.strip_tags_lossy(F.lit("a<b>c</b> > d <unclosed"))) == "ac  d "
+    key = one(tx.document_id(F.lit("some text")))
+    assert one(tx.short_id(F.lit(key))) == key[:12] and one(tx.is_document_id(F.lit(key.upper()))) and not one(tx.is_document_id(F.lit(key[:-1]))) and not one(tx.is_document_id(F.lit(None).cast("string")))
+    assert one(tx.fold(F.lit("Ünïcödé Ǖ ή ß ø é"))) == "unicode u η ß ø e"
+    cut = one(search.snippet(F.lit("one two three four five six seven The eight " + "more " * 30), "the"))
+    assert cut.startswith("…") and cut.endswith("…") and cut.count("<mark>") == 1 and len(cut.split()) <= 18
+
+
+def test_search_over_columns(spark):
+    rows = [(1, "Smith v Jones", "A long text about the café", "[2001] ZACC 1"), (2, "Other", "smith jones", "ZACC"), (3, None, "the cafe smith", None)]
+    docs = spark.createDataFrame(rows, "id long, title string, text string, citation string")
+    ids = lambda q: {r.id for r in search.matches(docs, q, ("title", "text", "citation")).collect()}
+    assert ids("smith cafe") == {1, 3} and ids('"v jones"') == {1} and ids("jones a") == {1} and ids('"jones a"') == set() and ids("CAFÉ") == {1, 3} and ids("zac*") == {1, 2}
+    index = search.PostingsIndex(spark, Scratch(spark, "t").root, 4).build(docs, ("title", "text", "citation"))
+    for q in ("smith cafe", '"v jones"', "zac*", '"jones a"'):
+        want = {(r.id, round(r.bm25, 6)) for r in search.bm25(docs, q, ("title", "text", "citation")).collect()}
+        assert {(r.id, round(r.bm25, 6)) for r in index.bm25(q).collect()} == want
+
+
+def test_robots_files(spark):
+    body = "User-agent: a\nUser-agent: b/2 x\nDisallow: /x\r\nCrawl-delay: -1\nUser-agent: *\nDisallow:\nAllow: /y#z\n"
+    groups = crawl.robots_groups(spark.createDataFrame([("h", body), ("empty", ""), ("none", None)], "host string, body string"))
+    assert {(r.agent, r.pattern, r.allow) for r in groups.collect()} == {("a", "/x", False), ("b", "/x", False), ("*", "/y", True)}
+    pick = lambda agent: {(r.pattern, r.allow) for r in crawl.rules_for(groups, agent).collect()}
+    assert pick("B/9") == {("/x", False)} and pick("zz") == {("/y", True)}
+
+
+def test_policies_and_claims(spark, tmp_path):
+    key = "AB" * 32
+    assert attest.parse_policy(f"{key}:0.5, {key}:x,short:1,{'c' * 64}, {'d' * 64}:7,{'e' * 64}:nan", 2) == ([(0, key.lower(), 0.5), (1, key.lower(), 1.0), (2, "c" * 64, 1.0), (3, "d" * 64, 1.0), (4, "e" * 64, 0.0)], 1.0)
+    assert attest.parse_policy("") == ([], 0.0)
+    claim = {"from_doc": "1" * 64, "to_doc": "2" * 64, "treatment": "Criticized", "signer": key, "signature": "f" * 128, "created_at": "2024"}
+    lines = [json.dumps(claim), "", "{broken", json.dumps(claim | {"treatment": "liked"}), json.dumps(claim), json.dumps(claim | {"signer": "zz"}), json.dumps(claim | {"to_doc": "2"}), json.dumps({k: v for k, v in claim.items() if k != "signer"})]
+    (tmp_path / "b.jsonl").write_text("\n".join(lines))
+    got = bundles.read_bundle(spark, str(tmp_path / "b.jsonl"))
+    assert {(r.line, r.status, r.reason) for r in got.collect()} == {(1, "new", None), (3, "malformed", "no from_doc"), (4, "rejected", "treatment"), (5, "duplicate", None), (6, "rejected", "signer not_hex"), (7, "rejected", "id"), (8, "malformed", "no signer")}
+    assert bundles.bundle_tallies(got).first().asDict() == {"malformed": 2, "rejected": 3, "duplicate": 1, "new": 1}
+    refused = bundles.parse_lines(spark.createDataFrame([("p", 1, lines[0])], "path string, line int, value string"), F.col("signer") == "x")
+    assert refused.first().reason == "signature"
+    raw = spark.range(1).select(attest.signing_bytes("d", F.lit("é"), F.lit(None)).alias("x")).first()["x"]
+    assert bytes(raw) == b"d\n" + (2).to_bytes(8, "big") + "é".encode() + (0).to_bytes(8, "big")
+    about = spark.createDataFrame([("a", "z", "followed", key, "s", "2024"), ("b", "y", "followed", key, "s", "2023")], "from_doc string, to_doc string, treatment string, signer string, signature string, created_at string")
+    policy = spark.createDataFrame([(0, key.lower(), 0.5)], "ord int, key string, weight double")
+    assert [(r.from_doc, r.weight) for r in attest.treatment_view(about, "z", policy).collect()] == [("a", 0.5)]
+    assert [r.x for r in spark.createDataFrame([(" Applied ",), ("criticized",), ("odd",)], "t string").select(attest.treatment(F.col("t")).alias("x")).collect()] == ["applied", "criticised", None]
+    assert attest.currency_of(spark.createDataFrame([("q",)], "to_doc string"), attest.currency(attest.weighted(about, policy)), True).first().signal == "none_about_this_judgment"
+
+
+def test_upserts_indexes_and_files(spark):
+    stored = spark.createDataFrame([(1, "a", 0.5, 1), (2, "b", 0.7, 1)], "id long, court string, authority double, ts int")
+    new = spark.createDataFrame([(2, "c", 0.0, 2), (2, "d", 0.0, 3), (3, "e", 0.1, 1)], "id long, court string, authority double, ts int")
+    assert {(r.id, r.court, r.authority) for r in listing.upsert(stored, new, ["ts"]).collect()} == {(1, "a", 0.5), (2, "d", 0.7), (3, "e", None)}
+    chunks = spark.createDataFrame([(1, 0, "a b"), (2, 0, "c")], "doc_id long, para_index int, text string")
+    built = rag.build_index(chunks, "x", 4, lambda t: retrieval.hashed_embedding(t, 4))
+    assert built.count() == 2 and rag.replace_index(built, built.limit(1)).count() == 1
+    with pytest.raises(Exception, match="not 5 numbers"):
+        rag.build_index(chunks, "x", 5, lambda t: retrieval.hashed_embedding(t, 4)).collect()
+    blob = spark.createDataFrame([(0, 1, 2), (1, 1, 3), (2, 1, 3), (3, 0, 9)], "ord int, src int, dst int")
+    assert {r.ord for r in graph.unsorted_edges(blob).collect()} == {2, 3}
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "c", 1)], "from_doc string, to_doc string, paragraph_count long")
+    assert [r.id for r in release.open_references(edges, spark.createDataFrame([("a",), ("b",)], "id string")).collect()] == ["c"]
+    children = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, v string")
+    assert [r.v for r in corpus.drop_children(children, spark.createDataFrame([(1,)], "doc_id long")).collect()] == ["y"]
+    assert [r.path for r in spark.createDataFrame([("ab" * 32,)], "k string").select(release.blob_path(F.col("k")).alias("path")).collect()] == ["objects/ab/" + "ab" * 31]
+    hosts = registry.sources_of_hosts(spark.createDataFrame([("A.x.org",), ("org",), ("y.com",), ("",)], "host string"), spark.createDataFrame([(1, "s", "x.org")], "ord int, source_id string, source_host string"))
+    assert {(r.host, r.source_id) for r in hosts.collect()} == {("A.x.org", "s"), ("org", "s"), ("y.com", None), ("", None)}
+
+
+def test_authority_from_ranks(spark):
+    rows = catalog.queries()["authority_written"](spark, SF).collect()
+    assert len(rows) == 200 and max(r.authority for r in rows) == 1.0 and all(0 < r.authority <= 1 for r in rows)
