@@ -203,7 +203,7 @@ def _neighbours(merge: bool):
             n = np.add.reduceat(whole.column("n").to_numpy(), starts)
             done = starts if batch is None else starts[:-1]  # the last suffix may go on
             yield pa.RecordBatch.from_arrays([suffix.take(pa.array(done)), pa.array(n[: len(done)])], names=["suffix", "n"])
-            held = None if batch is None else pa.RecordBatch.from_arrays([suffix.slice(starts[-1], 1), pa.array([True]), pa.array(n[-1:])], names=["suffix", "fresh", "n"])
+            held = None if batch is None else pa.RecordBatch.from_arrays([suffix.slice(starts[-1], 1), pa.array([True]), pa.array(n[-1:])], schema=whole.schema)
 
     return run
 

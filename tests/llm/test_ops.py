@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,21 @@ def test_family_of_arrays(spark):
     assert [suffix_dedup.batch_count(x) for x in (0, 1 << 27, 1 << 30, 1 << 47)] == [2, 3, 6, 23]
 
 
+def test_neighbours_across_batches():
+    r = random.Random(3)
+    rows = sorted((bytes([r.randrange(4)] * 32), r.random() < 0.5, r.randrange(1, 5)) for _ in range(60))
+    schema = pa.schema([pa.field("suffix", pa.binary(), False), pa.field("fresh", pa.bool_(), False), pa.field("n", pa.int64(), False)])
+    for size in (1, 2, 7, 60):
+        cut = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + size], strict=True), schema, strict=True)], schema=schema) for i in range(0, 60, size)]
+        merged = pa.Table.from_batches(list(suffix_dedup._neighbours(True)(iter(cut)))).to_pydict()
+        total = collections.Counter()
+        for suffix, _, n in rows:
+            total[suffix] += n
+        assert dict(zip(merged["suffix"], merged["n"], strict=True)) == total and len(merged["n"]) == 4
+        hits = {x for b in suffix_dedup._neighbours(False)(iter(cut)) for x in b.column(0).to_pylist()}
+        assert hits == {a[0] for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0] and (a[1] or b[1])}
+
+
 def test_passages_of_many_documents(spark):
     rows = [(i, prose(100 + i, 30 + i) + " " + PASSAGE[i * 3 :] + " " + prose(200 + i, 40)) for i in range(12)]
     found = suffix_dedup.long_repeats(spark.createDataFrame(rows, "doc_id long, text string"), batches=3)
