@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name: module
 MODULES = {
     "op1_chat_formatting": "chat",
+    "op1_chat_transcripts": "chat",
     "op2_pattern_packing": "packing",
     "op3_url_filters": "url_filter",
     "op4_language_id": "language_id",
@@ -25,4 +26,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, module in MODULES.items() if (sql := import_module(f"lexmill.llm.{module}").SQL)}
+    found = {name: sql for name, module in MODULES.items() if (sql := import_module(f"lexmill.llm.{module}").SQL)}
+    return found | {"op1_chat_transcripts": import_module("lexmill.llm.chat").TRANSCRIPTS_SQL}

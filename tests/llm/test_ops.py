@@ -515,6 +515,30 @@ def test_chats(spark, monkeypatch):
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_transcripts_in_one_text(spark):
+    text = "User: can you help?\nwith this: a list\nof lines\n\nAssistant: yes\nhere: it is\nHuman: thanks\n[AI]: bye"
+    rows = [(1, 0, None, text), (1, 1, "user", "one more\nQ: and this?\nA: " + "word " * 40_000), (2, 0, "system", "Note: no marker\nat all"), (3, 0, "user", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn, r.part): (r.role, r.rendered.split("\n", 1)[1].removesuffix("<|end|>")) for r in chat.format_chats(frame).collect()}
+    assert got[1, 0, 0] == ("user", "can you help?\nwith this: a list\nof lines\n") and got[1, 0, 1] == ("assistant", "yes\nhere: it is")
+    assert got[1, 0, 2] == ("user", "thanks") and got[1, 0, 3] == ("assistant", "bye")
+    assert got[1, 1, 0] == ("user", "one more") and got[1, 1, 1] == ("user", "and this?") and got[1, 1, 2] == ("assistant", ("word " * 40_000).strip())
+    assert got[2, 0, 0] == ("system", "Note: no marker\nat all") and got[3, 0, 0] == ("user", "") and len(got) == 9
+
+
+def test_transitions_across_blocks_are_learned(spark, monkeypatch):
+    seen = []
+    learn = chat._learn
+    monkeypatch.setattr(chat, "_learn", lambda rows, edges: seen.append({(r.a, r.b): r.n for r in edges.collect()}) or learn(rows, edges))
+    rows = [(1, i, ("user", "assistant", None)[i % 3], f"t{i}") for i in range(0, 2000, 3)] + [(2, 5, "system", "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for block in (256, 10, 1 << 40):
+        monkeypatch.setattr(chat, "BLOCK", block)
+        chat.format_chats(frame).count()
+    want = collections.Counter(zip([None, *["user"] * 666], ["user"] * 667, strict=True)) + collections.Counter({(None, "system"): 1})
+    assert seen == [dict(want)] * 3
+
+
 def test_hidden_roles_are_recovered(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     hidden = turns.withColumn("role", F.when(F.col("conv_id") % 4 != 0, F.col("role")))
