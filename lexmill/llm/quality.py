@@ -144,8 +144,9 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
         mine = rows.filter(F.col("label") == c).select("id", "label", *[o.alias(f"h{i}") for i, o in enumerate(order)]).orderBy("h0", "h1").limit(sample)
         ids = mine if ids is None else ids.union(mine)
     keys = ids.select(F.xxhash64("id", "label").alias("key"), "h1").distinct()
-    picked = rows.withColumns({"key": F.xxhash64("id", "label"), "h1": order[1]}).join(F.broadcast(keys), ["key", "h1"], "left_semi")  # 2 * sample rows at most
-    found = picked.select("label", "text").mapInArrow(_sampled, "label int, features binary").limit(2 * sample).toPandas()
+    picked = rows.withColumns({"key": F.xxhash64("id", "label"), "h1": order[1]}).join(F.broadcast(keys), ["key", "h1"], "left_semi")
+    # Repeated rows stand once in the sample, which so has 2 * sample rows at most; the counts above have them all.
+    found = picked.dropDuplicates(["key", "h1"]).select("label", "text").mapInArrow(_sampled, "label int, features binary").toPandas()
     features = [np.frombuffer(x, np.int32) for x in found["features"]]
     label = found["label"].to_numpy(dtype=float)
     order = sorted(range(len(features)), key=lambda i: (features[i].tobytes(), label[i]))  # the same fit at any partitioning
