@@ -123,8 +123,8 @@ class WordIds:
 _words: dict[str, WordIds] = {}
 
 
-def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(document ids, token ids with the end) of small runs of rows."""
+def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.DataType, list, list[np.ndarray]]]:
+    """(type of ids, document ids, token ids with the end) of small runs of rows."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -138,13 +138,13 @@ def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[lis
             texts.append(raw)
             size += len(raw)
             if size > 1 << 20 or i == batch.num_rows - 1:
-                yield ids, [np.append(x, np.uint32(END_ID)) for x in _words[path].ids(texts)]
+                yield batch.schema.field("doc_id").type, ids, [np.append(x, np.uint32(END_ID)) for x in _words[path].ids(texts)]
                 ids, texts, size = [], [], 0
 
 
 def _pieces(path: str, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs, found in _encoded(path, batches):
+        for kind, docs, found in _encoded(path, batches):
             rows = []
             for doc, ids in zip(docs, found, strict=True):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
@@ -153,6 +153,7 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
                     rows.append((*row, own.astype(np.int32)) if keep_ids else row)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+            kinds[0] = kind
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
             yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
@@ -160,8 +161,12 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of each document's pieces; null texts are empty (the end id)."""
-    schema = _PIECES + (", ids array<int>" if keep_ids else "")
+    """doc_id, piece, start, length, ids_crc32 (and ids) of each document's pieces; null texts are empty (the end id).
+
+    doc_id keeps its type and may be null; a row that is repeated has its pieces as often as it stands; other columns are
+    left aside. Very long texts are encoded whole and cut. An empty table gives an empty result.
+    """
+    schema = _PIECES.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}") + (", ids array<int>" if keep_ids else "")
     return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, keep_ids), schema)
 
 
