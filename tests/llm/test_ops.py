@@ -488,6 +488,114 @@ def test_languages(spark, docs):
     assert pages.join(truth, "page_id").filter("language = t").count() >= 0.95 * truth.count()
 
 
+def identified(rows):
+    """(language, posterior) by plain dictionaries. rows: (text, declared, host)."""
+    names, logs = language_id.LANGUAGES, math.log
+
+    def grams(text):
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+        letter = [97 <= c <= 122 or c >= 0xC3 for c in b]
+        out = [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(b) - 2) if letter[i + 1] and (letter[i] or letter[i + 2])]
+        return out, sum(letter)
+
+    found = [grams(t) for t, _, _ in rows]
+    declared = [d if d in names else "" for _, d, _ in rows]
+    counts = {x: collections.Counter() for x in names}
+    for (g, _), d in zip(found, declared, strict=True):
+        if d:
+            counts[d].update(g)
+    total = {x: sum(c.values()) + 0.5 * 2**14 for x, c in counts.items()}
+    text = [[sum(logs((counts[x][b] + 0.5) / total[x]) for b in g) * min(len(g), 40) / max(len(g), 1) for x in names] for g, _ in found]
+
+    def normal(v):
+        top = [math.exp(x - max(v)) for x in v]
+        return [x / sum(top) for x in top]
+
+    said = [(normal(t), d, h) for t, d, (_, _, h), (_, n) in zip(text, declared, rows, found, strict=True) if n]
+    chain = lambda h: [h, ".".join(h.split(".")[1:]) if len(h.split(".")) > 2 else h, h.split(".")[-1]]
+    sums = lambda keep: [sum(n[i] for n, d, h in said if keep(d, h)) for i in range(len(names))]
+    share = lambda n, up: [(x + 20 * u) / (sum(n) + 20) for x, u in zip(n, up, strict=True)]
+    every = sums(lambda d, h: True)
+    whole = [(x + 1) / (sum(every) + len(names)) for x in every]
+    out = []
+    values = {d for _, d, _ in said}
+    for t, d, (_, _, h), (_, n) in zip(text, declared, rows, found, strict=True):
+        if not n:
+            out.append((None, 0.0))
+            continue
+        host, parent, suffix = chain(h)
+        by_suffix = share(sums(lambda d, x: chain(x)[2] == suffix), whole)
+        by_parent = share(sums(lambda d, x: chain(x)[1] == parent and chain(x)[2] == suffix), by_suffix)
+        prior = share(sums(lambda d, x: x == host), by_parent)
+        own = sums(lambda x, h, d=d: x == d)
+        p = normal([t[i] + logs(prior[i]) + logs((own[i] + 1) / (every[i] + len(values))) for i in range(len(names))])
+        out.append((names[p.index(max(p))], max(p)))
+    return out
+
+
+def test_languages_equal_brute_force(spark):
+    base = {"en": "the cat and the dog went there", "fr": "le chat et la souris sont là", "de": "der Hund und die Katze für", "es": "el perro y la niña están aquí"}
+    r = random.Random(8)
+    rows = []
+    for i in range(80):
+        x = r.choice(list(base))
+        text = " ".join(r.choice(base[x].split()) for _ in range(r.randrange(0, 30)))
+        rows.append((text, x if i % 3 else r.choice(["it", "", "EN".lower()]), r.choice(["a.b.org", "c.b.org", "b.org", "x.de", "solo", ""])))
+    rows += [(None, "en", "x.de"), ("123 456", "fr", "x.de"), ("é", "fr", "q.r.s.t"), ("the the", "en", "x.de"), ("the the", "en", "x.de"), ("wort " * 30_000, "de", "x.de")]
+    frame = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id int, text string, lang string, source string").repartition(3)
+    got = {x.doc_id: (x.language, round(x.posterior, 9), x.kept) for x in language_id.identify(frame).collect()}
+    assert got == {i: (x, round(p, 9), x is not None and p >= 0.5) for i, (x, p) in enumerate(identified(rows))}
+
+
+def test_quality_equals_a_plain_fit(spark):
+    r = random.Random(4)
+    good, bad = ["clear", "prose", "about", "things", "here"], ["BUY", "now!!!", "cheap", "$$$", "here"]
+    texts = [(i, " ".join(r.choice(good if i % 2 else bad) for _ in range(r.randrange(1, 12)))) for i in range(40)] + [(40, None), (41, ""), (42, "here " * 20_000), (7, "clear prose")]
+    label = {i: i % 2 for i in range(0, 30)}
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([*label.items(), (5, 1), (99, 1), (31, 3), (None, 1)], "doc_id long, quality int")
+    train = lambda i: i % 5 != 0
+    got = sorted(((x.id, round(x.score, 6), x.predicted) for x in quality.quality_scores(frame, labels, train).collect()), key=str)
+
+    def features(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        return sorted(set(quality._features(raw, np.array([0, len(raw)]))[0].tolist()))
+
+    rows = [(features(t), y) for i, t in texts for j, y in [*label.items(), (5, 1)] if i == j and train(i)]
+    sizes = [sum(y == c for _, y in rows) for c in (0, 1)]
+    count = collections.Counter((f, y) for fs, y in rows for f in fs)
+    ratio = {f: math.log((count[f, 1] + 1) / (sizes[1] + 2)) - math.log((count[f, 0] + 1) / (sizes[0] + 2)) for fs, _ in rows for f in fs}
+    rows.sort(key=lambda x: (np.array(x[0], np.int32).tobytes(), x[1]))
+    share = sum(y for _, y in rows) / len(rows)
+    scaled = []
+    for fs, _ in rows:
+        v = {f: ratio[f] for f in fs}
+        norm = max(1.0, math.sqrt(sum(x * x for x in v.values())))
+        scaled.append({f: x / norm for f, x in v.items()})
+    w, bias, alpha = collections.defaultdict(float), 0.0, [0.0] * len(rows)
+    rng = np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        for i in rng.permutation(len(rows)):
+            y = 1 if rows[i][1] else -1
+            cost = quality.COST * 0.5 / (share if y > 0 else 1 - share)
+            margin = sum(x * w[f] for f, x in scaled[i].items()) + bias
+            new = min(max(alpha[i] - (y * margin - 1) / (sum(x * x for x in scaled[i].values()) + 1), 0), cost)
+            for f, x in scaled[i].items():
+                w[f] += (new - alpha[i]) * y * x
+            bias += (new - alpha[i]) * y
+            alpha[i] = new
+    mean = sum(abs(x) for x in w.values()) / quality.BUCKETS
+    w = {f: 0.9 * x + 0.1 * mean * ((x > 0) - (x < 0)) for f, x in w.items()}
+
+    def margin_of(fs):
+        v = [(ratio.get(f, 0.0), w.get(f, 0.0)) for f in fs]
+        return sum(a * b for a, b in v) / max(1.0, math.sqrt(sum(a * a for a, _ in v))) + bias
+
+    slope, offset = quality._curve(np.array([margin_of(fs) for fs, _ in rows]), np.array([float(y) for _, y in rows]))
+    scores = [(i, 1 / (1 + math.exp(-(slope * margin_of(features(t)) + offset)))) for i, t in texts]
+    assert got == sorted(((i, round(x, 6), int(x >= 0.3)) for i, x in scores), key=str)
+
+
 def test_quality_on_held_out_rows(spark, docs):
     sf = "/root/testdata/sf0.01"
     rows = quality.op5_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
