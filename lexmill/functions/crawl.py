@@ -100,6 +100,7 @@ def allowed(paths: DataFrame, rules: DataFrame, path: str = "path", key: str = "
     rules: ``key``, pattern, allow. The join is by host, so work grows with the rules of the hosts at hand.
     """
     pairs = paths.select(key, path).distinct().join(rules.withColumn("__regex", pattern_regex(F.col("pattern"))), key)
-    hits = pairs.filter(F.expr(f"{path} rlike __regex"))
+    # Rows with one pattern stand together, so that each is compiled once for a run of them.
+    hits = pairs.sortWithinPartitions("__regex").filter(F.expr(f"{path} rlike __regex"))
     best = hits.groupBy(key, path).agg(F.max(F.struct(F.octet_length("pattern"), "allow")).alias("b")).select(key, path, F.col("b.allow").alias("__allow"))
     return paths.join(best, [key, path], "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__allow")

@@ -55,12 +55,20 @@ def build_records(raw: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).drop("pieces", "claimed", "text")
 
 
-def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Records of JSON lines (SRC-1): blank lines are skipped, unreadable ones carry the reason ``not a record``.
+def read_json_lines(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """Records of the JSON lines of ``*.jsonl`` and ``*.ndjson`` files (SRC-1, SRC-4): blank lines are skipped, unreadable ones
+    carry the reason ``not a record``.
 
-    ``paragraphs`` may hold strings or objects with a text; both are read.
+    ``paragraphs`` may hold strings or objects with a text; both are read. The location is the file, and with
+    ``numbered`` the file and the physical line: each file is then read by one task.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).filter("trim(value) <> ''").withColumn("location", F.col("_metadata.file_path"))
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,ndjson}")
+    if numbered:
+        lines = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "value"))
+        lines = lines.select("value", F.concat("file", F.lit(":"), F.col("at") + 1).alias("location"))
+    else:
+        lines = reader.text(path).withColumn("location", F.col("_metadata.file_path"))
+    lines = lines.filter("trim(value) <> ''")
     plain = F.from_json(F.get_json_object("value", "$.paragraphs"), "array<string>")  # an object comes as its JSON text
     texts = F.transform(plain, lambda p: F.coalesce(F.when(p.startswith("{"), F.get_json_object(p, "$.text")), p))
     parsed = lines.withColumn("r", F.from_json("value", RECORD.replace("paragraphs array<string>, ", "") + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))

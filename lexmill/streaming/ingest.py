@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.operators import corpus
@@ -13,22 +13,29 @@ def new_documents(batch: DataFrame, stored: DataFrame, key: str = "id") -> DataF
     return batch.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
 
 
+def prefix(key: Column) -> Column:
+    """The partition of a key in the store: two hex digits of its hash."""
+    return F.substring(F.sha2(key.cast("string"), 256), 1, 2)
+
+
 def ingest_stream(spark: SparkSession, source: DataFrame, path: str, checkpoint: str, key: str = "id"):
     """A started query that appends each new document of ``source`` to the table at ``path`` once.
 
-    A batch that is run again after a failure finds its own rows stored and adds nothing. The trigger takes what is
-    there and ends, so that the same job serves backfills and schedules.
+    A batch that is run again after a failure finds its own rows stored and adds nothing. The table is partitioned by the
+    keys' prefixes (column ``prefix``), and a batch reads the partitions that its own keys fall into, keys alone. The
+    trigger takes what is there and ends, so that the same job serves backfills and schedules.
     """
 
     def store(batch: DataFrame, _batch_id: int) -> None:
-        session = batch.sparkSession
+        session, batch = batch.sparkSession, batch.withColumn("prefix", prefix(F.col(key)))
+        met = [r[0] for r in batch.select("prefix").distinct().collect()]  # at most 256
         try:
-            stored = session.read.schema(batch.schema).parquet(path)
+            stored = session.read.schema(batch.schema).parquet(path).filter(F.col("prefix").isin(met))
         except Exception as e:  # the first batch: the table is not there yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             stored = batch.limit(0)
-        new_documents(batch, stored, key).write.mode("append").parquet(path)
+        new_documents(batch, stored, key).write.mode("append").partitionBy("prefix").parquet(path)
 
     return source.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

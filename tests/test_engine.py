@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 from pathlib import Path
 
 import duckdb
@@ -185,6 +186,9 @@ def test_root_ignores_order(spark):
 
 def test_readers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"court":"zacc","title":"A v B","paragraphs":["[1] First","plain",{"text":"third"}]}\n\n{broken\n{"court":"","title":"x","text":"y"}\n{"court":"Q","title":"x","id":"ff","text":"y"}\n')
+    (tmp_path / "a.csv").write_text("no record")
+    numbered = readers.good_and_bad(readers.read_json_lines(spark, str(tmp_path), numbered=True))[1].collect()
+    assert numbered and all(re.search(r"a\.jsonl:[0-9]+$", r.location) for r in numbered)
     good, bad = readers.good_and_bad(readers.read_json_lines(spark, str(tmp_path / "a.jsonl")))
     row = good.collect()
     assert len(row) == 1 and row[0].court == "ZACC" and row[0].region == "ZA"
