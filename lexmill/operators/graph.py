@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lexmill.session import Scratch
+from lexmill.session import Scratch, shuffle_partitions
 
 # PageRank, depth factor, tiers in rank order with their weights, the weight of unknown courts.
 DAMPING, ITERATIONS = 0.85, 50
 DEPTH_STEP, DEPTH_MOST = 0.25, 4
 MOST_HOPS = 3
+#: Edges of a bucket, at least, while there are fewer buckets than shuffle partitions.
+BUCKET_EDGES = 250_000
 TIERS = {"apex": 1.00, "appellate": 0.80, "specialist_appellate": 0.65, "high_court": 0.50, "specialist_high": 0.45, "tribunal": 0.20, "lower": 0.10}
 FLOOR = 0.10
 
@@ -73,32 +75,36 @@ def reextracted_edges(found: DataFrame, owners: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """id, score of every node, the highest score 1 (GRA-2).
 
-    edges: src, dst, weight. Dangling mass spreads evenly. An iteration is one job: a join with the edges, a partial
-    aggregate by target, a left join with the nodes, and a written table, which cuts the lineage without local
+    edges: src, dst, weight. Dangling mass spreads evenly. Shares are written once, in buckets by source, and nodes and
+    scores in as many buckets by id, so an iteration shuffles the partial sums by target alone: a join of shares and
+    scores bucket by bucket, the sums, a join with the nodes, and a written table, which cuts the lineage without local
     checkpoints. The dangling sum of the next iteration is observed while the scores are written.
     """
     spark = nodes.sparkSession
-    scratch = Scratch(spark, "pagerank")
+    scratch, buckets = Scratch(spark, "pagerank"), min(shuffle_partitions(spark), -(-edges.count() // BUCKET_EDGES) or 1)
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("score"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("out_weight"))
-    shares = scratch.table(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out_weight")).alias("share")), "shares")
-    known = out.select(F.col("src").alias("id"), F.lit(False).alias("d"))
-    scores = nodes.select("id").join(known, "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("score"))
-    every = None
+    shares = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out_weight")).alias("share"))
+    shares = scratch.bucketed(shares.repartition(buckets, "src"), "shares", "src", buckets)
+    known = shares.select(F.col("src").alias("id")).distinct().withColumn("d", F.lit(False))
+    every = nodes.select("id").repartition(buckets, "id").join(known, "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling"))
+    every = scratch.bucketed(every, "nodes", "id", buckets)
+    scores = every.withColumn("score", F.lit(1.0 / n))
     for i in range(iterations + 1):
         seen = Observation()
         loose = F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0)).alias("loose")
-        path = scratch.write(scores.observe(seen, loose, F.max("score").alias("top")), f"scores{i}")
-        scores = scratch.read(path, scores.schema)
-        every = every if every is not None else scores.select("id", "dangling")
+        scores = scratch.bucketed(scores.observe(seen, loose, F.max("score").alias("top")), f"scores{i}", "id", buckets)
         if i == iterations:
             break
         spread = (1 - damping) / n + damping * seen.get["loose"] / n
         got = shares.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         scores = every.join(got, "id", "left").select("id", "dangling", (F.lit(spread) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"))
-    return scores.select("id", (F.col("score") / F.lit(seen.get["top"])).alias("score"))
+    top, schema = seen.get["top"], scores.schema
+    last = scratch.read(f"{scratch.root}/{scratch._n:03d}-scores{iterations}", schema)
+    scratch.forget()
+    return last.select("id", (F.col("score") / F.lit(top)).alias("score"))
 
 
 def neighbourhood(edges: DataFrame, centre, hops: int = 1) -> DataFrame:

@@ -46,7 +46,7 @@ class Scratch:
         for key, value in SETTINGS.items():
             spark.conf.set(key, value)
         self.root = f"{shared_dir(spark)}/lexmill-{name}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
+        self._n, self.names = 0, []
 
     def write(self, df: DataFrame, tag: str, partition_by: list[str] | None = None) -> str:
         self._n += 1
@@ -65,6 +65,24 @@ class Scratch:
         """``df`` written and read back under its own schema (so that empty tables work)."""
         return self.read(self.write(df, tag), df.schema)
 
+    def bucketed(self, df: DataFrame, tag: str, column: str, buckets: int) -> DataFrame:
+        """``df`` written in buckets of ``column`` and read back: joins and aggregates by it need no shuffle.
+
+        Tables with as many buckets meet bucket by bucket. The entry in the session's catalog only holds the layout; the
+        files lie with the other intermediate tables.
+        """
+        self._n += 1
+        name = f"lexmill_{uuid.uuid4().hex}"
+        writer = df.write.option("path", f"{self.root}/{self._n:03d}-{tag}").option("compression", "zstd").format("parquet")
+        writer.bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def forget(self, keep: int = 0) -> None:
+        """Take the bucketed tables but for the last ``keep`` out of the catalog; their files stay for running plans."""
+        while len(self.names) > keep:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(0)}")
+
     def drop(self, path: str) -> None:
         """Delete one intermediate table that no later step reads."""
         sc = self.spark.sparkContext
