@@ -10,7 +10,9 @@ Components are wanted, not all links, so a bucket is first tried through a pivot
 group, the one that is pivot of most of its buckets. Verified links are contracted, and buckets whose members have
 come together go. What is left after the pivot rounds meets in full, all pairs of different components. There one
 shared token makes a pair, among prefixes that are so much shorter, and a pair meets at its first shared token, not at all
-of them: each row knows the tokens before its own, and does not meet a row that knows one of them too.
+of them: each row knows the tokens before its own, and does not meet a row that knows one of them too. Such pairs first compare
+sketches, the parities of their tokens by bucket: sets whose sketches differ in d bits differ in d tokens at least, so
+most pairs that do not link need not send their sets.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -174,7 +177,7 @@ def _verify(percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (p, x) whose sets are similar enough. A pivot with many partners is dealt to many tasks."""
-    pairs = scratch.table(pairs, "pairs")
+    pairs, sets = scratch.table(pairs, "pairs"), sets.select("sid", "tokens")
     parts = pairs.groupBy("p").agg(F.ceil(F.count("*") / PIVOT_ROWS).cast("int").alias("parts"))
     parts = scratch.table(parts, "parts")
     partner = pairs.join(parts, "p").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).select("p", "part", "x").join(sets.withColumnRenamed("sid", "x"), "x").select("p", "part", "x", "tokens")
@@ -274,7 +277,7 @@ def _classes(docs: DataFrame, text: str, id_col: str, width: int, percent: int,
     members = scratch.table(members, "members")
     one = described.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("k1", "k2")).alias("k")).join(members.select("sid"), "sid", "left_semi").select("k.k1", "k.k2")
     one = scratch.table(one, "one")
-    sets = docs.select("k1", "k2", "text").join(one.hint("merge"), ["k1", "k2"], "left_semi").select("text").mapInArrow(lambda it: _token_sets(width)(it), "sid binary, tokens binary")
+    sets = docs.select("k1", "k2", "text").join(one.hint("merge"), ["k1", "k2"], "left_semi").select("text").mapInArrow(lambda it: _token_sets(width)(it), "sid binary, tokens binary, sketch binary, n long")
     sets = scratch.table(sets, "sets")  # a set stands twice if a row is repeated as a whole: its links then do too
 
     links, roots = None, None
@@ -295,7 +298,7 @@ def _classes(docs: DataFrame, text: str, id_col: str, width: int, percent: int,
                 at = state.select("sid", "root")
                 pairs = pairs.join(at.select(F.col("sid").alias("p"), F.col("root").alias("rp")), "p").join(at.select(F.col("sid").alias("x"), F.col("root").alias("rx")), "x").filter("rp <> rx").select("p", "x")
         else:
-            pairs = _all_pairs(live, state, percent)
+            pairs = _sketched(_all_pairs(live, state, percent), sets, percent)
         found = _verified(pairs, sets, percent, scratch)
         links = found if links is None else scratch.table(links.union(found), "all_links")
         roots = components(links, scratch)
@@ -319,13 +322,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return at.join(least, "root", "left").select("k1", "k2", "id", "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def _sketch(values: np.ndarray) -> bytes:
+    """Whether an odd number of tokens falls into each of a power of two of buckets, two for each token at least."""
+    buckets = 1 << max(6, (2 * len(values) - 1).bit_length())
+    return np.packbits(np.bincount((values & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def differing(one: bytes, two: bytes) -> int:
+    """Tokens that only one of two sets has, at least; the larger sketch is folded to the size of the smaller."""
+    a, b = (np.frombuffer(x, np.uint8) for x in (one, two))
+    while len(a) != len(b):
+        if len(a) > len(b):
+            a, b = b, a
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _sketched(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, x) that their sketches leave: similar sets differ in no more than both sizes less twice the overlap."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        most = (n + m) + 2 * (-percent * (n + m) // (100 + percent))
+        return pd.Series([differing(x, y) for x, y in zip(a, b, strict=True)], dtype=np.int64) <= most.astype(np.int64)
+
+    own = lambda c: sets.select(F.col("sid").alias(c), F.col("sketch").alias(f"s{c}"), F.col("n").alias(f"n{c}")).dropDuplicates([c])
+    both = pairs.select("p", "x").join(own("p"), "p").join(own("x"), "x")
+    return both.filter(near("sp", "sx", "np", "nx")).select("p", "x")
+
+
 def _token_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _a, values, offsets in _sets(batch.column("text"), width):
                 cuts = offsets.tolist()
                 own = [values[x:y] for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array([_sid(v) for v in own], pa.binary()), pa.array([v.tobytes() for v in own], pa.binary())], names=["sid", "tokens"])
+                columns = [pa.array([_sid(v) for v in own], pa.binary()), pa.array([v.tobytes() for v in own], pa.binary()), pa.array([_sketch(v) for v in own], pa.binary()), pa.array([len(v) for v in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["sid", "tokens", "sketch", "n"])
 
     return run
 

@@ -142,6 +142,15 @@ def test_long_words_are_told_apart(spark):
     assert known[2] == 1 and known[3] == 2  # the end, and the word in capitals
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(2)
+    for n, m, k in ((5, 5, 3), (100, 130, 60), (40, 2000, 40), (3000, 3100, 2900), (1, 1, 0), (64, 64, 64)):
+        values = rng.integers(0, 1 << 63, n + m - k, dtype=np.uint64)
+        one, two = np.sort(values[:n]), np.sort(values[n - k :])
+        d = jaccard_join.differing(jaccard_join._sketch(one), jaccard_join._sketch(two))
+        assert d <= n + m - 2 * k and (d > 0.6 * (n + m - 2 * k) or n * 8 < m or n + m == 2 * k or n < 10)
+
+
 def test_copies_too_far_apart_to_link(spark):
     r = random.Random(12)
     base = [r.choice(VOCABULARY) + str(i) for i in range(150)]
