@@ -6,6 +6,7 @@ text at a time; resolving, keys and edges are DataFrame work.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -22,6 +23,10 @@ COURTS = (
     "ZACT", "ZAWT", "ZACGSO", "ZAICT",
 )
 
+#: Grows with every change of what is extracted.
+EXTRACTOR_VERSION = 1
+
+# The patterns that define the keys.
 NEUTRAL = r"\[(\d{4})\]\s+([A-Z][A-Za-z]{1,11})\s+(\d{1,5})"
 CASE_NUMBER = r"\b([A-Z]{1,5})\s?(\d{1,6}/\d{2,4})\b"
 PARAGRAPH = r"\s*,?\s*at\s+paras?\.?\s*\[?(\d{1,4})\]?(?:\s*[-–]\s*\[?(\d{1,4})\]?)?"
@@ -44,6 +49,12 @@ class Grammar:
         self.modern = re.compile(rf"(\d{{4}})\s*\((\d{{1,3}})\)\s*({choice(series)})\s+(\d{{1,4}}){court}") if series else None
         self.old = re.compile(rf"(\d{{4}})\s+({choice(without_volume)})\s+(\d{{1,4}}){court}") if without_volume else None
         self.paragraph, self.page = re.compile(PARAGRAPH), re.compile(PAGE)
+        self._bound = [sorted(self.courts), list(series), list(without_volume)]
+
+    def fingerprint(self) -> str:
+        """A hash of the extractor's version and of the profile that it is bound to (CT-12): equal ones extract alike."""
+        parts = [str(EXTRACTOR_VERSION), *(x for names in self._bound for x in (str(len(names)), *names))]
+        return hashlib.sha256(b"".join(len(x.encode()).to_bytes(8, "big") + x.encode() for x in parts)).hexdigest()
 
     def found(self, text: str) -> Iterator[tuple]:
         """(start, stop, kind, key, canonical, known court) of every match."""

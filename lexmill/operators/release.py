@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The outcomes of a step and of a report.
@@ -84,6 +84,59 @@ def verify(index: DataFrame, documents: DataFrame, stored_edges: DataFrame, foun
     return out
 
 
+def write_release(documents: DataFrame, edges: DataFrame, folder: str, number: int, previous: str | None = None, extractor: str = "") -> None:
+    """Write a release (SNK-9, SNK-10): ``blobs`` by the first two digits of their hash, ``index``, ``graph`` and a one-row ``manifest``.
+
+    documents: id, text. Blobs stay in large files, a row each; their paths are those of single files.
+    """
+    from lexmill.operators.corpus import sorted_root
+
+    index = file_index(documents)
+    blobs = documents.select("id", F.sha2("text", 256).alias("hash"), "text").dropDuplicates(["id"])
+    blobs.select("id", F.concat(F.lit("documents/"), "hash").alias("path"), "text", F.substring("hash", 1, 2).alias("part")).write.mode("overwrite").partitionBy("part").parquet(f"{folder}/blobs")
+    index.write.mode("overwrite").json(f"{folder}/index")
+    columns = ["from_doc", "to_doc", "paragraph_count"]
+    edges.select(*columns).write.mode("overwrite").parquet(f"{folder}/graph")
+    roots = sorted_root(documents.select("id").distinct(), "id").withColumnRenamed("root", "corpus_root").crossJoin(sorted_root(edges, *columns).withColumnRenamed("root", "graph_root"))  # single rows
+    counted = roots.crossJoin(documents.agg(F.count_distinct("id").alias("doc_count")))
+    counted.select(F.lit(number).alias("release"), F.lit(previous).cast("string").alias("previous"), "corpus_root", "graph_root", "doc_count", F.lit(extractor).alias("extractor_version")).write.mode("overwrite").json(f"{folder}/manifest")
+
+
+def read_release(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a release folder (SRC-21): manifest, index, blobs (id, path, text) and graph."""
+    return {
+        "manifest": spark.read.schema("release int, previous string, corpus_root string, graph_root string, doc_count long, extractor_version string").json(f"{folder}/manifest"),
+        "index": spark.read.schema("hash string, path string, size long").json(f"{folder}/index"),
+        "blobs": spark.read.schema("id string, path string, text string, part string").parquet(f"{folder}/blobs").drop("part"),
+        "graph": spark.read.schema("from_doc string, to_doc string, paragraph_count long").parquet(f"{folder}/graph"),
+    }
+
+
+def publish(documents: DataFrame, grammar, owners: DataFrame, folder: str, number: int, previous: str | None = None) -> DataFrame:
+    """Publish a corpus and report on what was written (SNK-11): ids are recomputed, edges are found anew in the text.
+
+    documents: id, text (paragraphs between blank lines). owners: citation_key, doc_id. A document whose id is not that
+    of its text stops the release. The report verifies the folder as read back; its last step is left out for a first release.
+    """
+    from lexmill.functions.citations import extract_citations
+    from lexmill.functions.text import document_id
+    from lexmill.operators.graph import reextracted_edges
+
+    spark = documents.sparkSession
+    wrong = documents.filter(~F.col("id").eqNullSafe(document_id(F.col("text")))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"the id of {wrong[0]['id']} is not that of its text")
+
+    def edges(rows: DataFrame) -> DataFrame:
+        paragraphs = rows.select("id", F.posexplode(F.split("text", r"\n\s*\n")).alias("idx", "text"))
+        return reextracted_edges(extract_citations(paragraphs, grammar=grammar), owners)
+
+    write_release(documents, edges(documents), folder, number, previous, grammar.fingerprint())
+    held = read_release(spark, folder)
+    before = None if previous is None else spark.range(1).select(F.lit(previous).alias("hash"))
+    return verify(held["index"], held["blobs"], held["graph"], edges(held["blobs"].select("id", "text")), held["manifest"], before)
+
+
 def report(steps: DataFrame) -> DataFrame:
     """One row: passed, failed, skipped and the outcome of steps (number, status): any failure fails, any skip leaves open (REL-8)."""
     count = lambda s: F.count_if(F.col("status") == s)

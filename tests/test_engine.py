@@ -374,3 +374,20 @@ def test_upserts_indexes_and_files(spark):
 def test_authority_from_ranks(spark):
     rows = catalog.queries()["authority_written"](spark, SF).collect()
     assert len(rows) == 200 and max(r.authority for r in rows) == 1.0 and all(0 < r.authority <= 1 for r in rows)
+
+
+def test_a_release_is_published_and_read(spark, tmp_path):
+    grammar = cite.Grammar()
+    assert grammar.fingerprint() == cite.Grammar().fingerprint() != cite.Grammar(courts=("X",)).fingerprint()
+    texts = ["First, as held in [1995] ZACC 3.\n\nSee [1996] ZACC 4 and [1995] ZACC 3 again.\n", "Second.\n", "Third cites [1995] ZACC 3 and itself, [1997] ZACC 5.\n"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("id", tx.document_id(F.col("text")))
+    ids = {r.text[:5]: r.id for r in docs.collect()}
+    owners = spark.createDataFrame([("neutral:1995:ZACC:3", ids["Secon"]), ("neutral:1997:ZACC:5", ids["Third"])], "citation_key string, doc_id string")
+    folder = str(tmp_path / "r1")
+    steps = {r.name: r.status for r in release.publish(docs, grammar, owners, folder, 1).collect()}
+    assert set(steps) == set(release.STEPS) and steps.pop("chain") == "SKIP" and set(steps.values()) == {"PASS"}
+    held = release.read_release(spark, folder)
+    assert {(r.from_doc, r.to_doc, r.paragraph_count) for r in held["graph"].collect()} == {(ids["First"], ids["Secon"], 2), (ids["Third"], ids["Secon"], 1)}
+    assert held["manifest"].first().doc_count == 3 and held["index"].count() == 3
+    with pytest.raises(ValueError, match="not that of its text"):
+        release.publish(docs.withColumn("text", F.concat("text", F.lit("x"))), grammar, owners, folder, 2)
