@@ -22,8 +22,8 @@ from lexmill.session import Scratch, table
 
 #: Most vectors in a block (on average), fewest blocks, and queries that are answered together over a block.
 BLOCK_ROWS, LEAST_BLOCKS, QUERY_ROWS = 8192, 32, 2048
-#: Entries that are read from each list at a time.
-DEPTH_STEP = 48
+#: Entries that are read from each list at a time, at most, and as a share of a block's vectors.
+DEPTH_STEP, STEP_SHARE = 48, 32
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -57,7 +57,7 @@ class SortedLists:
         up = query[used] < 0
         falling, rising = used[~up], used[up]
         while depth < n:
-            upto = min(n, depth + DEPTH_STEP)
+            upto = min(n, depth + min(DEPTH_STEP, max(1, n // STEP_SHARE)))
             met = np.zeros(n, dtype=bool)
             met[self.lists[n - upto : n - depth, falling]] = True
             met[self.lists[depth:upto, rising]] = True
