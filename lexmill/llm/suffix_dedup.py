@@ -173,8 +173,8 @@ def suffix_entries(docs: DataFrame, length: int) -> DataFrame:
 
 
 def batch_count(size: int) -> int:
-    """Batches for ``size`` bytes of text: one more for each doubling."""
-    return max(2, size.bit_length() - 25)
+    """Batches for ``size`` bytes of text: four, and one more for each doubling beyond a gigabyte."""
+    return max(4, size.bit_length() - 26)
 
 
 def _neighbours(merge: bool):
