@@ -11,7 +11,8 @@ names a role. Viterbi then gives each conversation's most likely roles, also whe
 
 A conversation's turns are dealt to blocks of ``BLOCK`` turn numbers. In a block the best path between any two states is a
 (max, +) matrix; conversations of several blocks combine these small matrices first, which fixes the states at the
-borders, and every block is then decoded by itself. So no task holds a long conversation.
+borders, and every block is then decoded by itself. Turn numbers that stand very often are cut further. So no task holds a
+long conversation.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from lexmill.session import Scratch, table
 
 ROLES = ("system", "user", "assistant")
 BLOCK = 256
+#: Turns of a block, beyond which its turn numbers are blocks of their own, each cut further by the order within it.
+CROWDED = 4096
+#: Crowded blocks that are broadcast; more are joined by a sort.
+BROADCAST_BLOCKS = 100_000
 #: Pseudo-count of every probability.
 PRIOR = 0.5
 
@@ -255,8 +260,15 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     cutter = spark.sparkContext.broadcast(_learn_lines(rows))
     rows = _features(_cut_rows(rows, cutter)).drop("text", "inline")
     loose = F.col("conv").isNull() | F.col("turn").isNull()
-    block = F.when(~loose, F.floor(F.col("turn") / BLOCK)).otherwise(F.col("ord")).cast("long")
-    rows = rows.withColumns({"block": block, "loose": loose})
+    rows = scratch.table(rows.withColumns({"base": F.when(~loose, F.floor(F.col("turn") / BLOCK)).cast("long"), "loose": loose}), "cut")
+    # Very many rows with turn numbers of one block: cut by turn number and by the first bits of the order within it.
+    bits = F.ceil(F.log2(F.col("c") / (CROWDED / 4))).cast("int")
+    crowded = scratch.table(rows.filter("not loose").groupBy("conv", "base").agg(F.count("*").alias("c")).filter(F.col("c") > CROWDED).select("conv", "base", bits.alias("bits")), "crowded")
+    few = F.broadcast if crowded.count() <= BROADCAST_BLOCKS else lambda df: df
+    rows = rows.join(few(crowded), ["conv", "base"], "left")
+    piece = (F.col("turn") - F.col("base") * BLOCK) * F.expr("shiftleft(1L, bits)") + F.expr("shiftright(ord, 64 - bits) + shiftleft(1L, bits - 1)")
+    block = F.when(~F.col("loose"), F.col("base") * (1 << 32) + F.coalesce(piece, F.lit(0))).otherwise(F.col("ord"))
+    rows = rows.withColumn("block", block.cast("long")).drop("base", "bits")
     rows = rows.withColumn("key", F.concat_ws("/", F.coalesce(F.col("conv").cast("string"), F.lit("?")), "block", F.col("loose").cast("string")))
     rows = scratch.table(rows, "turns")
     order = [F.col("turn"), F.col("ord"), F.col("part")]

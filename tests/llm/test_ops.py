@@ -643,6 +643,14 @@ def test_transcripts_in_one_text(spark):
     assert got[2, 0, 0] == ("system", "Note: no marker\nat all") and got[3, 0, 0] == ("user", "") and len(got) == 9
 
 
+def test_one_turn_number_in_very_many_rows(spark, monkeypatch):
+    rows = [(1, 3, ("user", "assistant", None)[i % 3], f"t{i}" + "?" * (i % 2)) for i in range(700)] + [(1, i, "user", f"s{i}") for i in range(0, 600, 7)] + [(2, 3, None, "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = sorted(map(str, chat.format_chats(frame).collect()))
+    monkeypatch.setattr(chat, "CROWDED", 32)
+    assert sorted(map(str, chat.format_chats(frame).collect())) == want and len(want) == len(rows)
+
+
 def test_transitions_across_blocks_are_learned(spark, monkeypatch):
     seen = []
     learn = chat._learn
