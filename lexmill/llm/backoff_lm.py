@@ -26,6 +26,7 @@ N-grams go by 63-bit hashes of their words' 64-bit hashes; counts are exact but
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -43,7 +44,7 @@ BASE_PRIOR, STATE_FACTORS, STATE_POWER = 0.1, (2.0, 2.0), 0.8
 #: Bytes of text of a split and of a partition of hashes, about.
 SPLIT_BYTES, PART_BYTES, LEAST_PARTS = 8 << 20, 8 << 20, 16
 #: Tokens that a task gathers before it sends their n-grams.
-GATHERED = 4_000_000
+GATHERED = 5_000_000
 #: Tokens of a tape, but for its first two.
 TAPE = 256
 END = np.uint64(0x1BD11BDAA9FC1A22)
@@ -102,11 +103,12 @@ def unpack_grams(raw: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as single bytes, followed by 8 bytes for each that is 255 or more."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    """Counts as single bytes, followed by 8 bytes for each that is 255 or more; compressed, since most are 0 or 1."""
+    return zlib.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes(), 1)
 
 
 def unpack_counts(raw: bytes, n: int) -> np.ndarray:
+    raw = zlib.decompress(raw)
     counts = np.frombuffer(raw, np.uint8, n).astype(np.int64)
     counts[counts == 255] = np.frombuffer(raw, "<u8", offset=n).astype(np.int64)
     return counts
