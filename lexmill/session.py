@@ -90,5 +90,16 @@ class Scratch:
         target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores behind it as it takes to differ from ``columns`` and the others (letters of either case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
