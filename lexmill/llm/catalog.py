@@ -18,6 +18,7 @@ MODULES = {
     "op8_decontamination": "decontaminate",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_exact_topk": "topk",
+    "op11_fill_in_middle": "fill_middle",
 }
 
 
