@@ -19,6 +19,8 @@ MODULES = {
     "op9_suffix_dedup": "suffix_dedup",
     "op10_exact_topk": "topk",
     "op11_fill_in_middle": "fill_middle",
+    "op12_vp_neighbours": "vp_trees",
+    "op13_importance_resampling": "resample",
 }
 
 
