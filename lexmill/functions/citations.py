@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The default registry's report series (those without volumes apart) and its court codes.
@@ -95,13 +95,18 @@ class Grammar:
         return out
 
 
-def extract_citations(paragraphs: DataFrame, text: str = "text", grammar: Grammar | None = None) -> DataFrame:
-    """``paragraphs`` with one row for each citation in ``text`` (CT-0 to CT-8); null texts have none."""
+def citations_of(text: Column, grammar: Grammar | None = None) -> Column:
+    """The citations of a text in order, as an array of structs (CT-0 to CT-8); null texts have none."""
     grammar = grammar or Grammar()
 
     @F.pandas_udf(f"array<struct<{SCHEMA.replace(' struct<', ':struct<').replace(' int', ':int').replace(' string', ':string').replace(' boolean', ':boolean')}>>")
     def found(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: grammar.extract(t) if isinstance(t, str) else [])
 
+    return found(text)
+
+
+def extract_citations(paragraphs: DataFrame, text: str = "text", grammar: Grammar | None = None) -> DataFrame:
+    """``paragraphs`` with one row for each citation in ``text``."""
     keep = [c for c in paragraphs.columns if c != text]
-    return paragraphs.select(*keep, F.explode(found(F.col(text))).alias("c")).select(*keep, "c.*")
+    return paragraphs.select(*keep, F.explode(citations_of(F.col(text), grammar)).alias("c")).select(*keep, "c.*")

@@ -63,14 +63,6 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
-def strip_tags(html: Column) -> Column:
-    """Text of markup: script, style and head go, block tags become blank lines, other tags nothing (SC-10)."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|head)\b[^>]*>.*?</\1\s*>", "")
-    text = F.regexp_replace(text, r"(?s)<!--[^>]*>", "")
-    text = F.regexp_replace(text, r"(?i)</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|blockquote|pre)\b[^>]*>", "\n\n")
-    return F.regexp_replace(text, r"<[^>]*>", "")
-
-
 def strip_tags_lossy(html: Column) -> Column:
     """Tags, then stray ``>``, then everything behind an unclosed ``<`` (SC-15)."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", ""), ">", ""), r"(?s)<.*$", "")
@@ -83,11 +75,6 @@ def html_title(html: Column) -> Column:
     return F.when(title != "", title)
 
 
-def html_paragraphs(html: Column) -> Column:
-    """Non-empty paragraphs of markup in order (SRC-7, SC-14)."""
-    return F.filter(F.transform(F.split(strip_tags(html), r"\n\s*\n"), lambda b: normalise_space(decode_entities(b))), lambda b: b != "")
-
-
 def html_links(html: Column) -> Column:
     """Addresses of links, in order, each once (SRC-11)."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*\bhref="([^"]*)"'), F.lit(1)))

@@ -28,7 +28,7 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from lexmill.plans import lookups  # noqa: F401  adds its queries
+    from lexmill.plans import lookups, markup  # noqa: F401  add their queries
 
     return dict(_QUERIES)
 
@@ -383,13 +383,6 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(tx.html_links(F.col("html"))).alias("link"))
 
 
-@_query()
-def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paragraphs of every page, with their numbers taken off (SRC-7, SC-10, SC-14)."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(tx.html_paragraphs(F.col("html"))).alias("idx", "raw"))
-    return rows.select("page_id", "idx", tx.leading_number(F.col("raw")).alias("number"), tx.without_number(F.col("raw")).alias("text"))
-
-
 @_query(r"""SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path,
     split_part(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/', 2) AS country FROM pages""")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,10 +565,3 @@ def verification_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many claims verified, failed or could not be read (AGG-16)."""
     status = F.when(F.col("id") % 11 == 0, "rejected").when(F.col("id") % 11 == 1, "unreadable").otherwise("verified")
     return attest.tallies(views.attestations(spark, sf_dir).withColumn("status", status))
-
-
-# --- the graph of all line items -----------------------------------------------------------------------------------
-
-for _fn in (weighted_edges, pagerank_weighted, khop_1, khop_2, khop_edges, graph_root, claim_support):
-    _QUERIES[f"{_fn.__name__}_whole"] = _fn  # the same queries under their earlier names
-    _SQL[f"{_fn.__name__}_whole"] = _SQL[_fn.__name__]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
+from lexmill.functions.markup import numbered_paragraphs
 
 RECORD = (
     "id string, region string, neutral_citation string, date string, court string, title string, case_numbers array<string>, judges array<string>, "
@@ -118,4 +119,4 @@ def paragraphs(records: DataFrame) -> DataFrame:
 
 def html_records(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """title, country and paragraphs of markup pages (SRC-7)."""
-    return pages.withColumns({"title": tx.html_title(F.col(html)), "country": tx.url_part(F.col(url), "country"), "paragraphs": tx.html_paragraphs(F.col(html))})
+    return pages.withColumns({"title": tx.html_title(F.col(html)), "country": tx.url_part(F.col(url), "country"), "paragraphs": F.transform(numbered_paragraphs(F.col(html)), lambda p: p["raw"])})

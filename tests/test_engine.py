@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import citations as cite
-from lexmill.functions import crawl, titles
+from lexmill.functions import crawl, markup, titles
 from lexmill.functions import text as tx
 from lexmill.operators import attest, corpus, graph, listing, rag, release, retrieval, search
 from lexmill.plans import catalog
@@ -302,7 +302,7 @@ def test_titles_and_addresses(spark):
 def test_html_helpers(spark):
     one = lambda expr: spark.range(1).select(expr.alias("x")).first()["x"]
     page = "<head><title>t</title></head><script>var a='<p>';</script><p>1. First &amp; <b>bold</b></p><div>[2] second</div><p>  </p>third<style>p{}</style>"
-    assert one(tx.html_paragraphs(F.lit(page))) == ["1. First & bold", "[2] second", "third"]
+    assert [p.raw for p in one(markup.numbered_paragraphs(F.lit(page)))] == ["1. First & bold", "[2] second", "third"]
     assert one(tx.strip_tags_lossy(F.lit("a<b>c</b> > d <unclosed"))) == "ac  d "
     key = one(tx.document_id(F.lit("some text")))
     assert one(tx.short_id(F.lit(key))) == key[:12] and one(tx.is_document_id(F.lit(key.upper()))) and not one(tx.is_document_id(F.lit(key[:-1]))) and not one(tx.is_document_id(F.lit(None).cast("string")))
