@@ -132,58 +132,6 @@ def search(docs: DataFrame, query: str, where: Column | None = None, limit: int
     return rows.offset(offset).limit(clamp(limit, 1, 100, 20))
 
 
-class PostingsIndex:
-    """Postings in a folder, in partitions by the hash of the term, with one row of statistics: a query reads its terms' partitions only.
-
-    Built once for a corpus, it spares queries the splitting of all texts.
-    """
-
-    def __init__(self, spark, folder: str, buckets: int = 256):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-
-    def _bucket(self, term: Column) -> Column:
-        return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(self.buckets)).cast("int")
-
-    def build(self, docs: DataFrame, text: str | tuple[str, ...] = "text", id_col: str = "id") -> PostingsIndex:
-        """Write the index of ``docs``; one that is there is replaced."""
-        words = docs.select(F.col(id_col).alias("id"), _words(text).alias("w")).withColumn("doc_length", _length(F.col("w"), text))
-        rows = words.select("id", "doc_length", F.posexplode("w").alias("pos", "term")).filter("term <> ''")
-        rows = rows.groupBy("id", "term", "doc_length").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-        rows = rows.withColumn("bucket", self._bucket(F.col("term")))
-        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/postings")
-        docs.select(_length(_words(text), text).alias("n")).agg(F.count("*").alias("n_docs"), F.avg(F.coalesce("n", F.lit(0))).alias("mean_length")).write.mode("overwrite").parquet(f"{self.folder}/statistics")
-        return self
-
-    def _phrase(self, phrase: Phrase, number: int) -> DataFrame:
-        """id, doc_length, tf of the documents that hold a phrase: its words' places meet by position arithmetic."""
-        import zlib
-
-        every = self.spark.read.schema("id long, term string, doc_length int, positions array<int>, bucket int").parquet(f"{self.folder}/postings")
-        found = None
-        for i, word in enumerate(phrase.words):
-            if phrase.prefix and i == len(phrase.words) - 1:
-                own = every.filter(F.col("term").startswith(word))  # a prefix has no bucket of its own
-            else:
-                own = every.filter((F.col("bucket") == zlib.crc32(word.encode()) % self.buckets) & (F.col("term") == word))
-            own = own.select("id", "doc_length", F.explode("positions").alias("pos")).select("id", "doc_length", (F.col("pos") - i).alias("start"))
-            found = own if found is None else found.join(own.drop("doc_length"), ["id", "start"])
-        return found.groupBy("id", "doc_length").agg(F.count_distinct("start").cast("int").alias("tf")).withColumn("phrase", F.lit(number))
-
-    def bm25(self, query: str) -> DataFrame:
-        """id, bm25 of the documents that hold every phrase (FLT-5, TXT-4)."""
-        phrases = sanitise(query)
-        hits = None
-        for i, phrase in enumerate(phrases):
-            own = self._phrase(phrase, i)
-            hits = own if hits is None else hits.union(own)
-        df = F.broadcast(hits.groupBy("phrase").agg(F.count("*").alias("df")))  # a row for each phrase
-        whole = F.broadcast(self.spark.read.schema("n_docs long, mean_length double").parquet(f"{self.folder}/statistics"))  # one row
-        rows = hits.join(df, "phrase").crossJoin(whole)
-        idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_length") / F.col("mean_length")))
-        return rows.groupBy("id").agg(F.count("*").alias("c"), F.sum(part).alias("s")).filter(F.col("c") == len(phrases)).select("id", (-F.col("s")).alias("bm25"))
-
-
 def snippet(text: Column, query: str) -> Column:
     """Up to 18 words around the first hit, hits marked (TXT-5)."""
     words = {w for p in sanitise(query) for w in p.words}

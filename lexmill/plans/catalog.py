@@ -9,6 +9,7 @@ from lexmill.functions import citations as cite
 from lexmill.functions import crawl
 from lexmill.functions import text as tx
 from lexmill.operators import attest, corpus, graph, release, retrieval, search
+from lexmill.operators.ordered import OrderedTable
 from lexmill.plans import views
 from lexmill.plans.views import with_views
 from lexmill.session import table
@@ -259,20 +260,20 @@ _BM25 = (
 
 @_query(with_views("j", _BM25 + " SELECT id, round(bm25, 6) AS bm25 FROM s"))
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relevance of all matches (TXT-4)."""
-    return search.bm25(views.judgments(spark, sf_dir), "the with").select("id", F.round("bm25", 6).alias("bm25"))
+    """The relevance of all matches (TXT-4), from the postings of the query's words."""
+    return views.corpus_index(spark, sf_dir).scores("the with").select("id", F.round("bm25", 6).alias("bm25"))
 
 
 @_query(with_views("j", _BM25 + " SELECT id, round(bm25, 6) AS bm25, authority FROM s ORDER BY s.bm25 - 2.0 * authority, id LIMIT 20"))
 def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first page by relevance and authority (ORD-1)."""
-    return search.search(views.judgments(spark, sf_dir), "the with").select("id", F.round("bm25", 6).alias("bm25"), "authority")
+    """The first page by relevance and authority (ORD-1), from posting blocks in the order of their bounds."""
+    return views.corpus_index(spark, sf_dir).search("the with").hits.select("id", F.round("bm25", 6).alias("bm25"), "authority")
 
 
 @_query(with_views("j", _TOKENS + " SELECT count(*) AS n FROM tok WHERE list_contains(w, 'the') AND list_contains(w, 'with')"))
 def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents match (AGG-1)."""
-    return search.matches(views.judgments(spark, sf_dir), "the with").agg(F.count("*").alias("n"))
+    return views.corpus_index(spark, sf_dir).scores("the with").agg(F.count("*").alias("n"))
 
 
 @_query()
@@ -288,6 +289,34 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(views.judgments(spark, sf_dir)).select("id", "term", "doc_length", "tf")
 
 
+@_query(with_views("j", _TOKENS + ", x AS (SELECT DISTINCT id, unnest(w) AS term FROM tok) SELECT term, count(*) AS df FROM x GROUP BY 1"))
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index's dictionary: builds the index where the application has none yet (TXT-2)."""
+    return views.corpus_index(spark, sf_dir).terms()
+
+
+@_query(with_views("j", _TOKENS + ", x AS (SELECT DISTINCT id, unnest(w) AS term FROM tok) SELECT term, count(*) AS df FROM x WHERE starts_with(term, 'th') GROUP BY 1"))
+def search_prefix_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a prefix stands for, from the ranges of the dictionary that can hold them (TXT-3, FLT-5)."""
+    return views.corpus_index(spark, sf_dir).terms("th")
+
+
+@_query(with_views("j", _TOKENS + """, f AS (SELECT id, len(w) AS dl, len(list_filter(w, lambda x: starts_with(x, 'tion'))) AS t1,
+      len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS t2 FROM tok),
+    g AS (SELECT count(*) AS n, avg(dl) AS m, count(*) FILTER (t1 > 0) AS d1, count(*) FILTER (t2 > 0) AS d2 FROM f)
+    SELECT id, round(-(greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / m))
+      + greatest(ln((n - d2 + 0.5) / (d2 + 0.5)), 1e-6) * t2 * 2.2 / (t2 + 1.2 * (0.25 + 0.75 * dl / m))), 6) AS bm25 FROM f, g WHERE t1 > 0 AND t2 > 0"""))
+def search_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prefix and a phrase: both from places in posting blocks (TXT-3, TXT-4)."""
+    return views.corpus_index(spark, sf_dir).scores('tion* "of the"').select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@_query(with_views("j", "SELECT id, authority, place FROM (SELECT id, authority, row_number() OVER (ORDER BY authority DESC, id) - 1 AS place FROM j) WHERE place BETWEEN 120 AND 144"))
+def browse_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page far down the order of authority: the ranges that hold it are read, nothing is sorted (ORD-2, PRJ-6)."""
+    return OrderedTable(spark, f"{views.corpus_index(spark, sf_dir).folder}/documents").page(120, 25).select("id", "authority", "place")
+
+
 # --- vectors -------------------------------------------------------------------------------------------------------
 
 
@@ -328,7 +357,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and vector lists fused by reciprocal ranks (VEC-9, WIN-1 to WIN-3)."""
     rows, query = _vectors(spark, sf_dir)
     k = retrieval.candidates(5)
-    keyword = search.bm25(views.judgments(spark, sf_dir), "the with").select(F.col("id").alias("chunk_id"), "bm25").orderBy("bm25", "chunk_id").limit(k)
+    keyword = views.corpus_index(spark, sf_dir).scores("the with").select(F.col("id").alias("chunk_id"), "bm25").orderBy("bm25", "chunk_id").limit(k)
     vector = retrieval.cosine_top(rows, query, k)
     fused = retrieval.fuse(retrieval.ranks(keyword, "bm25", "chunk_id"), retrieval.ranks(vector, F.desc("similarity"), "chunk_id"), 5)
     return fused.select("chunk_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("keyword_rank", "vector_rank")], F.round("score", 9).alias("score"))

@@ -9,6 +9,7 @@ from lexmill.functions import citations as cite
 from lexmill.functions import crawl, titles
 from lexmill.functions import text as tx
 from lexmill.operators import attest, corpus, graph, listing, rag, release, retrieval, search
+from lexmill.operators.block_index import BlockIndex
 from lexmill.plans import views
 from lexmill.plans.catalog import _HOPS, _linked, _query
 from lexmill.plans.views import with_views
@@ -150,8 +151,8 @@ def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(with_views("j", _bm25("j", _WORDS.format("text"), "the", "with") + " SELECT id, round(bm25, 6) AS bm25 FROM s"))
 def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevance from an index of postings that is written first and then read by the query's terms (TXT-2, TXT-4)."""
-    index = search.PostingsIndex(spark, Scratch(spark, "postings").root).build(views.judgments(spark, sf_dir))
-    return index.bm25("the with").select("id", F.round("bm25", 6).alias("bm25"))
+    index = BlockIndex(spark, Scratch(spark, "postings").root).build(views.judgments(spark, sf_dir))
+    return index.scores("the with").select("id", F.round("bm25", 6).alias("bm25"))
 
 
 def _chunk_id(doc: str = "doc_id", para: str = "para_index"):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.session import table
+from lexmill.operators.block_index import BlockIndex
+from lexmill.session import Scratch, table
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,17 @@ def witness_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple[str, str], BlockIndex] = {}
+
+
+def corpus_index(spark: SparkSession, sf_dir: str) -> BlockIndex:
+    """The search index over ``judgments`` of a data folder: built at its first use in an application, then opened."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = BlockIndex(spark, Scratch(spark, "search-index").root).build(judgments(spark, sf_dir))
+    return _INDEXES[key]
+
+
 #: The views as common table expressions.
 SQL = {
     "j": """SELECT doc_id AS id, upper(source) AS court, upper(lang) AS region, split_part(text, chr(10), 1) AS title,
