@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.session import Scratch, table
+from lexmill.session import Scratch, free_names, table
 
 WIDTH, PERCENT = 5, 80
 #: Sketch rows that may be broadcast; more are joined by a shuffle.
@@ -102,9 +102,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", **named) -> DataFrame:
     """The rows of ``docs`` whose document contains no item; null ids are one document. Other columns stay, whatever their names."""
-    leaks = leaked_items(docs, items, text, id_col, **named).select(F.col("id").alias("__leak")).distinct()
+    (leak,) = free_names(docs.columns, "leak")
+    leaks = leaked_items(docs, items, text, id_col, **named).select(F.col("id").alias(leak)).distinct()
     leaks = Scratch(docs.sparkSession, "leaks").table(leaks, "leaks")
-    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+    return docs.join(leaks, F.col(id_col).eqNullSafe(F.col(leak)), "left_anti")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,9 +121,11 @@ WITH t AS (
   SELECT 'i', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
 ), w AS (
   SELECT kind, id, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS w FROM t
+), m AS (
+  SELECT DISTINCT least(len(w), 5) AS m FROM w WHERE kind = 'i' AND len(w) > 0 UNION SELECT 5
 ), sh AS (
-  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS x
-  FROM w WHERE len(w) > 0
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - m + 1, 1) + 1), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS x
+  FROM w, m WHERE len(w) > 0 AND (kind = 'd' OR m = 5)
 ), n AS (
   SELECT id AS item_id, count(*) AS n FROM sh WHERE kind = 'i' GROUP BY id
 ), c AS (

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.bytewords import segments_unique, shingle_hashes, text_chunks, word_hashes, words
 from lexmill.llm.components import components
-from lexmill.session import Scratch, table
+from lexmill.session import Scratch, free_names, table
 
 WIDTH, PERCENT = 5, 80
 #: Most tokens that have a rank as frequent, and the local count that makes a token a candidate. They only set an
@@ -366,16 +366,16 @@ def _token_sets(width: int):
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that of the smallest id (then of the smallest hashes).
 
-    Rows without words link with nothing and stay, also repeated ones.
+    Rows without words link with nothing and stay, also repeated ones. Other columns stay, whatever their names.
     """
     found = _classes(docs, text, id_col, width, percent, PIVOT_ROUNDS)
-    alone = found.filter("root is null").select("k1", "k2")
-    first = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("m")).select("m.k1", "m.k2", F.lit(True).alias("__single"))
-    keyed = docs.withColumns({"__k1": F.xxhash64(id_col, F.coalesce(F.col(text), F.lit(""))), "__k2": F.hash(F.coalesce(F.col(text), F.lit("")), F.col(id_col))})
-    stay = first.union(alone.distinct().withColumn("__single", F.lit(False))).withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
-    kept = keyed.join(stay, ["__k1", "__k2"])
-    single = kept.filter("__single").dropDuplicates(["__k1", "__k2"])
-    return single.union(kept.filter("not __single")).select(docs.columns)
+    k1, k2, single = free_names(docs.columns, "k1", "k2", "single")
+    alone = found.filter("root is null").select("k1", "k2").distinct().withColumn(single, F.lit(False))
+    first = found.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "k1", "k2")).alias("m")).select("m.k1", "m.k2", F.lit(True).alias(single))
+    keyed = docs.withColumns({k1: F.xxhash64(id_col, F.coalesce(F.col(text), F.lit(""))), k2: F.hash(F.coalesce(F.col(text), F.lit("")), F.col(id_col))})
+    kept = keyed.join(first.union(alone).toDF(k1, k2, single), [k1, k2])
+    one = kept.filter(F.col(single)).dropDuplicates([k1, k2])
+    return one.union(kept.filter(~F.col(single))).select(docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,7 +127,11 @@ def identify(rows: DataFrame, text: str = "text", declared: str | None = "lang",
     spark = rows.sparkSession
     scratch = Scratch(spark, "language")
     rows = rows.drop("language", "posterior", "kept")
-    columns = rows.columns if carry is None else carry
+    named = rows.columns if carry is None else carry
+    # The table's own columns go under numbers, so that no name of theirs meets one from here.
+    number = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    rows = rows.toDF(*number.values())
+    columns, text, declared, host, suffix = [number[c] for c in named], number[text], number.get(declared), number.get(host), number.get(suffix)
     value = lambda c: F.lower(F.trim(F.col(c).cast("string"))) if c else F.lit(None).cast("string")
     host_c = F.coalesce(value(host), F.lit(""))
     # A parent drops the first label; a host of one label is its own suffix.
@@ -145,10 +149,10 @@ def identify(rows: DataFrame, text: str = "text", declared: str | None = "lang",
     told = spark.sparkContext.broadcast(np.log(model / model.sum(axis=0)))
 
     def spoken(df: DataFrame, keep: list[str]) -> DataFrame:
-        named = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
-        names = [f"c{i}" for i in range(len(keep))]
+        taken = df.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
+        names = [f"k{i}" for i in range(len(keep))]
         schema = ", ".join([*(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), "__text array<double>", "__letters long"])
-        return named.mapInArrow(lambda it: _speak(told, languages, names)(it), schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))
+        return taken.mapInArrow(lambda it: _speak(told, languages, names)(it), schema).withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
     def posteriors(logs: Column) -> Column:
         top = F.array_max(logs)
@@ -162,6 +166,7 @@ def identify(rows: DataFrame, text: str = "text", declared: str | None = "lang",
     said = said.groupBy(*keys).agg(F.array(*[F.sum(F.col("n")[i]) for i in range(len(languages))]).alias("n"))
     said = scratch.table(said, "said")
     whole = _shares(said, [], None, [], languages)
+    # The suffix speaks once, as the topmost level of the hosts' priors, and by itself where no host is named.
     by_suffix = _shares(said, ["__suffix"], whole, [], languages)
     by_parent = _shares(said, ["__parent"], by_suffix, ["__suffix"], languages) if host else None
     prior = _shares(said, ["__host"], by_parent, ["__parent"], languages) if host else None
@@ -171,13 +176,13 @@ def identify(rows: DataFrame, text: str = "text", declared: str | None = "lang",
     out = spoken(marked, [*columns, "__declared", "__host", "__suffix"])
     if host:
         out = out.join(few(prior.select("__host", F.col("p").alias("__prior"))), "__host", "left")
+    elif suffix:
+        few = F.broadcast if by_suffix.count() <= BROADCAST_HOSTS else few
+        out = out.join(few(by_suffix.select("__suffix", F.col("p").alias("__prior"))), "__suffix", "left")
     else:
         out = out.crossJoin(F.broadcast(whole.select(F.col("p").alias("__prior"))))  # one row
     out = out.join(declared_l, "__declared", "left")
     parts = [F.col("__text"), F.transform(F.coalesce("__prior", F.array(*[F.lit(1.0)] * len(languages))), lambda p: F.log(p)), F.coalesce("__declared_l", F.array(*[F.lit(0.0)] * len(languages)))]
-    if suffix:
-        out = out.join(few(_value_likelihood(said, "__suffix", languages, "__suffix_l")), "__suffix", "left")
-        parts.append(F.coalesce("__suffix_l", F.array(*[F.lit(0.0)] * len(languages))))
     logs = F.array(*[sum((p[i] for p in parts[1:]), parts[0][i]) for i in range(len(languages))])
     out = out.withColumn("__p", posteriors(logs))
     best = F.array_max("__p")
@@ -185,7 +190,7 @@ def identify(rows: DataFrame, text: str = "text", declared: str | None = "lang",
     silent = F.col("__letters") == 0
     language = F.when(~silent, F.element_at(names, F.array_position("__p", best).cast("int")))
     posterior = F.when(~silent, best).otherwise(F.lit(0.0))
-    return out.withColumns({"language": language, "posterior": posterior, "kept": ~silent & (best >= LEAST_POSTERIOR)}).select(*columns, "language", "posterior", "kept")
+    return out.withColumns({"language": language, "posterior": posterior, "kept": ~silent & (best >= LEAST_POSTERIOR)}).select(*[F.col(number[c]).alias(c) for c in named], "language", "posterior", "kept")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

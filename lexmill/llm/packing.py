@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.session import Scratch, shuffle_partitions, table
+from lexmill.session import Scratch, free_names, shuffle_partitions, table
 
 CAPACITY, END_ID = 4096, 1
 #: Enumerated patterns, and sweeps of the fit.
@@ -286,13 +286,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
         raise ValueError("a length outside 1 to the capacity")
     runs = _runs(plan(histogram, capacity))
     told = spark.sparkContext.broadcast(runs | {"key": runs["length"] << 40 | runs["rank"]})
+    bucket, own_rank, before_rank, place_ = free_names([*pieces.columns, "sequence_id", "offset"], "bucket", "own", "before", "place")
     buckets = max(64, shuffle_partitions(spark))
-    bucketed = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = bucketed.groupBy("length", "__bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("length", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("length", "__bucket").orderBy(*order)
-    ranked = bucketed.withColumn("__own", F.row_number().over(own) - 1).join(counts, ["length", "__bucket"])
+    bucketed = pieces.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = bucketed.groupBy("length", bucket).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("length", bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(before_rank))
+    own = Window.partitionBy("length", bucket).orderBy(*order)
+    ranked = bucketed.withColumn(own_rank, F.row_number().over(own) - 1).join(counts, ["length", bucket])
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -301,8 +302,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
         k, times = rank - runs["rank"][at], runs["times"][at]
         return pd.DataFrame({"sequence_id": runs["sequence"][at] + k // times, "offset": runs["offset"][at] + k % times * length})
 
-    placed = ranked.withColumn("__place", place("length", F.col("__before") + F.col("__own")))
-    return placed.select(*pieces.columns, "__place.sequence_id", "__place.offset")
+    placed = ranked.withColumn(place_, place("length", F.col(before_rank) + F.col(own_rank)))
+    return placed.select(*pieces.columns, f"{place_}.sequence_id", f"{place_}.offset")
 
 
 def packed_sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:

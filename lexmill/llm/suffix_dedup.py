@@ -1,12 +1,12 @@
 """Long repeats by a logarithmic family of suffix arrays.
 
 Documents come in batches. A batch's suffix array holds its sampled suffixes (anchors.py: every window of
-``length`` bytes contains the start of one, at a place that depends on the window alone), in lexicographic order of
-their first K bytes. It is merged, for a scan, with the array of every existing level: in the merged order each suffix is
-compared with its neighbour, and neighbours that agree in K bytes, of which one is new, are places where a long match
-can be. The new array then becomes a level, and levels of one size merge pairwise into the next size, neighbours that
-agree into one entry, so a suffix is rewritten a logarithmic number of times. A scan reads every level, so the number of
-batches grows with the logarithm of the input: the scans of n batches read the input n / 2 times.
+``length`` bytes contains the start of one, at a place that depends on the window alone) by their first K bytes, in parts
+by a hash of these and in order within a part. It is merge-scanned against the array of every existing level, part by part, as
+both lie: suffixes that agree in K bytes, of which one is new, are places where a long match can be. The new array then
+becomes a level, and levels of one size merge pairwise into the next size, so a suffix is rewritten a logarithmic number
+of times. A scan reads every level, so the number of batches grows with the logarithm of the input: the scans of n
+batches read the input n / 2 times.
 
 The matches are settled exactly, whatever the number of copies:
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.anchors import K, anchor_runs
 from lexmill.llm.bytewords import mix, text_chunks
-from lexmill.session import Scratch, table
+from lexmill.session import Scratch, free_names, shuffle_partitions, table
 
 LENGTH = 400
 #: Join keys of one suffix: contexts of a suffix that very many texts hold are dealt to so many tasks.
@@ -173,79 +173,46 @@ def suffix_entries(docs: DataFrame, length: int) -> DataFrame:
 
 
 def batch_count(size: int) -> int:
-    """Batches for ``size`` bytes of text: four, and one more for each doubling beyond a gigabyte."""
-    return max(4, size.bit_length() - 26)
-
-
-def _neighbours(merge: bool):
-    """Of rows sorted by suffix: the suffixes that a new row shares with its neighbour, or (merge) one row for each suffix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in [*batches, None] if merge else batches:
-            if batch is not None and not batch.num_rows:
-                continue
-            parts = [x for x in (held, batch) if x is not None]
-            if not parts:
-                return
-            whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            suffix = whole.column("suffix")
-            first = suffix.offset * K
-            grid = np.frombuffer(suffix.buffers()[2], np.uint64, whole.num_rows * K // 8, first).reshape(-1, K // 8)
-            same = (grid[1:] == grid[:-1]).all(axis=1)
-            if not merge:
-                fresh = whole.column("fresh").to_numpy(zero_copy_only=False)
-                hit = np.flatnonzero(same & (fresh[1:] | fresh[:-1]))
-                yield pa.RecordBatch.from_arrays([suffix.take(pa.array(hit))], names=["suffix"])
-                held = whole.slice(whole.num_rows - 1)
-                continue
-            starts = np.flatnonzero(np.concatenate([[True], ~same]))
-            n = np.add.reduceat(whole.column("n").to_numpy(), starts)
-            done = starts if batch is None else starts[:-1]  # the last suffix may go on
-            yield pa.RecordBatch.from_arrays([suffix.take(pa.array(done)), pa.array(n[: len(done)])], names=["suffix", "n"])
-            held = None if batch is None else pa.RecordBatch.from_arrays([suffix.slice(starts[-1], 1), pa.array([True]), pa.array(n[-1:])], schema=whole.schema)
-
-    return run
+    """Batches for ``size`` bytes of text: one up to 32 MB, and one more for each doubling."""
+    return max(1, size.bit_length() - 25)
 
 
 class SuffixFamily:
-    """Sorted arrays of suffixes (first K bytes, and how many suffixes begin with them), of sizes that double."""
+    """Sorted arrays of suffixes (first K bytes, and how many suffixes begin with them), of sizes that double.
 
-    SCHEMA = "suffix binary, n long"
+    An array lies in a fixed number of parts, by a hash of the suffix, each sorted. So a new batch and a level are scanned
+    side by side, part by part, as they lie: a merge join without a shuffle or a sort.
+    """
 
-    def __init__(self, scratch: Scratch):
-        self.scratch = scratch
-        self.levels: list[tuple[int, str]] = []  # (batches that it holds, path), larger ones first
+    def __init__(self, scratch: Scratch, parts: int):
+        self.scratch, self.parts = scratch, parts
+        self.levels: list[tuple[int, DataFrame]] = []  # (batches that it holds, its table), larger ones first
 
-    def _sorted(self, new: str, level: str) -> DataFrame:
-        both = self.scratch.read(new, self.SCHEMA).select("suffix", F.lit(True).alias("fresh"), "n")
-        both = both.union(self.scratch.read(level, self.SCHEMA).select("suffix", F.lit(False), "n"))
-        return both.repartitionByRange("suffix").sortWithinPartitions("suffix")
+    def _written(self, counted: DataFrame, tag: str) -> DataFrame:
+        return self.scratch.bucketed(counted.repartition(self.parts, "suffix"), tag, "suffix", self.parts)
 
     def add(self, suffixes: DataFrame) -> DataFrame:
         """The suffixes of a new batch that stand twice in it or in a level too; the batch is a level from now on."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:  # equal levels merge
             (n, one), (_, two) = self.levels.pop(), self.levels.pop()
-            merged = self.scratch.write(self._sorted(one, two).mapInArrow(_neighbours(True), self.SCHEMA), f"level{2 * n}")
-            self.scratch.drop(one)
-            self.scratch.drop(two)
-            self.levels.append((2 * n, merged))
-        summed = suffixes.groupBy("suffix").agg(F.count("*").alias("n"))
-        new = self.scratch.write(summed.repartitionByRange("suffix").sortWithinPartitions("suffix"), "batch")
-        hits = self.scratch.read(new, self.SCHEMA).filter("n > 1").select("suffix")
+            self.levels.append((2 * n, self._written(one.union(two).groupBy("suffix").agg(F.sum("n").alias("n")), f"level{2 * n}")))
+        new = self._written(suffixes.groupBy("suffix").agg(F.count("*").alias("n")), "batch")
+        hits = new.filter("n > 1").select("suffix")
         for _, level in self.levels:
-            hits = hits.union(self._sorted(new, level).mapInArrow(_neighbours(False), "suffix binary"))
+            hits = hits.union(new.select("suffix").hint("merge").join(level.select("suffix").hint("merge"), "suffix", "left_semi"))
         self.levels.append((1, new))
         return self.scratch.table(hits, "hits")
 
 
 def repeated_suffixes(entries: DataFrame, scratch: Scratch, batches: int) -> DataFrame:
     """The K-byte suffix starts that occur more than once, through the family of arrays."""
-    family, every = SuffixFamily(scratch), None
+    family, every = SuffixFamily(scratch, shuffle_partitions(entries.sparkSession)), None
     for b in range(batches):
         hits = family.add(entries.filter(F.col("batch") == b).select("suffix"))
         every = hits if every is None else every.union(hits)
-    return scratch.table(every.distinct(), "repeated")
+    found = scratch.table(every.distinct(), "repeated")
+    scratch.forget()
+    return found
 
 
 def repeat_marks(docs: DataFrame, scratch: Scratch, length: int = LENGTH, batches: int | None = None, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -308,18 +275,20 @@ def long_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", le
     Other columns stay; one of the name ``spans`` is replaced. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "repeats")
-    keys = {"__k1": F.xxhash64(id_col, text), "__k2": F.hash(text, id_col)}
-    marks = repeat_marks(docs.select(keys["__k1"].alias("k1"), keys["__k2"].alias("k2"), F.coalesce(F.col(text), F.lit("")).alias("text")), scratch, length, batches, group_rows)
+    docs = docs.drop(spans)
+    k1, k2, own = free_names([*docs.columns, spans], "k1", "k2", "own")
+    keys = {k1: F.xxhash64(id_col, text), k2: F.hash(text, id_col)}
+    marks = repeat_marks(docs.select(keys[k1].alias("k1"), keys[k2].alias("k2"), F.coalesce(F.col(text), F.lit("")).alias("text")), scratch, length, batches, group_rows)
     ranges = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
     @F.pandas_udf("array<struct<start:int,stop:int>>")
     def merged(ranges: pd.Series) -> pd.Series:
         return ranges.map(lambda found: [{"start": a, "stop": b} for a, b in _merged(np.array([x["start"] for x in found]), np.array([x["stop"] for x in found]))])
 
-    ranges = ranges.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), merged("ranges").alias("__spans"))
+    ranges = ranges.select(F.col("k1").alias(k1), F.col("k2").alias(k2), merged("ranges").alias(own))
     none = F.expr("cast(array() as array<struct<start:int,stop:int>>)")
-    found = docs.drop(spans).withColumns(keys).join(ranges, ["__k1", "__k2"], "left")
-    return found.withColumn(spans, F.coalesce("__spans", none)).drop("__k1", "__k2", "__spans")
+    found = docs.withColumns(keys).join(ranges, [k1, k2], "left")
+    return found.withColumn(spans, F.coalesce(own, none)).drop(k1, k2, own)
 
 
 def _kept(raw: bytes, spans) -> bytes:
@@ -354,7 +323,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    return long_repeats(docs, text, id_col, length, spans="__found").withColumn(text, kept(text, "__found")).drop("__found").select(docs.columns)
+    (found,) = free_names(docs.columns, "found")
+    return long_repeats(docs, text, id_col, length, spans=found).withColumn(text, kept(text, found)).select(docs.columns)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,12 +90,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id
     rows of its own id. Scores are exact inner products, whatever their size, within a block; between blocks, and in the
     result, those beyond 64 bits stand as the nearest 64-bit number. Equal scores go to the smaller id. Fewer than k
     rows come back where there are fewer candidates. Null ids, null vectors and vectors with null components take
-    no part; vectors of another length than the query's do not meet it. Repeated rows of one id count as rows.
+    no part; vectors of another length than the query's do not meet it. Repeated rows of one id count as rows; a query row
+    that is repeated has its whole list as often as it stands, and so has each of several queries of one id.
     Empty inputs give an empty result.
     """
     plain = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v")).filter("id is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null)").withColumn("dims", F.size("v"))
     scratch = Scratch(vectors.sparkSession, "topk")
     vectors, queries = plain(vectors), plain(queries)
+    # Each distinct query is searched once, under a number of its own.
+    queries = queries.groupBy("id", "v", "dims").agg(F.count("*").alias("copies")).withColumn("query", F.monotonically_increasing_id())
+    queries = scratch.table(queries, "queries")
     n, q = vectors.count(), queries.count()
     blocks, query_blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS)), max(1, -(-q // QUERY_ROWS))
 
@@ -111,23 +115,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "id
         out: list[tuple] = []
         if len(found) and len(asked):
             lists = SortedLists(found["id"].to_numpy(dtype=np.int64), np.stack(found["v"].to_numpy()).astype(np.int64))
-            for query_id, query, floor in zip(asked["id"], asked["v"], asked["floor"].astype(object), strict=True):
+            for number, query_id, query, floor in zip(asked["query"], asked["id"], asked["v"], asked["floor"].astype(object), strict=True):
                 rows, scores, depth, scored = lists.search(query_id, np.asarray(query, dtype=np.int64), k, None if pd.isna(floor) or floor in (LEAST, MOST) else int(floor))
-                out += [(query_id, int(lists.ids[r]), min(max(int(s), LEAST), MOST), depth, scored) for r, s in zip(rows, scores, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "id", "score", "depth", "scored"])
+                out += [(number, int(lists.ids[r]), min(max(int(s), LEAST), MOST), depth, scored) for r, s in zip(rows, scores, strict=True)]
+        return pd.DataFrame(out, columns=["query", "id", "score", "depth", "scored"])
 
     by = ["block", "query_block", "dims"]
     best_of = lambda df: df.groupBy(*by).cogroup
-    schema = "query_id long, id long, score long, depth int, scored int"
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    schema = "query long, id long, score long, depth int, scored int"
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     first = best_of(left.filter("block = 0"))(right.filter("block = 0").withColumn("floor", F.lit(None).cast("string")).groupBy(*by)).applyInPandas(search, schema)
     first = scratch.table(first, "first")
-    # A query id that stands twice, or with vectors of two lengths, has no floor: its lists are searched alone.
-    single = queries.groupBy("id").agg(F.count("*").alias("c")).filter("c = 1").select("id")
-    floors = ranked(first).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("string").alias("floor")).join(single, "id", "left_semi")
-    rest = best_of(left.filter("block > 0"))(right.filter("block > 0").join(floors, "id", "left").groupBy(*by)).applyInPandas(search, schema)
-    return ranked(first.union(rest)).select("query_id", "rank", "id", "score", "depth", "scored")
+    floors = ranked(first).filter(F.col("rank") == k).select("query", F.col("score").cast("string").alias("floor"))
+    rest = best_of(left.filter("block > 0"))(right.filter("block > 0").join(floors, "query", "left").groupBy(*by)).applyInPandas(search, schema)
+    best = ranked(first.union(rest)).join(queries.select("query", F.col("id").alias("query_id"), "copies"), "query")
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return best.select("query_id", "rank", "id", "score", "depth", "scored")
 
 
 def whole_numbers(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
@@ -151,12 +155,11 @@ WITH e AS (
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.number, q.vec_id AS query_id, c.vec_id,
     CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM e q JOIN e c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
-  WHERE q.vec_id % 100 = 0
+  FROM (SELECT *, row_number() OVER () AS number FROM e WHERE vec_id % 100 = 0) q JOIN e c ON c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
 )
 SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id) AS k FROM s)
 WHERE k <= 10
 """

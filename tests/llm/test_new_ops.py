@@ -1,5 +1,6 @@
 """Fill-in-the-middle, vantage-point trees and importance resampling against plain versions."""
 
+import collections
 import hashlib
 import math
 import random
@@ -7,12 +8,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexmill.llm import fill_middle, resample, vp_trees
+import corpus_pipeline
+from lexmill.llm import decontaminate, fill_middle, jaccard_join, language_id, packing, resample, suffix_dedup, topk, vp_trees
 
 SF = "/root/testdata/sf0.001"
 
@@ -198,3 +201,73 @@ def test_long_texts_are_taken_apart(monkeypatch):
                 found.update(norm[a : a + k].tobytes().decode() for a, k in zip(starts, sizes, strict=True))
                 total += int(counts.sum())
             assert (total, found) == (features(text, n)[0], Counter(features(text, n)[1]))
+
+
+# --- names that clash, repeated queries, other levels of evidence ---
+
+HOSTILE = ["__k1", "__k2", "k1", "k2", "__single", "single", "__found", "found", "__leak", "leak", "__bucket", "bucket", "own", "before", "place", "__host", "__declared", "__suffix", "__parent", "__text", "__letters",
+           "spans", "root", "component_id", "id", "c0", "c1", "hash", "item", "shingle", "draws", "row", "part", "h", "v", "dims", "query", "token", "gid"]
+
+
+@pytest.fixture(scope="module")
+def hostile(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice(["the", "of", "and", "court", "house", "river", "über", "niño"]) for _ in range(30)), "en", "a.example.org") for i in range(12)]
+    rows += [(20, rows[0][1], "en", "b"), (21, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(f"mine {c}") for c in HOSTILE})
+
+
+def test_columns_keep_their_names_and_values(spark, hostile):
+    items = spark.createDataFrame([(1, hostile.first()["text"])], "item_id long, text string").withColumns({c: F.lit("theirs") for c in ("id", "hash", "n", "leak")})
+    mine = [f"mine {c}" for c in HOSTILE]
+
+    def held(frame, n, gone=()):
+        rows = frame.collect()
+        assert len(rows) == n and all([r[c] for c in HOSTILE if c not in gone] == [m for m, c in zip(mine, HOSTILE, strict=True) if c not in gone] for r in rows)
+        return rows
+
+    assert {r.language for r in held(language_id.identify(hostile), 14)} <= {None, *language_id.LANGUAGES}
+    held(jaccard_join.keep_one(hostile), 13)
+    held(suffix_dedup.remove_repeats(hostile), 14)
+    held(suffix_dedup.long_repeats(hostile), 14, ("spans",))
+    assert {r.doc_id for r in held(decontaminate.drop_leaks(hostile, items), 12)} == {*range(1, 12), 21}
+    held(fill_middle.fill_in_middle(hostile), 14)
+    held(resample.importance_resample(hostile, items), 14)
+    pieces = packing.token_pieces(hostile, packing.tokenizer_path()).withColumns({c: F.lit(f"mine {c}") for c in HOSTILE})
+    held(packing.pack(pieces), 14)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, hostile, SF)
+        assert kept.columns == hostile.columns, name
+        held(kept, kept.count())
+    vectors = spark.createDataFrame([(i, [i, 1], 1) for i in range(5)], "id long, vector array<long>, own int").withColumns({c: F.lit("x") for c in ("query", "block", "dims", "v", "copies")})
+    assert topk.top_k(vectors, vectors, 2).count() == 10 and vp_trees.neighbours(vectors, vectors, 2).count() == 10
+
+
+def test_repeated_queries_of_the_top(spark):
+    rows = [(100, [1, 2]), (100, [1, 2]), (1, [1, 0]), (2, [1, 0]), (3, [0, 1]), (100, [5, 0])]
+    frame = spark.createDataFrame(rows, "id long, vector array<long>")
+    got = collections.Counter((r.query_id, r["rank"], r.id, r.score) for r in topk.top_k(frame, frame.filter("id = 100"), 3).collect())
+    assert got == collections.Counter(2 * [(100, 1, 3, 2), (100, 2, 1, 1), (100, 3, 2, 1)] + [(100, 1, 1, 5), (100, 2, 2, 5), (100, 3, 3, 0)])
+
+
+def test_short_items_in_sql(spark):
+    docs = [(1, "a b c d e f"), (2, "x b c y"), (3, "b"), (4, None), (5, "B  C"), (6, "c b")]
+    items = [(1, "b c"), (2, "b"), (3, "a b c d e"), (4, None), (5, "zz")]
+    found = decontaminate.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    con = duckdb.connect()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = sorted(con.execute(decontaminate.SQL).fetchall())
+    assert sorted((r.id, r["item"], r.n_item, r.n_shared) for r in found.collect()) == want and len(want) == 9
+
+
+def test_suffix_speaks_once(spark):
+    r = random.Random(3)
+    texts = {"en": "the house of the river and the", "de": "der fluss und das haus von dem"}
+    rows = [(i, " ".join(r.sample(texts[x].split(), 4)), x, s) for i in range(60) for x, s in [("en", "org") if i % 3 else ("de", "de")]] + [(99, "zq", None, "de"), (98, "zq", None, "org")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string")
+    alone = {r.doc_id: r for r in language_id.identify(frame, declared="declared", host=None, suffix="suffix").collect()}
+    as_host = {r.doc_id: r for r in language_id.identify(frame, declared="declared", host="suffix", suffix="suffix").collect()}
+    assert alone[99].language == "de" and alone[98].language == "en"
+    assert as_host[99].language == "de" and as_host[98].language == "en"

@@ -194,7 +194,7 @@ def test_long_repeats_equal_brute_force(spark, docs, group_rows):
 def test_family_of_arrays(spark):
     r = random.Random(6)
     grams = [bytes([r.randrange(3)] * 31) + bytes([r.randrange(40)]) for _ in range(300)]
-    family, seen, every = suffix_dedup.SuffixFamily(Scratch(spark, "t")), collections.Counter(), set()
+    family, seen, every = suffix_dedup.SuffixFamily(Scratch(spark, "t"), 3), collections.Counter(), set()
     for i in range(0, 300, 50):
         fresh = collections.Counter(grams[i : i + 50])
         got = family.add(spark.createDataFrame([(bytearray(g),) for g in grams[i : i + 50]], "suffix binary"))
@@ -204,22 +204,10 @@ def test_family_of_arrays(spark):
         every |= want
     assert [n for n, _ in family.levels] == [4, 1, 1]
     assert family.add(spark.createDataFrame([], "suffix binary")).count() == 0
-    assert [suffix_dedup.batch_count(x) for x in (0, 1 << 27, 1 << 30, 1 << 47)] == [4, 4, 5, 22]
-
-
-def test_neighbours_across_batches():
-    r = random.Random(3)
-    rows = sorted((bytes([r.randrange(4)] * 32), r.random() < 0.5, r.randrange(1, 5)) for _ in range(60))
-    schema = pa.schema([pa.field("suffix", pa.binary(), False), pa.field("fresh", pa.bool_(), False), pa.field("n", pa.int64(), False)])
-    for size in (1, 2, 7, 60):
-        cut = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + size], strict=True), schema, strict=True)], schema=schema) for i in range(0, 60, size)]
-        merged = pa.Table.from_batches(list(suffix_dedup._neighbours(True)(iter(cut)))).to_pydict()
-        total = collections.Counter()
-        for suffix, _, n in rows:
-            total[suffix] += n
-        assert dict(zip(merged["suffix"], merged["n"], strict=True)) == total and len(merged["n"]) == 4
-        hits = {x for b in suffix_dedup._neighbours(False)(iter(cut)) for x in b.column(0).to_pylist()}
-        assert hits == {a[0] for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0] and (a[1] or b[1])}
+    scan = family.levels[0][1].select("suffix").hint("merge").join(family.levels[-1][1].select("suffix").hint("merge"), "suffix", "left_semi")
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # arrays are scanned as they lie
+    assert [suffix_dedup.batch_count(x) for x in (0, 1 << 27, 1 << 30, 1 << 47)] == [1, 3, 6, 23]
 
 
 def test_passages_of_many_documents(spark):
