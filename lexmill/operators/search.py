@@ -133,15 +133,65 @@ def search(docs: DataFrame, query: str, where: Column | None = None, limit: int
 
 
 def snippet(text: Column, query: str) -> Column:
-    """Up to 18 words around the first hit, hits marked (TXT-5)."""
-    words = {w for p in sanitise(query) for w in p.words}
-    plain = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    bare = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")
+    """Up to 18 words of a text, chosen to hold as many distinct phrases of the query as one cut can; hits are marked (TXT-5).
+
+    Of equally good cuts it is the one whose hits end first; what room they leave stands half before them. Words are runs
+    between white space; a text without hits is cut at its start. Hits are read once in the order of their ends, with the last
+    start of each phrase so far, so the work follows the words and phrases, not pairs of hits.
+    """
+    phrases = sanitise(query)
+    plain = F.split(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), " ")
+
+    def bare(w: Column) -> Column:
+        return F.regexp_replace(fold(w), r"[^\p{L}\p{N}]", "")
+
+    def at(ws: Column, phrase: Phrase, i: Column) -> Column:
+        """Whether the phrase ends at word i."""
+        k = len(phrase.words)
+        parts = [F.get(ws, i - (k - 1 - j)) == w for j, w in enumerate(phrase.words[:-1])]
+        last = F.get(ws, i)
+        parts.append(last.startswith(phrase.words[-1]) if phrase.prefix else last == phrase.words[-1])
+        return F.coalesce((i >= k - 1) & reduce(lambda a, b: a & b, parts), F.lit(False))
+
+    kind = "struct<last:array<int>,hits:int,start:int,stop:int,i:int>"
+    begin = F.expr(f"cast(named_struct('last', array_repeat(-1, {max(len(phrases), 1)}), 'hits', 0, 'start', 0, 'stop', 0, 'i', 0) as {kind})")
+
+    def step(s: Column, ends: Column) -> Column:
+        i = s["i"]
+        last = F.array(*[F.when(ends[j], i - (len(p.words) - 1)).otherwise(s["last"][j]) for j, p in enumerate(phrases)])
+
+        def judged(last: Column) -> Column:
+            inside = F.filter(last, lambda x: (x >= 0) & (x > i - SNIPPET_TOKENS))
+            better = F.exists(ends, lambda x: x) & (F.size(inside) > s["hits"])
+            return F.struct(
+                last.alias("last"), F.when(better, F.size(inside)).otherwise(s["hits"]).alias("hits"), F.when(better, F.array_min(inside)).otherwise(s["start"]).alias("start"),
+                F.when(better, i).otherwise(s["stop"]).alias("stop"), (i + 1).alias("i"),
+            ).cast(kind)
+
+        return F.get(F.transform(F.array(last), judged), F.lit(0))
 
     def cut(ws: Column) -> Column:
-        first = F.get(F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda i: bare(F.get(ws, i)).isin(*words)), F.lit(0))
-        start = F.greatest(F.coalesce(first, F.lit(0)) - 4, F.lit(0))
-        marked = F.transform(F.slice(ws, start + 1, SNIPPET_TOKENS), lambda w: F.when(bare(w).isin(*words), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
-        return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(marked, " "), F.when(F.size(ws) > start + SNIPPET_TOKENS, "…").otherwise(""))
+        def shown(x: Column) -> Column:
+            """x: the bare words and, for each, which phrases end there."""
+            def window(best: Column) -> Column:
+                room = F.greatest(F.lit(SNIPPET_TOKENS) - (best["stop"] - best["start"] + 1), F.lit(0))
+                start = F.greatest(F.least(best["start"] - F.floor(room / 2).cast("int"), F.size(ws) - SNIPPET_TOKENS), F.lit(0))
+
+                def word(w: Column, j: Column) -> Column:
+                    i = start + j
+                    ends_by = lambda n: lambda e: e[n]
+                    covered = [F.coalesce(F.exists(F.slice(x["ends"], i + 1, len(p.words)), ends_by(n)), F.lit(False)) for n, p in enumerate(phrases)]
+                    return F.when(reduce(lambda a, b: a | b, covered), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w)
+
+                marked = F.transform(F.slice(ws, start + 1, SNIPPET_TOKENS), word)
+                return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(marked, " "), F.when(F.size(ws) > start + SNIPPET_TOKENS, "…").otherwise(""))
+
+            return F.get(F.transform(F.array(F.aggregate(x["ends"], begin, step)), window), F.lit(0))
+
+        own = F.transform(ws, bare)
+        ends = F.get(F.transform(F.array(own), lambda b: F.transform(b, lambda w, i: F.array(*[at(b, p, i) for p in phrases]))), F.lit(0))
+        return F.get(F.transform(F.array(F.struct(ends.alias("ends"))), shown), F.lit(0))
 
+    if not phrases:
+        return F.array_join(F.slice(plain, 1, SNIPPET_TOKENS), " ")
     return F.get(F.transform(F.array(plain), cut), F.lit(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import is_document_id
 from lexmill.operators.attest import key_fault, treatment
+from lexmill.sources.lines import numbered_lines
 
 CLAIM = "from_doc string, to_doc string, treatment string, from_para int, note string, signer string, signature string, created_at string"
 # Hex digits of a key and of a signature, and what becomes of a line.
@@ -40,8 +41,7 @@ def parse_lines(lines: DataFrame, verify: Column | None = None) -> DataFrame:
 
 def read_bundle(spark: SparkSession, path: str, verify: Column | None = None) -> DataFrame:
     """The claims of a bundle file or folder, with path and physical line number."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "value"))
-    return parse_lines(files.select("path", (F.col("at") + 1).alias("line"), "value"), verify)
+    return parse_lines(numbered_lines(spark, path).withColumnRenamed("file", "path"), verify)
 
 
 def bundle_tallies(claims: DataFrame) -> DataFrame:

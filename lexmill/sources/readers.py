@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.functions.markup import numbered_paragraphs
+from lexmill.sources.lines import numbered_lines
 
 RECORD = (
     "id string, region string, neutral_citation string, date string, court string, title string, case_numbers array<string>, judges array<string>, "
@@ -61,14 +62,13 @@ def read_json_lines(spark: SparkSession, path: str, numbered: bool = False) -> D
     carry the reason ``not a record``.
 
     ``paragraphs`` may hold strings or objects with a text; both are read. The location is the file, and with
-    ``numbered`` the file and the physical line: each file is then read by one task.
+    ``numbered`` the file and the physical line, which are counted split by split.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,ndjson}")
+    glob = "*.{jsonl,ndjson}"
     if numbered:
-        lines = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("at", "value"))
-        lines = lines.select("value", F.concat("file", F.lit(":"), F.col("at") + 1).alias("location"))
+        lines = numbered_lines(spark, path, glob).select("value", F.concat("file", F.lit(":"), "line").alias("location"))
     else:
-        lines = reader.text(path).withColumn("location", F.col("_metadata.file_path"))
+        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path).withColumn("location", F.col("_metadata.file_path"))
     lines = lines.filter("trim(value) <> ''")
     plain = F.from_json(F.get_json_object("value", "$.paragraphs"), "array<string>")  # an object comes as its JSON text
     texts = F.transform(plain, lambda p: F.coalesce(F.when(p.startswith("{"), F.get_json_object(p, "$.text")), p))
