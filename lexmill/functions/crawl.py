@@ -82,16 +82,26 @@ def rules_for(groups: DataFrame, agent: str, key: str = "host") -> DataFrame:
     return mine.filter("pattern is not null").select(key, "pattern", "allow").distinct()
 
 
-def pattern_regex(pattern: Column) -> Column:
-    """A robots pattern as a regular expression (SC-24).
+def pattern_fits(path: Column, pattern: Column) -> Column:
+    """Whether a robots pattern fits a path (SC-24): its parts between stars stand in the path in order, the first at its start.
 
-    ``*`` is any run. With ``$`` the last part ends the path; else what follows the last part is free. A pattern of
-    ``$`` alone, or none, fits every path.
+    With ``$`` the last part ends the path; else what follows the last part is free. A pattern of ``$`` alone, or none, fits
+    every path. The parts are looked up as they are, so nothing is compiled for a row.
     """
     anchored = F.endswith(pattern, F.lit("$"))
     body = F.when(anchored, F.substring(pattern, F.lit(1), F.length(pattern) - 1)).otherwise(pattern)
-    quoted = F.array_join(F.transform(F.split(body, r"\*"), lambda p: F.when(p == "", "").otherwise(F.concat(F.lit(r"\Q"), F.regexp_replace(p, r"\\E", r"\\E\\\\E\\Q"), F.lit(r"\E")))), ".*")
-    return F.when(body == "", "").otherwise(F.concat(F.lit("(?s)^"), quoted, F.when(anchored & ~F.endswith(body, F.lit("*")), "$").otherwise("")))
+    parts = F.transform(F.split(body, r"\*"), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    final = F.when(anchored, F.size(F.split(body, r"\*")) - 1).otherwise(-1)  # the part that must end the path
+
+    def step(at: Column, part: Column) -> Column:
+        """Where the part found ends, from the end of the one before; -1 for none."""
+        p, size = part["p"], F.length(part["p"])
+        here = F.when(part["i"] == 0, F.when(F.startswith(path, p), 1).otherwise(0)).when(p == "", at + 1).otherwise(F.call_function("locate", p, path, at + 1))
+        ended = F.endswith(path, p) & (F.length(path) - size >= at) & ((part["i"] > 0) | (path == p))
+        ends = (part["i"] == final) & ((p != "") | (part["i"] == 0))
+        return F.when(at < 0, -1).when(ends, F.when(ended, F.length(path)).otherwise(-1)).when(here > 0, here - 1 + size).otherwise(-1)
+
+    return (body == "") | (F.aggregate(parts, F.lit(0), step) >= 0)
 
 
 def allowed(paths: DataFrame, rules: DataFrame, path: str = "path", key: str = "host") -> DataFrame:
@@ -99,8 +109,7 @@ def allowed(paths: DataFrame, rules: DataFrame, path: str = "path", key: str = "
 
     rules: ``key``, pattern, allow. The join is by host, so work grows with the rules of the hosts at hand.
     """
-    pairs = paths.select(key, path).distinct().join(rules.withColumn("__regex", pattern_regex(F.col("pattern"))), key)
-    # Rows with one pattern stand together, so that each is compiled once for a run of them.
-    hits = pairs.sortWithinPartitions("__regex").filter(F.expr(f"{path} rlike __regex"))
+    pairs = paths.select(key, path).distinct().join(rules, key)
+    hits = pairs.filter(pattern_fits(F.col(path), F.col("pattern")))
     best = hits.groupBy(key, path).agg(F.max(F.struct(F.octet_length("pattern"), "allow")).alias("b")).select(key, path, F.col("b.allow").alias("__allow"))
     return paths.join(best, [key, path], "left").withColumn("allowed", F.coalesce("__allow", F.lit(True))).drop("__allow")

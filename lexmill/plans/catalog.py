@@ -29,7 +29,7 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from lexmill.plans import lookups, markup  # noqa: F401  add their queries
+    from lexmill.plans import changes, lookups, markup  # noqa: F401  add their queries
 
     return dict(_QUERIES)
 
@@ -276,9 +276,21 @@ def match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.corpus_index(spark, sf_dir).scores("the with").agg(F.count("*").alias("n"))
 
 
-@_query()
+_SNIPPETS = r""", sp AS (SELECT id, string_split_regex(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS ws FROM j),
+    bw AS (SELECT id, ws, list_transform(ws, lambda w: regexp_replace(lower(strip_accents(w)), '[^\p{L}\p{N}]', '', 'g')) AS b FROM sp),
+    m AS (SELECT id, ws, b FROM bw JOIN (SELECT id FROM tok WHERE list_contains(w, 'the') AND list_contains(w, 'with')) USING (id)),
+    h AS (SELECT id, i, b[i] AS k FROM (SELECT id, b, unnest(range(1, len(b) + 1)) AS i FROM m) WHERE b[i] IN ('the', 'with')),
+    l AS (SELECT id, i, max(CASE WHEN k = 'the' THEN i END) OVER w AS t, max(CASE WHEN k = 'with' THEN i END) OVER w AS v FROM h WINDOW w AS (PARTITION BY id ORDER BY i)),
+    s AS (SELECT id, i, (coalesce(t > i - 18, false))::INTEGER + (coalesce(v > i - 18, false))::INTEGER AS hits, least(CASE WHEN t > i - 18 THEN t END, CASE WHEN v > i - 18 THEN v END) AS a FROM l),
+    o AS (SELECT id, min_by((a, i), (-hits, i)) AS w FROM s GROUP BY id),
+    c AS (SELECT m.id, ws, b, greatest(least(coalesce(w[1], 1) - greatest(18 - (coalesce(w[2], 1) - coalesce(w[1], 1) + 1), 0) // 2, len(ws) - 17), 1) AS a FROM m LEFT JOIN o USING (id))
+    SELECT id, CASE WHEN a > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(a, least(a + 18, len(ws) + 1)), lambda i: CASE WHEN b[i] IN ('the', 'with') THEN '<mark>' || ws[i] || '</mark>' ELSE ws[i] END), ' ')
+      || CASE WHEN len(ws) > a + 17 THEN '…' ELSE '' END AS snippet FROM c"""
+
+
+@_query(with_views("j", _TOKENS + _SNIPPETS))
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A marked cut of every match (TXT-5)."""
+    """The cut of every match that holds most phrases, marked (TXT-5)."""
     found = search.matches(views.judgments(spark, sf_dir), "the with")
     return found.select("id", search.snippet(F.col("text"), "the with").alias("snippet"))
 
@@ -523,14 +535,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- crawl rules ---------------------------------------------------------------------------------------------------
 
-_SIGNALS = ["ai-input=no", "ai-input=no, search=yes", "use=reference search=no", "use=reference", "ai-train=no", "ai-input=yes, use=reference", "odd=1, ai-input=maybe", "AI-Input=NO, ai-input=yes"]
-_ELIGIBLE = ["citation-only", "search-only", "forbidden", "citation-only", "rag-permitted", "rag-permitted", "rag-permitted", "citation-only"]
+#: What a page says of its use, by the language of its markup; pages of others say nothing.
+_SIGNALS = {"en": "search=yes, ai-input=no", "fr": "use=reference search=no", "de": "ai-input=yes, use=reference", "es": "odd=1, AI-Input=NO, ai-input=yes"}
+_ELIGIBLE = {"en": "search-only", "fr": "forbidden", "de": "rag-permitted", "es": "citation-only"}
 
 
-@_query(f"SELECT page_id, {_ELIGIBLE!r}[page_id % 8 + 1] AS eligibility FROM pages")
+@_query(f"""SELECT page_id, CASE l {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ELIGIBLE.items())} ELSE 'rag-permitted' END AS eligibility FROM (SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS l FROM pages)""")
 def page_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each page permits under a content signal (SC-25, FLT-16)."""
-    signal = F.element_at(F.array(*[F.lit(s) for s in _SIGNALS]), (F.col("page_id") % 8 + 1).cast("int"))
+    """What each page permits under the content signal that its markup's language stands for (SC-25, FLT-16)."""
+    language = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+    signal = F.element_at(F.create_map(*[F.lit(x) for pair in _SIGNALS.items() for x in pair]), language)
     return table(spark, sf_dir, "pages").select("page_id", crawl.eligibility(signal).alias("eligibility"))
 
 
@@ -589,8 +603,10 @@ def claim_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", "support").union(gone.select("id", "support"))
 
 
-@_query(with_views("a", """SELECT count(*) AS examined, count(*) FILTER (id % 11 > 1) AS verified, count(*) FILTER (id % 11 = 0) AS rejected, count(*) FILTER (id % 11 = 1) AS unreadable FROM a"""))
+@_query(with_views("a", """SELECT count(*) AS examined, count(*) FILTER (NOT bad AND NOT dim) AS verified, count(*) FILTER (bad) AS rejected, count(*) FILTER (dim AND NOT bad) AS unreadable
+    FROM (SELECT starts_with(sha256(signer || ':' || signature), '0') AS bad, suffix(created_at, ':00') AS dim FROM a)"""))
 def verification_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many claims verified, failed or could not be read (AGG-16)."""
-    status = F.when(F.col("id") % 11 == 0, "rejected").when(F.col("id") % 11 == 1, "unreadable").otherwise("verified")
+    """How many claims verify by the digest of signer and signature, fail, or have no readable second (AGG-16)."""
+    bad = F.startswith(F.sha2(F.concat("signer", F.lit(":"), "signature"), 256), F.lit("0"))
+    status = F.when(bad, "rejected").when(F.endswith("created_at", F.lit(":00")), "unreadable").otherwise("verified")
     return attest.tallies(views.attestations(spark, sf_dir).withColumn("status", status))

@@ -22,15 +22,14 @@ _TABLES = {
 }
 
 
-def bucket_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
 class LinkStore:
     """Claims, citations and their links in a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
     def _read(self, name: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         try:
@@ -43,7 +42,7 @@ class LinkStore:
         return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
     def _write(self, rows: DataFrame, name: str, batch: int) -> None:
-        rows.withColumn("bucket", bucket_of(F.col("citation_key"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/batch={batch}")
+        rows.withColumn("bucket", self._bucket(F.col("citation_key"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/batch={batch}")
 
     @staticmethod
     def _owners(claims: DataFrame) -> DataFrame:
@@ -65,7 +64,7 @@ class LinkStore:
         # What follows reads the batch as written.
         own = self._read("claims").filter(F.col("batch") == batch)
         cited = self._read("citations").filter(F.col("batch") == batch)
-        met = [r.bucket for r in own.select("bucket").union(cited.select("bucket")).distinct().collect()]  # at most BUCKETS
+        met = [r.bucket for r in own.select("bucket").union(cited.select("bucket")).distinct().collect()]  # buckets
         keys = own.select("citation_key").union(cited.select("citation_key")).distinct()
         before = self._read("claims", batch, met).join(keys, "citation_key", "left_semi")
         old = self._owners(before).withColumnRenamed("doc_id", "old_doc")
@@ -87,7 +86,7 @@ class LinkStore:
 
     def compacted(self, folder: str) -> LinkStore:
         """The store in another folder, as one batch under the number of the last: claims by their sums, links as they are today."""
-        out, last = LinkStore(self.spark, folder), self._read("claims").agg(F.max("batch")).first()[0] or 0
+        out, last = LinkStore(self.spark, folder, self.buckets), self._read("claims").agg(F.max("batch")).first()[0] or 0
         claims = self._read("claims").groupBy("citation_key", "doc_id").agg(F.sum("sign").alias("sign")).filter("sign <> 0")
         out._write(claims, "claims", last)
         cited = self._read("citations").groupBy("from_doc", "from_para", "citation_key").agg(F.sum("copies").alias("copies"))
@@ -97,7 +96,7 @@ class LinkStore:
         return out
 
 
-def relink_stream(source: DataFrame, folder: str, checkpoint: str):
+def relink_stream(source: DataFrame, folder: str, checkpoint: str, buckets: int = BUCKETS):
     """A started query that feeds a stream of claims and citations to the store in ``folder``.
 
     source: kind (claim, withdrawal or citation), citation_key, doc_id, from_para; a citation's doc_id is where it stands.
@@ -106,6 +105,6 @@ def relink_stream(source: DataFrame, folder: str, checkpoint: str):
     def feed(batch: DataFrame, number: int) -> None:
         claims = batch.filter("kind in ('claim', 'withdrawal')").select("citation_key", "doc_id", F.when(F.col("kind") == "claim", 1).otherwise(-1).alias("sign"))
         cited = batch.filter("kind = 'citation'").select(F.col("doc_id").alias("from_doc"), "from_para", "citation_key")
-        LinkStore(batch.sparkSession, folder).apply(number, cited, claims)
+        LinkStore(batch.sparkSession, folder, buckets).apply(number, cited, claims)
 
     return source.writeStream.foreachBatch(feed).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

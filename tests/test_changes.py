@@ -22,8 +22,7 @@ def held(store):
     return sorted(((r.from_doc, r.from_para, r.citation_key, r.to_doc) for r in store.links().collect()), key=str)
 
 
-def test_batches_in_every_order_equal_the_full_join(spark, monkeypatch):
-    monkeypatch.setattr(relink, "BUCKETS", 4)
+def test_batches_in_every_order_equal_the_full_join(spark):
     cite = lambda rows: spark.createDataFrame(rows, "from_doc long, from_para int, citation_key string")
     claim = lambda rows: spark.createDataFrame(rows, "citation_key string, doc_id long, sign long")
     parts = [
@@ -32,7 +31,7 @@ def test_batches_in_every_order_equal_the_full_join(spark, monkeypatch):
         ([], [("a", 7, 1), ("b", 8, 1), ("c", 5, -1)]),  # a replaced owner, one that goes
     ]
     for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0)):
-        store, seen_c, seen_k = relink.LinkStore(spark, Scratch(spark, "links").root), [], []
+        store, seen_c, seen_k = relink.LinkStore(spark, Scratch(spark, "links").root, 4), [], []
         for number, i in enumerate(order):
             citations, claims = parts[i]
             store.apply(number, cite(citations), claim(claims))
@@ -56,7 +55,7 @@ def test_a_stream_of_changes(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame(events[i * 100 : i * 100 + 100], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    relink.relink_stream(source, str(tmp_path / "store"), str(tmp_path / "point")).awaitTermination()
+    relink.relink_stream(source, str(tmp_path / "store"), str(tmp_path / "point"), 4).awaitTermination()
     store = relink.LinkStore(spark, str(tmp_path / "store"))
     cited = [(d, p, k) for kind, k, d, p in events if kind == "citation"]
     assert held(store) == full_join(cited, [(k, d, 1) for kind, k, d, _ in events if kind == "claim"])
