@@ -139,6 +139,12 @@ def short_id(key: Column) -> Column:
     return F.substring(key, 1, 12)
 
 
+def document_id_fault(key: Column) -> Column:
+    """Why a text is no document key (SC-4): missing, not_hex (also an odd number of digits) or wrong_length; null for a good one."""
+    odd = F.length(key) % 2 == 1
+    return F.when(key.isNull() | (key == ""), "missing").when(odd | ~key.rlike("^[0-9a-fA-F]*$"), "not_hex").when(F.length(key) != 64, "wrong_length")
+
+
 def is_document_id(key: Column) -> Column:
     """64 hex digits (SC-4)."""
     return F.coalesce(key.rlike("^[0-9a-fA-F]{64}$"), F.lit(False))

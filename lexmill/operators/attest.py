@@ -130,6 +130,39 @@ def treatment_view(claims: DataFrame, doc_id, policy: DataFrame, unlisted: float
     return weighted(about, policy, unlisted).orderBy("created_at", "signer", "from_doc", "treatment", "signature")
 
 
+def request_policy(trust: str | None, unlisted=None, node: tuple[list[tuple[int, str, float]], float] = ((), 0.0)) -> tuple[list[tuple[int, str, float]], float, str]:
+    """The policy that a request reads under (TR-7): rows, the weight of signers that they do not name, and where it comes from.
+
+    A request's own ``trust`` replaces the node's policy outright, weights are never merged, and only then is its ``unlisted`` heard
+    (an unreadable one is as if it were not given). Else the node's holds (``node``), or, if that is empty, ``none``.
+    """
+    if trust is not None:
+        rows, rest = parse_policy(trust)
+        try:
+            return rows, rest if unlisted is None else parse_policy("", float(unlisted))[1], "request"
+        except (TypeError, ValueError):
+            return rows, rest, "request"
+    return list(node[0]), node[1], "node" if node[0] else "none"
+
+
+def treatment_report(claims: DataFrame, doc_id, policy: tuple[list[tuple[int, str, float]], float, str], edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole view of one document's treatment (TR-6, TR-7): its claims in order, and one row that sums them up.
+
+    claims: as stored, with signature and created_at. policy: of ``request_policy``. A claim has its reader's weight, whether the
+    policy lists its signer, whether it is adverse, and what the graph (edges: from_doc, to_doc; nodes: id) holds of its pair.
+    The row has the counts and signal of ``currency_of`` and the origin of the policy.
+    """
+    spark, (rows, unlisted, origin) = claims.sparkSession, policy
+    table = spark.createDataFrame(rows, "ord int, key string, weight double")
+    about = weighted(claims.filter(F.col("to_doc") == doc_id), table, unlisted)
+    listed = table.select(F.lower("key").alias("signer_key"), F.lit(True).alias("listed")).distinct()
+    shown = mechanical_support(about, edges, nodes).join(F.broadcast(listed), F.lower("signer") == F.col("signer_key"), "left").drop("signer_key")
+    shown = shown.withColumns({"listed": F.coalesce("listed", F.lit(False)), "adverse": F.col("treatment").isin(*ADVERSE)})
+    one = claims.sparkSession.range(1).select(F.lit(doc_id).alias("to_doc"))
+    summed = currency_of(one, currency(about), bool(claims.limit(1).count())).withColumn("policy", F.lit(origin))
+    return shown.orderBy("created_at", "signer", "from_doc", "treatment", "signature"), summed
+
+
 def tallies(claims: DataFrame) -> DataFrame:
     """examined, verified, rejected, unreadable over a ``status`` column (AGG-16)."""
     return claims.agg(F.count("*").alias("examined"), *[F.count_if(F.col("status") == s).alias(s) for s in ("verified", "rejected", "unreadable")])

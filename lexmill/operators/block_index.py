@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators.corpus import clamp
 from lexmill.operators.ordered import OrderedTable
-from lexmill.operators.search import AUTHORITY_WEIGHT, K1, B, Phrase, _length, _words, sanitise
+from lexmill.operators.search import AUTHORITY_WEIGHT, K1, B, Phrase, _length, _words, sanitise, snippet
 from lexmill.session import shuffle_partitions
 
 #: Documents of a block; blocks of the first round of a search, and how much larger each further one is.
@@ -182,3 +182,26 @@ class BlockIndex:
         if hits is None:
             hits = self.spark.createDataFrame([], "id long, bm25 double, authority double")
         return Page(hits.orderBy(*rank).offset(offset).limit(limit), blocks, read)
+
+
+def hits_page(index: BlockIndex, documents: DataFrame, query: str, where: Column | None = None, limit: int | None = 20, offset: int = 0, cited: DataFrame | None = None) -> DataFrame:
+    """A page of hits with all that a result shows: total, id, title, court, date, region, authority, bm25, snippet, cited_by_count.
+
+    documents: id, title, court, date, region, authority, text. ``where`` filters documents; total counts all that match and
+    pass. cited: to_doc, cited_by_count. A query without words browses by authority, with null relevance and the texts' starts.
+    """
+    rows = documents if where is None else documents.filter(where)
+    allowed = None if where is None else rows.select("id")
+    if sanitise(query):
+        every = index.scores(query)
+        every = every if allowed is None else every.join(allowed, "id", "left_semi")
+        total, hits = every.agg(F.count("*").alias("total")), index.search(query, limit, offset, allowed).hits.select("id", "bm25")
+    else:
+        total = rows.agg(F.count("*").alias("total"))
+        hits = rows.orderBy(F.desc("authority"), "id").offset(offset).limit(clamp(limit, 1, 100, 20)).select("id", F.lit(None).cast("double").alias("bm25"))
+    shown = rows.join(F.broadcast(hits), "id")  # a page
+    counts = cited.select(F.col("to_doc").alias("id"), "cited_by_count") if cited is not None else rows.select("id", F.lit(0).cast("long").alias("cited_by_count")).limit(0)
+    shown = shown.join(counts, "id", "left").crossJoin(F.broadcast(total))  # one row
+    rank = [F.col("bm25") - F.lit(AUTHORITY_WEIGHT) * F.coalesce("authority", F.lit(0.0)), F.desc("authority"), F.col("id")]
+    columns = ["total", "id", "title", "court", "date", "region", "authority", "bm25", snippet(F.col("text"), query).alias("snippet"), F.coalesce("cited_by_count", F.lit(0)).alias("cited_by_count")]
+    return shown.orderBy(*rank).select(*columns)

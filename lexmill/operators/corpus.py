@@ -97,6 +97,41 @@ def corroborate(provenance: DataFrame, threshold: int = 2) -> DataFrame:
     return whole.select("doc_id", F.col("b.raw_hash").alias("raw_hash"), agreeing.alias("agreeing"), (F.col("all") - agreeing).alias("conflicting"), provenance_class(agreeing, threshold).alias("provenance_class"))
 
 
+def corroboration_report(documents: DataFrame, provenance: DataFrame, valid: Column | None = None, threshold: int = 2) -> DataFrame:
+    """id, provenance_class, raw_hash, agreeing, conflicting, rejected of given documents (AGG-10).
+
+    documents: id. provenance: doc_id, witness, raw_hash, fetched_at; rows of other documents are left out. Rows that ``valid``
+    (a boolean column over them; all are without one) doesn't hold for are counted as rejected before anything else and have
+    no weight. A witness counts once, by its first record; the hash of most witnesses wins, the smaller of tied ones. agreeing: its
+    witnesses in order; conflicting: (witness, raw_hash) of the others. A document without a valid record is manual.
+    """
+    own = provenance.join(documents.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("good", F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True))
+    bad = own.groupBy("doc_id").agg(F.count_if(~F.col("good")).alias("rejected"))
+    first = own.filter("good").groupBy("doc_id", "witness").agg(F.min(F.struct("fetched_at", "raw_hash")).alias("f")).select("doc_id", "witness", "f.raw_hash")
+    best = first.groupBy("doc_id", "raw_hash").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("minus"), "raw_hash")).alias("b")).select("doc_id", F.col("b.raw_hash").alias("best"))
+    sides = first.join(best, "doc_id").groupBy("doc_id").agg(
+        F.first("best").alias("raw_hash"), F.array_sort(F.collect_list(F.when(F.col("raw_hash") == F.col("best"), F.col("witness")))).alias("agreeing"),
+        F.array_sort(F.collect_list(F.when(F.col("raw_hash") != F.col("best"), F.struct("witness", "raw_hash")))).alias("conflicting"),
+    )
+    rows = documents.select("id").distinct().join(sides.withColumnRenamed("doc_id", "id"), "id", "left").join(bad.withColumnRenamed("doc_id", "id"), "id", "left")
+    agreeing = F.coalesce("agreeing", F.expr("cast(array() as array<string>)"))
+    kind = "array<struct<witness:string,raw_hash:string>>"
+    return rows.select("id", provenance_class(F.size(agreeing), threshold).alias("provenance_class"), "raw_hash", agreeing.alias("agreeing"), F.coalesce(F.col("conflicting").cast(kind), F.expr(f"cast(array() as {kind})")).alias("conflicting"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
+
+def courts_listing(judgments: DataFrame, registry: DataFrame) -> DataFrame:
+    """code, name, tier, documents of every court that has documents, by the tier's rank and the code (AGG-3, ORD-8).
+
+    registry: code, name, tier. A court that it doesn't know has its code as its name and the tier ``unknown``, which comes last.
+    """
+    from lexmill.operators.graph import tier_rank
+
+    counted = judgments.groupBy(F.col("court").alias("code")).agg(F.count("*").alias("documents"))
+    named = counted.join(registry.select(F.upper("code").alias("known"), "name", "tier").dropDuplicates(["known"]), F.upper("code") == F.col("known"), "left")
+    out = named.select("code", F.coalesce("name", "code").alias("name"), F.coalesce("tier", F.lit("unknown")).alias("tier"), "documents")
+    return out.orderBy(tier_rank(F.col("tier")), "code")
+
+
 def filters(court: str | None = None, region: str | None = None, year_from: int | None = None, year_to: int | None = None) -> Column:
     """The listing filters, each optional (FLT-1 to FLT-4, FLT-15); years are compared as text and refuse null dates."""
     parts = [F.lit(True)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # The total order of each listing.
 CITATIONS_FROM = ("from_para asc nulls first", "id asc")
@@ -47,6 +48,23 @@ def case(judgments: DataFrame, provenance: DataFrame, cited: DataFrame, cites: D
     return rows.withColumns({"provenance_class": F.coalesce("provenance_class", F.lit("manual")), "cited_by_count": F.coalesce("cited_by_count", F.lit(0)), "cites_count": F.coalesce("cites_count", F.lit(0))})
 
 
+def nodes_by_id(nodes: DataFrame) -> DataFrame:
+    """All nodes in the order of their ids (SRC-18): a range sort, which large results are written in."""
+    return nodes.orderBy("id")
+
+
+def json_columns(rows: DataFrame) -> DataFrame:
+    """``rows`` with arrays, maps and structs as JSON text, for stores that have none (CR-7); null stays null."""
+    nested = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+    return rows.withColumns({c: F.to_json(F.col(c)) for c in nested})
+
+
+def nested_columns(rows: DataFrame, like: StructType) -> DataFrame:
+    """The reverse: JSON text of columns that are nested in ``like``; text that is no such JSON is null."""
+    nested = [f for f in like.fields if f.dataType.typeName() in ("array", "map", "struct")]
+    return rows.withColumns({f.name: F.from_json(F.col(f.name), f.dataType) for f in nested})
+
+
 def write_authority(judgments: DataFrame, scores: DataFrame) -> DataFrame:
     """``judgments`` with the scores (id, score) as their authority; those without a score keep theirs (SNK-6)."""
     new = scores.select("id", F.col("score").alias("__score"))

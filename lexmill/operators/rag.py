@@ -41,6 +41,38 @@ def build_index(chunks: DataFrame, descriptor: str, dimension: int, embed) -> Da
     return raw.select(F.lit(descriptor).alias("descriptor_id"), "doc_id", "para_index", once.alias("vector"))
 
 
+#: The embedder that is known by its name and dimension alone.
+HASHED = "feature-hash"
+
+
+def query_embedder(embedder: str, dimension: int, remote: dict | None = None):
+    """A function from a text column to a vector column, in the space that a descriptor names (VEC-6); null if there is none.
+
+    Hashed embeddings follow from the descriptor. For others ``remote`` has, by name, a function from a dimension to such a
+    function; without one retrieval has words alone, never vectors of another space.
+    """
+    if embedder == HASHED:
+        return lambda text: retrieval.hashed_embedding(text, dimension)
+    make = (remote or {}).get(embedder)
+    return None if make is None else make(dimension)
+
+
+def hits_of_latest(descriptors: DataFrame, vectors: DataFrame, chunks: DataFrame, query: str, nodes: DataFrame, courts: DataFrame, k: int = 10, model: str | None = None, remote: dict | None = None) -> tuple[DataFrame, str]:
+    """Hits and the mode they were found in, over the last index that was built (VEC-9, ORD-14).
+
+    descriptors: descriptor_id, model, dimension, built_at. vectors: descriptor_id, chunk_id, vector. Without a descriptor, or without an
+    embedder for it, only words count.
+    """
+    held = with_latest(descriptors).filter("latest")
+    held = held if model is None else held.filter(F.col("model") == model)
+    last = held.orderBy(F.desc("built_at"), F.desc("descriptor_id")).first()
+    embed = None if last is None else query_embedder(last["model"], last["dimension"], remote)
+    own = None if embed is None else vectors.filter(F.col("descriptor_id") == last["descriptor_id"]).select("chunk_id", "vector")
+    found = hybrid_hits(chunks, own, query, None if embed is None else embed(F.lit(query)), nodes, courts, k)
+    words = found.filter("keyword_rank is not null").limit(1).count() if embed is not None else 1
+    return found, retrieval.mode(words, embed is not None)
+
+
 def replace_index(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """The index table after a build: one descriptor's rows are replaced as a whole, others stay (SNK-8)."""
     return stored.join(F.broadcast(fresh.select("descriptor_id").limit(1)), "descriptor_id", "left_anti").unionByName(fresh)

@@ -9,7 +9,7 @@ from lexmill.functions import citations as cite
 from lexmill.functions import crawl, titles
 from lexmill.functions import text as tx
 from lexmill.operators import attest, corpus, graph, listing, rag, release, retrieval, search
-from lexmill.operators.block_index import BlockIndex
+from lexmill.operators.block_index import BlockIndex, hits_page
 from lexmill.plans import views
 from lexmill.plans.catalog import _HOPS, _linked, _query
 from lexmill.plans.views import with_views
@@ -357,3 +357,40 @@ def own_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.array(F.format_string("[%d] ZACC %d", 1990 + d % 35, n), F.format_string("2020 (3) SA %d (SCA)", n), F.format_string("CCT %d/20", n), F.format_string("2020 (3) SA %d", n))
     found = cite.extract_citations(table(spark, sf_dir, "documents").select("doc_id", F.explode(own).alias("text")))
     return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("citation_key")), ",").alias("keys"))
+
+
+@_query(with_views("j linked", _bm25("j", _WORDS.format("text"), "the", "with") + """, b AS (SELECT to_doc AS id, count(DISTINCT from_doc) AS n FROM linked WHERE from_doc <> to_doc GROUP BY 1),
+    m AS (SELECT s.id, s.bm25, title, court, date, region, authority FROM s JOIN j USING (id) WHERE substr(date, 1, 4) >= '2000')
+    SELECT (SELECT count(*) FROM m) AS total, m.id, title, court, coalesce(date, '') AS date, region, authority, round(bm25, 6) AS bm25, coalesce(b.n, 0) AS cited_by_count FROM m LEFT JOIN b USING (id) ORDER BY m.bm25 - 2.0 * authority, m.id LIMIT 20 OFFSET 5"""))
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later page of a filtered search: the total, and hits with all that a result shows (ORD-1, AGG-1, PRJ-1, FLT-15)."""
+    cited = corpus.cited_by_count(_linked(spark, sf_dir))
+    page = hits_page(views.corpus_index(spark, sf_dir), views.judgments(spark, sf_dir), "the with", corpus.filters(year_from=2000), 20, 5, cited)
+    return page.select("total", "id", "title", "court", F.coalesce("date", F.lit("")).alias("date"), "region", "authority", F.round("bm25", 6).alias("bm25"), "cited_by_count")
+
+
+@_query("""WITH r AS (SELECT upper(lang) || '-' || upper(source) AS code FROM documents), c AS (SELECT code, count(*) AS documents FROM r GROUP BY 1),
+    k AS (SELECT DISTINCT ON (code) code, ['apex', 'appellate', 'high_court', 'tribunal'][1 + length(code) % 4] AS tier FROM c WHERE code NOT LIKE 'FR%')
+    SELECT code, coalesce('Court ' || k.code, c.code) AS name, coalesce(tier, 'unknown') AS tier, documents FROM c LEFT JOIN k USING (code)""")
+def courts_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Courts with names, tiers and documents, by the rank of their tier; some are not in the registry (AGG-3, ORD-8)."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.upper("lang"), F.lit("-"), F.upper("source")).alias("court"))
+    tiers = F.array(*[F.lit(t) for t in ("apex", "appellate", "high_court", "tribunal")])
+    known = docs.select(F.col("court").alias("code")).distinct().filter("code not like 'FR%'").withColumns({"name": F.concat(F.lit("Court "), "code"), "tier": F.element_at(tiers, (1 + F.length("code") % 4).cast("int"))})
+    return corpus.courts_listing(docs, known)
+
+
+@_query(with_views("w", """, v AS (SELECT *, NOT starts_with(sha256(witness || ':' || doc_id::VARCHAR), '0') AS good FROM w WHERE doc_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)),
+    f AS (SELECT doc_id, witness, raw_hash, row_number() OVER (PARTITION BY doc_id, witness ORDER BY fetched_at, raw_hash) AS r FROM v WHERE good), s AS (SELECT doc_id, raw_hash, count(*) AS n FROM f WHERE r = 1 GROUP BY 1, 2),
+    b AS (SELECT doc_id, raw_hash, n FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, raw_hash) = 1)
+    SELECT o.o_orderkey AS id, CASE WHEN coalesce(b.n, 0) >= 2 THEN 'corroborated' WHEN b.n = 1 THEN 'single' ELSE 'manual' END AS provenance_class, coalesce(b.raw_hash, '') AS raw_hash,
+      coalesce((SELECT string_agg(witness, ',' ORDER BY witness) FROM f WHERE f.doc_id = o.o_orderkey AND r = 1 AND f.raw_hash = b.raw_hash), '') AS agreeing,
+      coalesce((SELECT string_agg(witness || '=' || f.raw_hash, ',' ORDER BY witness) FROM f WHERE f.doc_id = o.o_orderkey AND r = 1 AND f.raw_hash <> b.raw_hash), '') AS conflicting,
+      (SELECT count(*) FROM v WHERE v.doc_id = o.o_orderkey AND NOT good) AS rejected FROM orders o LEFT JOIN b ON b.doc_id = o.o_orderkey WHERE o.o_orderkey % 3 = 0"""))
+def corroboration_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence for given documents: who agrees, who does not, and how many records were refused (AGG-10)."""
+    documents = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"))
+    good = ~F.startswith(F.sha2(F.concat("witness", F.lit(":"), F.col("doc_id").cast("string")), 256), F.lit("0"))
+    found = corpus.corroboration_report(documents, views.witness_records(spark, sf_dir), good)
+    pairs = F.transform("conflicting", lambda c: F.concat(c["witness"], F.lit("="), c["raw_hash"]))
+    return found.select("id", "provenance_class", F.coalesce("raw_hash", F.lit("")).alias("raw_hash"), F.array_join("agreeing", ",").alias("agreeing"), F.array_join(pairs, ",").alias("conflicting"), "rejected")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
+from lexmill.sources.registry import region_of_court
 
 PARSED = "uri string, title string, date string, judges array<string>, case_numbers array<string>, neutral_citation string, paragraphs array<struct<number:string,text:string>>, reason string"
 
@@ -58,11 +59,11 @@ def parse_judgment(xml: str | None) -> dict:
     return out
 
 
-def read_judgment_xml(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
+def read_judgment_xml(spark: SparkSession, path: str, region: str | None = None, profiles: dict[str, dict] | None = None, default: str = "ZA") -> DataFrame:
     """Records of the ``.xml`` files of a folder, not of its subfolders (SRC-5, SRC-6).
 
     court is the address's segment behind ``judgment``; without a neutral citation, year and number of the address make one.
-    The region is given, or the court's first two letters.
+    The region is given, or the court's first two letters; with ``profiles`` only if there is one of that code, else ``default``.
     """
     files = spark.read.option("pathGlobFilter", "*.xml").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("location"), "value")
 
@@ -76,7 +77,7 @@ def read_judgment_xml(spark: SparkSession, path: str, region: str | None = None)
     court = F.when(at > 0, F.upper(F.get(parts, at.cast("int"))))
     year, number = F.get(parts, at.cast("int") + 1), F.get(parts, at.cast("int") + 2)
     fallback = F.when(year.rlike("^[0-9]{4}$") & number.rlike("^[0-9]+$"), F.concat(F.lit("["), year, F.lit("] "), court, F.lit(" "), number))
-    rows = rows.withColumns({"court": court, "neutral_citation": F.coalesce("neutral_citation", fallback), "region": F.lit(region) if region else F.substring(court, 1, 2)})
+    rows = rows.withColumns({"court": court, "neutral_citation": F.coalesce("neutral_citation", fallback), "region": F.lit(region) if region else F.substring(court, 1, 2) if profiles is None else region_of_court(court, profiles, default)})
     rows = rows.withColumn("id", tx.document_id(F.array_join(F.transform("paragraphs", lambda p: p.text), "\n\n")))
     reason = F.coalesce("reason", F.when(F.col("court").isNull(), "missing court").when(F.trim(F.coalesce("title", F.lit(""))) == "", "missing title"))
     return rows.withColumn("reason", reason).drop("uri")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tomllib
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.citations import Grammar
@@ -52,6 +52,31 @@ def courts(spark: SparkSession, profiles: dict[str, dict]) -> DataFrame:
     return spark.createDataFrame(rows, "region string, code string, name string, tier string")
 
 
+def series(spark: SparkSession, profiles: dict[str, dict]) -> DataFrame:
+    """region, abbr, name, no_volume of all report series (SRC-27); their names are told apart by case."""
+    rows = [(p["code"], s["abbr"], s.get("name"), bool(s.get("no_volume"))) for p in profiles.values() for s in p["series"]]
+    return spark.createDataFrame(rows, "region string, abbr string, name string, no_volume boolean")
+
+
+def profile_of(code: str, loaded: dict[str, dict], built_in: dict[str, dict] | None = None, default: str = "ZA") -> dict | None:
+    """The profile of a region (SRC-27): a loaded one before a built-in one, whatever the case; of an empty code that of the default."""
+    code = code.strip().upper() or default
+    return loaded.get(code) or (built_in or {}).get(code)
+
+
+def region_of_court(court: Column, profiles: dict[str, dict], default: str) -> Column:
+    """The region that a court's first two letters name, if there is a profile of it; else the default (SRC-6)."""
+    code = F.upper(F.substring(court, 1, 2))
+    return F.when(code.isin(sorted(profiles)), code).otherwise(default)
+
+
+def with_known_courts(rows: DataFrame, known: DataFrame, court: str = "court", region: str = "region") -> DataFrame:
+    """``rows`` with known: whether their region's profile lists their court, whatever the case (SRC-27, FLT-11)."""
+    listed = known.select(F.upper("region").alias("listed_region"), F.upper("code").alias("listed_code")).distinct().withColumn("known", F.lit(True))
+    on = (F.upper(region) == F.col("listed_region")) & (F.upper(court) == F.col("listed_code"))
+    return rows.join(F.broadcast(listed), on, "left").withColumn("known", F.coalesce("known", F.lit(False))).drop("listed_region", "listed_code")  # MOST_ENTRIES a profile
+
+
 def with_court_names(rows: DataFrame, known: DataFrame, court: str = "court") -> DataFrame:
     """``rows`` with court_name, the code where the registry has no name (PRJ-1)."""
     names = known.select(F.col("code").alias("__code"), F.col("name").alias("__name")).dropDuplicates(["__code"])
