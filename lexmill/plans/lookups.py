@@ -10,6 +10,7 @@ from lexmill.functions import crawl, titles
 from lexmill.functions import text as tx
 from lexmill.operators import attest, corpus, graph, listing, rag, release, retrieval, search
 from lexmill.operators.block_index import BlockIndex, hits_page
+from lexmill.operators.metric_index import MetricIndex
 from lexmill.plans import views
 from lexmill.plans.catalog import _HOPS, _linked, _query
 from lexmill.plans.views import with_views
@@ -394,3 +395,14 @@ def corroboration_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = corpus.corroboration_report(documents, views.witness_records(spark, sf_dir), good)
     pairs = F.transform("conflicting", lambda c: F.concat(c["witness"], F.lit("="), c["raw_hash"]))
     return found.select("id", "provenance_class", F.coalesce("raw_hash", F.lit("")).alias("raw_hash"), F.array_join("agreeing", ",").alias("agreeing"), F.array_join(pairs, ",").alias("conflicting"), "rejected")
+
+
+@_query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings),
+    s AS (SELECT q.vec_id AS query_id, u.vec_id AS chunk_id, list_sum(list_transform(range(1, len(u.v) + 1), lambda i: u.v[i] * q.v[i])) / u.n / q.n AS similarity FROM u, u AS q WHERE q.vec_id % 100 = 0)
+    SELECT query_id, rank::INTEGER AS rank, chunk_id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
+def cosine_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar vectors of a batch of queries, from groups around pivots (VEC-3, ORD-11)."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    queries = vectors.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = MetricIndex(spark, Scratch(spark, "metric-index").root).build(vectors).search(queries, 10)
+    return found.select("query_id", "rank", F.col("id").alias("chunk_id"), F.round("similarity", 6).alias("similarity"))

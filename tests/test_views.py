@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
-from lexmill.operators import attest, corpus, graph, listing, rag, retrieval
+from lexmill.operators import attest, corpus, listing, rag, retrieval
 from lexmill.plans import catalog, views
 from lexmill.sources import adapters, registry
 from lexmill.streaming import ingest
@@ -97,9 +97,10 @@ def test_windowed_counts(spark):
 def test_authority_equals_a_plain_rank(spark):
     sf = "/root/testdata/sf0.001"
     got = {r.id: r.authority for r in catalog.queries()["authority_written"](spark, sf).collect()}
-    nodes = views.graph_nodes(spark, sf)
-    edges = [(r.src, r.dst, r.weight) for r in graph.weighted_edges(nodes, views.graph_edges(spark, sf)).collect()]
-    ids = [r.id for r in nodes.collect()]
+    tiers = {0: 1.0, 1: 0.5, 2: 0.1}
+    ids = [r.id for r in views.judgments(spark, sf).select("id").collect()]
+    linked = corpus.resolved_edges(catalog._linked(spark, sf)).collect()
+    edges = [(r.from_doc, r.to_doc, tiers[r.from_doc % 3] * (1 + 0.25 * min(r.paragraph_count - 1, 4))) for r in linked if {r.from_doc, r.to_doc} <= set(ids)]
     out, score = {}, dict.fromkeys(ids, 1 / len(ids))
     for s, _, w in edges:
         out[s] = out.get(s, 0) + w
