@@ -143,7 +143,7 @@ class MetricIndex:
         first = scratch.table(cells(fits.withColumn("within", F.lit(4.0)), True), "home")
         found = scratch.table(self._compared(first, k), "first")
         worst = found.filter("id is not null").groupBy("query").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("s"))
-        rest = fits.join(worst, "query", "left").withColumn("within", F.coalesce(F.sqrt(F.greatest(F.lit(2.0) - 2 * F.col("s"), F.lit(0.0)) + SLACK), F.lit(4.0))).drop("s")
+        rest = fits.join(worst, "query", "left").withColumn("within", F.when(F.col("s").isNull(), 4.0).otherwise(F.sqrt(F.greatest(F.lit(2.0) - 2 * F.col("s"), F.lit(0.0)) + SLACK))).drop("s")
         rest = cells(rest, False).join(first.select("query", F.col("at").alias("had")), "query").filter("at <> had").drop("had")
         found = found.union(self._compared(scratch.table(rest, "rest"), k))
         order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
