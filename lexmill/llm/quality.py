@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.bytewords import _LOWER, mix, text_chunks, word_hashes, words
@@ -21,6 +21,8 @@ from lexmill.session import Scratch, table
 
 #: Hash buckets of features; most sampled rows of each class for the fit; features' pseudo-count; share of the fitted weights.
 BUCKETS, SAMPLE, ALPHA, MIXED = 1 << 17, 4096, 1.0, 0.9
+#: Features of the sample in all, four bytes each where the model is fitted.
+SAMPLE_FEATURES = 1 << 26
 COST, EPOCHS = 0.1, 12
 THRESHOLD = 0.3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -124,8 +126,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows (id, text, label 0 or 1). Without rows of both classes every score is the share of ones."""
+def train(rows: DataFrame, sample: int = SAMPLE, features: int = SAMPLE_FEATURES) -> Model:
+    """A model from rows (id, text, label 0 or 1), fitted on ``sample`` rows of each class and ``features`` features at most. Without rows of both classes every score is the share of ones."""
     counts = rows.select("label", "text").mapInArrow(_class_counts, "feature int, n0 long, n1 long")
     counts = counts.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()  # at most BUCKETS + 1 rows
     sizes = counts[counts["feature"] == -1][["n0", "n1"]].sum().to_numpy(dtype=float)
@@ -138,25 +140,26 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     p = (n + ALPHA) / (sizes[:, None] + 2 * ALPHA)
     scale = np.where(n.sum(axis=0) > 0, np.log(p[1] / p[0]), 0.0)
     order = [F.xxhash64("id"), F.xxhash64("text")]
-    # The bounded sample: ``sample`` ids of each class, then their rows.
-    ids = None
+    # The bounded sample: ``sample`` ids of each class, fewer if their features (a text has no more than bytes) pass ``features``.
+    ids, room = None, Window.orderBy("h0", "h1").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for c in (0, 1):
-        mine = rows.filter(F.col("label") == c).select("id", "label", *[o.alias(f"h{i}") for i, o in enumerate(order)]).orderBy("h0", "h1").limit(sample)
+        mine = rows.filter(F.col("label") == c).select("id", "label", F.least(F.octet_length("text"), F.lit(BUCKETS)).cast("long").alias("size"), *[o.alias(f"h{i}") for i, o in enumerate(order)])
+        mine = mine.orderBy("h0", "h1").limit(sample).withColumn("used", F.sum("size").over(room)).filter(F.col("used") <= max(features // 2, BUCKETS)).drop("size", "used")
         ids = mine if ids is None else ids.union(mine)
     keys = ids.select(F.xxhash64("id", "label").alias("key"), "h1").distinct()
     picked = rows.withColumns({"key": F.xxhash64("id", "label"), "h1": order[1]}).join(F.broadcast(keys), ["key", "h1"], "left_semi")
     # Repeated rows stand once in the sample, which so has 2 * sample rows at most; the counts above have them all.
     found = picked.dropDuplicates(["key", "h1"]).select("label", "text").mapInArrow(_sampled, "label int, features binary").toPandas()
-    features = [np.frombuffer(x, np.int32) for x in found["features"]]
+    own = [np.frombuffer(x, np.int32) for x in found["features"]]
     label = found["label"].to_numpy(dtype=float)
-    order = sorted(range(len(features)), key=lambda i: (features[i].tobytes(), label[i]))  # the same fit at any partitioning
-    features, label = [features[i] for i in order], label[order]
+    order = sorted(range(len(own)), key=lambda i: (own[i].tobytes(), label[i]))  # the same fit at any partitioning
+    own, label = [own[i] for i in order], label[order]
     share = label.mean()
     cost = COST * np.where(label > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
-    w, bias = dual_coordinate_descent(features, scale, np.where(label > 0, 1.0, -1.0), cost)
+    w, bias = dual_coordinate_descent(own, scale, np.where(label > 0, 1.0, -1.0), cost)
     w = MIXED * w + (1 - MIXED) * np.abs(w).mean() * np.sign(w)
     model = Model(scale, w, bias, 1.0, 0.0)
-    margin = np.array([model.margins(f.astype(np.int64), np.zeros(len(f), np.int64), 1)[0] for f in features])
+    margin = np.array([model.margins(f.astype(np.int64), np.zeros(len(f), np.int64), 1)[0] for f in own])
     model.slope, model.offset = _curve(margin, label)
     # The sample has its own share of ones; the scores are for all rows' share.
     prior = sizes[1] / sizes.sum()

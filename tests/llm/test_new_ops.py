@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexmill.llm import decontaminate, fill_middle, jaccard_join, language_id, packing, resample, suffix_dedup, topk, vp_trees
+from lexmill.llm import decontaminate, fill_middle, jaccard_join, language_id, packing, quality, resample, suffix_dedup, topk, vp_trees
 
 SF = "/root/testdata/sf0.001"
 
@@ -271,3 +271,17 @@ def test_suffix_speaks_once(spark):
     as_host = {r.doc_id: r for r in language_id.identify(frame, declared="declared", host="suffix", suffix="suffix").collect()}
     assert alone[99].language == "de" and alone[98].language == "en"
     assert as_host[99].language == "de" and as_host[98].language == "en"
+
+
+def test_the_sample_of_long_rows_is_bounded(spark):
+    words = lambda seed, n: " ".join(f"w{seed}x{i}" for i in range(n))
+    rows = [(i, words(i % 2, 30_000 + i), i % 2) for i in range(24)]
+    frame = spark.createDataFrame(rows, "id long, text string, label int")
+    sizes = []
+    fit = quality.dual_coordinate_descent
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "dual_coordinate_descent", lambda own, *rest: sizes.append(sum(map(len, own))) or fit(own, *rest))
+        few = quality.train(frame, features=6 * quality.BUCKETS)
+        every = quality.train(frame)
+    assert sizes[0] <= 6 * quality.BUCKETS < sizes[1]
+    assert np.sign(few.weights[few.weights != 0]).size > 0 and every.scale.tolist() == few.scale.tolist()  # counts cover all rows
