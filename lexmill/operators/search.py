@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import fold, search_tokens
 from lexmill.operators.corpus import clamp
+from lexmill.session import free_names
 
 # BM25 and the weight of authority in the rank.
 K1, B, AUTHORITY_WEIGHT = 1.2, 0.75, 2.0
@@ -82,6 +83,11 @@ def _hits(tokens: Column, phrase: Phrase) -> Column:
     return F.size(F.filter(places, lambda i: F.coalesce(here(i), F.lit(False))))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(docs: DataFrame, query: str, text: str | tuple[str, ...] = "text", where: Column | None = None) -> DataFrame:
     """``docs`` that hold every phrase (FLT-5), with ``tf`` (an array, one count for each phrase) and ``doc_length``.
 
@@ -89,40 +95,35 @@ def matches(docs: DataFrame, query: str, text: str | tuple[str, ...] = "text", w
     """
     phrases = sanitise(query)
     rows = docs if where is None else docs.filter(where)
-    low = _folded(text)
-    for phrase in phrases:
-        for word in phrase.words:
-            rows = rows.filter(low.contains(word))
-    counted = F.get(F.transform(F.array(_words(text)), lambda w: F.struct(F.array(*[_hits(w, p) for p in phrases]).alias("tf"), _length(w, text).alias("doc_length"))), F.lit(0))
-    found = rows.withColumn("__m", counted).filter(F.forall("__m.tf", lambda x: x > 0))
-    return found.withColumns({"tf": F.col("__m.tf"), "doc_length": F.col("__m.doc_length")}).drop("__m")
+    words = sorted({w for p in phrases for w in p.words})
+    if words:
+        rows = rows.filter(_bound(_folded(text), lambda low: reduce(lambda a, b: a & b, [low.contains(w) for w in words])))
+    (found,) = free_names(rows.columns, "found")
+    counted = _bound(_words(text), lambda w: F.struct(F.array(*[_hits(w, p) for p in phrases]).alias("tf"), _length(w, text).alias("doc_length")))
+    kept = rows.withColumn(found, counted).filter(F.forall(F.col(found)["tf"], lambda x: x > 0))
+    return kept.withColumns({"tf": F.col(found)["tf"], "doc_length": F.col(found)["doc_length"]}).drop(found)
+
+
+def _statistics(docs: DataFrame, query: str, text: str | tuple[str, ...]) -> DataFrame:
+    """One row: n_docs, mean_length, and df, for each phrase the number of documents that hold it; every text is split once."""
+    phrases = sanitise(query)
+    told = _bound(_words(text), lambda w: F.struct(_length(w, text).alias("n"), F.array(*[(_hits(w, p) > 0).cast("int") for p in phrases]).alias("has")))
+    has = [F.coalesce(F.sum(F.col("t.has")[i]), F.lit(0)) for i in range(len(phrases))]
+    return docs.select(told.alias("t")).agg(F.count("*").alias("n_docs"), F.avg(F.coalesce("t.n", F.lit(0))).alias("mean_length"), F.array(*has).alias("df"))
 
 
 def bm25(docs: DataFrame, query: str, text: str | tuple[str, ...] = "text", where: Column | None = None) -> DataFrame:
     """The matching documents with ``bm25``, negative, lower is better (TXT-4). Statistics cover all of ``docs``."""
-    n = len(sanitise(query))
     found = matches(docs, query, text)
-    whole = docs.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(_length(_words(text), text), F.lit(0))).alias("mean_length"))
-    frequency = _document_frequencies(docs, query, text)
-    rows = (found if where is None else found.filter(where)).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(frequency))  # one row each
+    rows = (found if where is None else found.filter(where)).crossJoin(F.broadcast(_statistics(docs, query, text)))  # one row
     score = F.lit(0.0)
-    for i in range(n):
+    for i in range(len(sanitise(query))):
         tf, df = F.col("tf")[i], F.col("df")[i]
         idf = F.greatest(F.log((F.col("n_docs") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("doc_length") / F.col("mean_length")))
     return rows.withColumn("bm25", -score).drop("n_docs", "mean_length", "df")
 
 
-def _document_frequencies(docs: DataFrame, query: str, text: str | tuple[str, ...]) -> DataFrame:
-    """One row: for each phrase the number of documents that hold it."""
-    phrases = sanitise(query)
-    low = _folded(text)
-    maybe = [reduce(lambda a, b: a & b, [low.contains(w) for w in p.words]) for p in phrases]
-    rows = docs.filter(reduce(lambda a, b: a | b, maybe))
-    has = F.get(F.transform(F.array(_words(text)), lambda w: F.array(*[(_hits(w, p) > 0).cast("int") for p in phrases])), F.lit(0))
-    return rows.select(has.alias("h")).agg(F.array(*[F.coalesce(F.sum(F.col("h")[i]), F.lit(0)) for i in range(len(phrases))]).alias("df"))
-
-
 def search(docs: DataFrame, query: str, where: Column | None = None, limit: int | None = 20, offset: int = 0, text: str | tuple[str, ...] = "text") -> DataFrame:
     """A page of matches by relevance less twice the authority, then id (ORD-1); a query without words browses (ORD-2)."""
     if not sanitise(query):
