@@ -48,9 +48,10 @@ class Extraction:
         fresh = texts.join(self.found().select("text_hash"), "text_hash", "left_anti")
         keys = extract_citations(fresh, grammar=self.grammar).groupBy("text_hash").agg(F.collect_set("citation_key").alias("places"))
         rows = fresh.select("text_hash", "part").join(keys, "text_hash", "left").select("text_hash", F.coalesce("places", F.expr("cast(array() as array<string>)")).alias("places"), F.lit(self.version).alias("grammar"), "part")
-        before = self.found().count()
-        rows.write.mode("append").partitionBy("grammar", "part").parquet(f"{self.folder}/found")
-        return self.found().count() - before
+        n = fresh.select("text_hash").count()
+        if n:
+            rows.hint("rebalance", "part").write.mode("append").partitionBy("grammar", "part").parquet(f"{self.folder}/found")
+        return n
 
     def places(self, paragraphs: DataFrame) -> DataFrame:
         """id, idx, citation_key of paragraphs whose texts are held."""
@@ -62,7 +63,7 @@ class Extraction:
         return rows if before is None else rows.filter(F.col("batch") < before)
 
     def _write(self, rows: DataFrame, name: str, batch: int, key: str) -> None:
-        rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/{self.version}/batch={batch}")
+        rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/{self.version}/batch={batch}")
 
     @staticmethod
     def _standing(rows: DataFrame, columns: list[str]) -> DataFrame:

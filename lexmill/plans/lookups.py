@@ -333,13 +333,18 @@ def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", titles.resolve_url(F.col("url"), F.col("href")).alias("link"))
 
 
-@_query(r"""WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages), r(agent, pattern, allow, crawl_delay, signal) AS (VALUES ('*', '/en', false, NULL::DOUBLE, NULL), ('*', '/en/1', true, NULL, NULL),
-    ('goodbot', '/', false, NULL, NULL), ('goodbot', NULL, NULL, 5.0, NULL), ('other', '/', false, NULL, NULL), ('other', NULL, NULL, 5.0, NULL), ('*', NULL, NULL, NULL, 'ai-train=no'), ('last', NULL, NULL, NULL, NULL)) SELECT * FROM h, r""")
+@_query(r"""WITH u AS (SELECT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, split_part(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/', 2) AS first FROM pages),
+    h AS (SELECT host, '/' || min(first) AS path, count(*)::DOUBLE AS pages FROM u GROUP BY host)
+    SELECT host, '*' AS agent, path AS pattern, false AS allow, NULL::DOUBLE AS crawl_delay, NULL AS signal FROM h UNION ALL SELECT host, '*', path || '/1', true, NULL, NULL FROM h
+    UNION ALL SELECT host, a, '/', false, NULL, NULL FROM h, (VALUES ('goodbot'), ('other')) v(a) UNION ALL SELECT host, a, NULL, NULL, pages, NULL FROM h, (VALUES ('goodbot'), ('other')) v(a)
+    UNION ALL SELECT host, '*', NULL, NULL, NULL, 'ai-train=no' FROM h UNION ALL SELECT host, 'last', NULL, NULL, NULL, NULL FROM h""")
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crawl rules parsed from the files that Spark writes for every host (SC-22, SC-23)."""
-    body = "Disallow: /lost\nUser-agent: *\nDisallow: /en\nAllow: /en/1 # but these\nDisallow:\n\nno directive\nUser-Agent: GoodBot/1.2\nuser-agent: other\nDisallow: /\nCrawl-delay: 5\nContent-Signal: AI-train=no\nUser-agent: last\n"
-    files = table(spark, sf_dir, "pages").select(tx.url_part(F.col("url"), "host").alias("host")).distinct().withColumn("body", F.lit(body))
-    return crawl.robots_groups(files).select("host", "agent", "pattern", "allow", "crawl_delay", "signal")
+    """Crawl rules parsed from the files that Spark writes for every host, of its own pages' paths and number (SC-22, SC-23)."""
+    pages = table(spark, sf_dir, "pages").select(tx.url_part(F.col("url"), "host").alias("host"), tx.url_part(F.col("url"), "country").alias("first"))
+    hosts = pages.groupBy("host").agg(F.min("first").alias("path"), F.count("*").cast("string").alias("pages"))
+    lines = ["Disallow: /lost", "User-agent: *", "Disallow: /{path}", "Allow: /{path}/1 # but these", "Disallow:", "", "no directive", "User-Agent: GoodBot/1.2", "user-agent: other", "Disallow: /", "Crawl-delay: {pages}", "Content-Signal: AI-train=no", "User-agent: last", ""]
+    body = F.replace(F.replace(F.lit("\n".join(lines)), F.lit("{path}"), F.col("path")), F.lit("{pages}"), F.col("pages"))
+    return crawl.robots_groups(hosts.select("host", body.alias("body"))).select("host", "agent", "pattern", "allow", "crawl_delay", "signal")
 
 
 @_query(r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages), s(ord, source_id, h) AS (VALUES (1, 'deep', 'x.blog.example.org'), (2, 'org', 'example.org'), (3, 'com', 'Example.com'))

@@ -42,7 +42,8 @@ class LinkStore:
         return rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
 
     def _write(self, rows: DataFrame, name: str, batch: int) -> None:
-        rows.withColumn("bucket", self._bucket(F.col("citation_key"))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/batch={batch}")
+        # Rebalanced: the rows of a key that very many citations name are written by several tasks.
+        rows.withColumn("bucket", self._bucket(F.col("citation_key"))).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/batch={batch}")
 
     @staticmethod
     def _owners(claims: DataFrame) -> DataFrame:
