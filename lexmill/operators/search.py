@@ -17,6 +17,8 @@ from lexmill.session import free_names
 # BM25 and the weight of authority in the rank.
 K1, B, AUTHORITY_WEIGHT = 1.2, 0.75, 2.0
 SNIPPET_TOKENS = 18
+#: Words before the first hit of a snippet, at most.
+SNIPPET_LEAD = 4
 
 
 @dataclass(frozen=True)
@@ -136,7 +138,7 @@ def search(docs: DataFrame, query: str, where: Column | None = None, limit: int
 def snippet(text: Column, query: str) -> Column:
     """Up to 18 words of a text, chosen to hold as many distinct phrases of the query as one cut can; hits are marked (TXT-5).
 
-    Of equally good cuts it is the one whose hits end first; what room they leave stands half before them. Words are runs
+    Of equally good cuts it is the one whose hits end first; half the room that they leave stands before them, four words at most. Words are runs
     between white space; a text without hits is cut at its start. Hits are read once in the order of their ends, with the last
     start of each phrase so far, so the work follows the words and phrases, not pairs of hits.
     """
@@ -176,7 +178,7 @@ def snippet(text: Column, query: str) -> Column:
             """x: the bare words and, for each, which phrases end there."""
             def window(best: Column) -> Column:
                 room = F.greatest(F.lit(SNIPPET_TOKENS) - (best["stop"] - best["start"] + 1), F.lit(0))
-                start = F.greatest(F.least(best["start"] - F.floor(room / 2).cast("int"), F.size(ws) - SNIPPET_TOKENS), F.lit(0))
+                start = F.greatest(F.least(best["start"] - F.least(F.floor(room / 2).cast("int"), F.lit(SNIPPET_LEAD)), F.size(ws) - SNIPPET_TOKENS), F.lit(0))
 
                 def word(w: Column, j: Column) -> Column:
                     i = start + j

@@ -283,7 +283,7 @@ _SNIPPETS = r""", sp AS (SELECT id, string_split_regex(trim(regexp_replace(text,
     l AS (SELECT id, i, max(CASE WHEN k = 'the' THEN i END) OVER w AS t, max(CASE WHEN k = 'with' THEN i END) OVER w AS v FROM h WINDOW w AS (PARTITION BY id ORDER BY i)),
     s AS (SELECT id, i, (coalesce(t > i - 18, false))::INTEGER + (coalesce(v > i - 18, false))::INTEGER AS hits, least(CASE WHEN t > i - 18 THEN t END, CASE WHEN v > i - 18 THEN v END) AS a FROM l),
     o AS (SELECT id, min_by((a, i), (-hits, i)) AS w FROM s GROUP BY id),
-    c AS (SELECT m.id, ws, b, greatest(least(coalesce(w[1], 1) - greatest(18 - (coalesce(w[2], 1) - coalesce(w[1], 1) + 1), 0) // 2, len(ws) - 17), 1) AS a FROM m LEFT JOIN o USING (id))
+    c AS (SELECT m.id, ws, b, greatest(least(coalesce(w[1], 1) - least(greatest(18 - (coalesce(w[2], 1) - coalesce(w[1], 1) + 1), 0) // 2, 4), len(ws) - 17), 1) AS a FROM m LEFT JOIN o USING (id))
     SELECT id, CASE WHEN a > 1 THEN '…' ELSE '' END || array_to_string(list_transform(range(a, least(a + 18, len(ws) + 1)), lambda i: CASE WHEN b[i] IN ('the', 'with') THEN '<mark>' || ws[i] || '</mark>' ELSE ws[i] END), ' ')
       || CASE WHEN len(ws) > a + 17 THEN '…' ELSE '' END AS snippet FROM c"""
 

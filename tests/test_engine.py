@@ -86,7 +86,7 @@ def test_pagerank_of_all_line_items(spark):
                 got[b] += score[a] * w / total
         score = {i: 0.15 / n + 0.85 * (g + loose / n) for i, g in got.items()}
     best = max(score.values())
-    whole = {r.id: r.score for r in catalog.queries()["pagerank_weighted_whole"](spark, SF).collect()}
+    whole = {r.id: r.score for r in catalog.queries()["pagerank_weighted"](spark, SF).collect()}
     top = {r.id: r.score for r in catalog.flagship(spark, SF).collect()}
     assert set(whole) == set(score) and len(top) == min(100, n)
     assert all(abs(whole[i] - s / best) < 2e-6 for i, s in score.items())

@@ -112,7 +112,7 @@ def plain_snippet(text, phrases, size=18):
         if len(inside) > best[0]:
             best = (len(inside), min(inside.values()), end)
     room = max(size - (best[2] - best[1] + 1), 0)
-    start = max(min(best[1] - room // 2, len(words) - size), 0)
+    start = max(min(best[1] - min(room // 2, 4), len(words) - size), 0)
     marked = {j for stop, begin, _ in hits for j in range(begin, stop + 1)}
     shown = [f"<mark>{w}</mark>" if i in marked else w for i, w in enumerate(words)][start : start + size]
     return best[0], ("…" if start > 0 else "") + " ".join(shown) + ("…" if len(words) > start + size else "")
