@@ -167,6 +167,8 @@ class Adjacency:
     def build(self, edges: DataFrame, range_edges: int = RANGE_EDGES) -> Adjacency:
         """Write ``edges`` (src, dst, paragraph_count, all long); those that are there are replaced (CR-4)."""
         real = encoded_edges(edges.select(*(F.col(c).cast("long").alias(c) for c in ("src", "dst", "paragraph_count"))).dropna())
+        real.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/edges")  # else each count, sample and way would group them anew
+        real = self.spark.read.schema("src long, dst long, paragraph_count long").parquet(f"{self.folder}/edges")
         ranges = max(shuffle_partitions(self.spark), -(-real.count() // range_edges))
         for way, keys in (("out", ["src", "dst"]), ("in", ["dst", "src"])):
             rows = real.select(F.col(keys[0]).alias("src"), F.col(keys[1]).alias("dst"), "paragraph_count")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import tasks_for
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the last by ``order`` (SNK-1, SNK-2, SNK-4): partial aggregates, no window."""
@@ -105,7 +107,10 @@ def corroboration_report(documents: DataFrame, provenance: DataFrame, valid: Col
     no weight. A witness counts once, by its first record; the hash of most witnesses wins, the smaller of tied ones. agreeing: its
     witnesses in order; conflicting: (witness, raw_hash) of the others. A document without a valid record is manual.
     """
-    own = provenance.join(documents.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("good", F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True))
+    # Records are dealt once, by document; all groups and joins below stay in these tasks.
+    tasks = tasks_for(provenance.sparkSession, provenance.count())
+    ids = documents.select("id").repartition(tasks, "id").distinct()
+    own = provenance.repartition(tasks, "doc_id").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").withColumn("good", F.coalesce(valid, F.lit(False)) if valid is not None else F.lit(True))
     bad = own.groupBy("doc_id").agg(F.count_if(~F.col("good")).alias("rejected"))
     first = own.filter("good").groupBy("doc_id", "witness").agg(F.min(F.struct("fetched_at", "raw_hash")).alias("f")).select("doc_id", "witness", "f.raw_hash")
     best = first.groupBy("doc_id", "raw_hash").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("minus"), "raw_hash")).alias("b")).select("doc_id", F.col("b.raw_hash").alias("best"))
@@ -113,7 +118,7 @@ def corroboration_report(documents: DataFrame, provenance: DataFrame, valid: Col
         F.first("best").alias("raw_hash"), F.array_sort(F.collect_list(F.when(F.col("raw_hash") == F.col("best"), F.col("witness")))).alias("agreeing"),
         F.array_sort(F.collect_list(F.when(F.col("raw_hash") != F.col("best"), F.struct("witness", "raw_hash")))).alias("conflicting"),
     )
-    rows = documents.select("id").distinct().join(sides.withColumnRenamed("doc_id", "id"), "id", "left").join(bad.withColumnRenamed("doc_id", "id"), "id", "left")
+    rows = ids.join(sides.withColumnRenamed("doc_id", "id"), "id", "left").join(bad.withColumnRenamed("doc_id", "id"), "id", "left")
     agreeing = F.coalesce("agreeing", F.expr("cast(array() as array<string>)"))
     kind = "array<struct<witness:string,raw_hash:string>>"
     return rows.select("id", provenance_class(F.size(agreeing), threshold).alias("provenance_class"), "raw_hash", agreeing.alias("agreeing"), F.coalesce(F.col("conflicting").cast(kind), F.expr(f"cast(array() as {kind})")).alias("conflicting"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
@@ -177,14 +182,15 @@ def length_prefixed(*fields: Column) -> Column:
     return F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
 
 
-def sorted_root(rows: DataFrame, *columns: str) -> DataFrame:
+def sorted_root(rows: DataFrame, *columns: str, tasks: int | None = None) -> DataFrame:
     """One row, ``root``: a digest of all rows, repeated ones included, that does not depend on their order (AGG-20, CR-8).
 
     A hash tree over the sorted row hashes, each with how often it stands: leaves meet by six hex digits, these by
     three, these in the root. A node of the upper levels has at most 4096 children, so no task and no driver holds
-    all rows; equal tables, equal roots.
+    all rows; equal tables, equal roots. ``tasks``: how many tasks the hashes are dealt to, for large tables.
     """
-    own = rows.select(F.sha2(length_prefixed(*[F.col(c) for c in columns]), 256).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    hashes = rows.select(F.sha2(length_prefixed(*[F.col(c) for c in columns]), 256).alias("h"))
+    own = (hashes.repartition(tasks, "h") if tasks else hashes).groupBy("h").agg(F.count("*").alias("n"))
     level = own.select(F.col("h").alias("b"), F.sha2(F.concat("h", F.lit(":"), F.col("n").cast("string")), 256).alias("h"))
     for digits in (6, 3, 0):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: F.concat(x.b, x.h)), "")

@@ -12,7 +12,7 @@ from lexmill.operators import attest, corpus, graph, release, retrieval, search
 from lexmill.operators.ordered import OrderedTable
 from lexmill.plans import views
 from lexmill.plans.views import with_views
-from lexmill.session import table
+from lexmill.session import table, tasks_for
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -523,7 +523,8 @@ def corpus_root(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_tree(f"({with_views('e', 'SELECT * FROM e')})", "src", "dst", "paragraph_count"))
 def graph_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of the graph (AGG-20, GRA-3)."""
-    return corpus.sorted_root(views.graph_edges(spark, sf_dir), "src", "dst", "paragraph_count")
+    tasks = tasks_for(spark, table(spark, sf_dir, "lineitem").count())
+    return corpus.sorted_root(views.graph_edges(spark, sf_dir), "src", "dst", "paragraph_count", tasks=tasks)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

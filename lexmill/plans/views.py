@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.block_index import BlockIndex
-from lexmill.session import Scratch, table
+from lexmill.session import Scratch, table, tasks_for
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,11 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _follows(li: DataFrame) -> DataFrame:
+    tasks = tasks_for(li.sparkSession, li.count())
     step = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
-    pairs = li.select("l_orderkey", F.col("l_partkey").alias("src"), step.alias("dst")).filter("dst is not null and src <> dst")
-    return pairs.groupBy("src", "dst").agg(F.count_distinct("l_orderkey").alias("paragraph_count"))
+    pairs = li.repartition(tasks, "l_orderkey").select("l_orderkey", F.col("l_partkey").alias("src"), step.alias("dst")).filter("dst is not null and src <> dst")
+    once = pairs.distinct().select("src", "dst")  # in the tasks of their orders
+    return once.repartition(tasks, "src", "dst").groupBy("src", "dst").agg(F.count("*").alias("paragraph_count"))
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,31 @@ def test_authority_equals_a_plain_rank(spark):
     top = max(score.values())
     held = {i: score[i] / top for i in got if i in score}
     assert held and all(got[i] == pytest.approx(v, abs=1e-6) for i, v in held.items())
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Line items are dealt to more tasks as they grow, so that no task's share of the graph or of a report grows with the table."""
+    import re
+
+    from lexmill import session
+    from lexmill.operators import corpus
+    from lexmill.plans import views
+
+    def widest(frame):
+        return max(int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", frame._jdf.queryExecution().executedPlan().toString()))
+
+    folder = "/root/testdata/sf0.001"
+    before = sorted(views.graph_edges(spark, folder).collect())
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    edges = views.graph_edges(spark, folder)
+    assert widest(edges) >= 12 and sorted(edges.collect()) == before
+    pairs = set()
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey").collect()
+    rows = sorted((r.l_orderkey, r.l_linenumber, r.l_partkey) for r in rows)
+    for (order, _, part), (other, _, after) in zip(rows, rows[1:], strict=False):
+        if order == other and part != after:
+            pairs.add((part, after, order))
+    assert sum(r.paragraph_count for r in before) == len(pairs) and {(r.src, r.dst) for r in before} == {p[:2] for p in pairs}
+    documents = spark.range(0, 7000, 3)
+    report = corpus.corroboration_report(documents, views.witness_records(spark, folder))
+    assert widest(report) >= 12 and report.count() == documents.count()
