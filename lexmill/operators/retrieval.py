@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +33,13 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector over its length; a zero vector stays (VEC-1)."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+    def over(w: Column) -> Column:
+        """The lambda has the finished length, which would else be computed anew for each number."""
+        scaled = lambda norm: F.when(norm > 0, F.transform(w, lambda x: x.cast("double") / norm)).otherwise(F.transform(w, lambda x: x.cast("double")))
+        return F.get(F.transform(F.array(F.sqrt(dot(w, w))), scaled), F.lit(0))
+
+    return F.get(F.transform(F.array(v), over), F.lit(0))
 
 
 def cosine_top(vectors: DataFrame, query: list[float], k: int, id_col: str = "chunk_id", vector: str = "vector") -> DataFrame:
@@ -61,18 +70,21 @@ def mode(keyword: int, has_vector: bool) -> str:
 def hashed_embedding(text: Column, dimension: int = DIMENSION) -> Column:
     """A vector of hashed words (VEC-4): SHA-256 gives each word a bucket and a sign; the sum has length one.
 
-    The bucket comes from the first seven hex digits, the sign from the parity of the eighth.
+    The bucket comes from the first seven hex digits, the sign from the parity of the eighth. A batch hashes each of its words once.
     """
 
-    def place(w: Column) -> Column:
-        h = F.sha2(w, 256)
-        bucket = F.conv(F.substring(h, 1, 7), 16, 10).cast("int") % dimension
-        return F.struct(bucket.alias("b"), F.when(F.conv(F.substring(h, 8, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
-
-    def summed(ps: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda d: F.aggregate(F.filter(ps, lambda p: p.b == d), F.lit(0.0), lambda a, p: a + p.s))
-
-    return F.get(F.transform(F.array(F.transform(word_tokens(text), place)), lambda ps: unit(summed(ps))), F.lit(0))
+    @F.arrow_udf("array<double>")
+    def summed(words: pa.Array) -> pa.Array:
+        coded = words.flatten().dictionary_encode()
+        digits = np.frombuffer(b"".join(hashlib.sha256(w.encode()).digest()[:4] for w in coded.dictionary.to_pylist()), dtype=">u4").astype(np.int64)
+        bucket, sign = (digits >> 4) % dimension, np.where(digits % 2 == 0, 1.0, -1.0)
+        code, n = coded.indices.to_numpy(), len(words)
+        row = np.repeat(np.arange(n), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        sums = np.bincount(row * dimension + bucket[code], sign[code], n * dimension).astype(np.float64)
+        missing = np.repeat(words.is_null().to_numpy(zero_copy_only=False), dimension)
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dimension), pa.array(sums, mask=missing))
+
+    return unit(summed(word_tokens(text)))
 
 
 def embed_chunks(rows: DataFrame, text: str = "text", dimension: int = DIMENSION) -> DataFrame:

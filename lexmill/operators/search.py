@@ -74,6 +74,9 @@ def postings(docs: DataFrame, text: str = "text", id_col: str = "id") -> DataFra
 def _hits(tokens: Column, phrase: Phrase) -> Column:
     """How often a phrase stands in an array of words (TXT-3)."""
     k = len(phrase.words)
+    if k == 1:  # no places to compare
+        word = phrase.words[0]
+        return F.coalesce(F.size(F.filter(tokens, lambda t: t.startswith(word) if phrase.prefix else t == word)), F.lit(0))
 
     def here(i: Column) -> Column:
         parts = [F.get(tokens, i + j) == w for j, w in enumerate(phrase.words[:-1])]
