@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.functions.text import fold, search_tokens
 from lexmill.operators.corpus import clamp
-from lexmill.session import free_names
+from lexmill.session import apply_settings, free_names
 
 # BM25 and the weight of authority in the rank.
 K1, B, AUTHORITY_WEIGHT = 1.2, 0.75, 2.0
@@ -64,11 +68,38 @@ def fts_documents(judgments: DataFrame, blank: str = r"^(?U)\s*$") -> DataFrame:
     return judgments.withColumns({"text": F.array_join(paragraphs, "\n\n"), "citation": citation})
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of each row's words, by row and then by word."""
+    for batch in batches:
+        lists = batch.column("w")
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        row, code = np.repeat(np.arange(len(sizes)), sizes), words.indices.to_numpy()
+        pos = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        by = np.lexsort((code, row))  # stable: of a row's word, places stand in order
+        row, code, pos = row[by], code[by], pos[by]
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+        tf = np.diff(np.append(first, len(code)))
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(pos.astype(np.int32)))
+        columns = [batch.column("id").take(pa.array(row[first])), words.dictionary.take(pa.array(code[first])), pa.array(sizes[row[first]].astype(np.int32)), places, pa.array(tf)]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "term", "doc_length", "positions", "tf"])
+
+
 def postings(docs: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
-    """id, term, positions, tf, doc_length: one row for each word of each document (TXT-2)."""
+    """id, term, doc_length, positions, tf: one row for each word of each document (TXT-2).
+
+    A text's words are counted where it is read, so none is shuffled; only rows whose id stands more than once meet by it.
+    """
+    apply_settings(docs.sparkSession)
     tokens = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text)).alias("w"))
-    words = tokens.select("id", F.size("w").alias("doc_length"), F.posexplode("w").alias("pos", "term"))
-    return words.groupBy("id", "term", "doc_length").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count("*").alias("tf"))
+    kind = T.StructType([docs.select(F.col(id_col).alias("id")).schema[0], *T.StructType.fromDDL("term string, doc_length int, positions array<int>, tf long").fields])
+    again = docs.groupBy(F.col(id_col).alias("again")).agg(F.count("*").alias("c")).filter("c > 1").select("again")
+    if again.isEmpty():
+        return tokens.mapInArrow(_counted, kind)
+    same = F.col("id").eqNullSafe(F.col("again"))
+    once = tokens.join(again, same, "left_anti").mapInArrow(_counted, kind)
+    more = tokens.join(again, same, "left_semi").mapInArrow(_counted, kind).groupBy("id", "term", "doc_length")
+    return once.unionByName(more.agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"), F.sum("tf").alias("tf")))
 
 
 def _hits(tokens: Column, phrase: Phrase) -> Column:

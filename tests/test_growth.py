@@ -1,4 +1,4 @@
-"""What a query does for each row: no work is repeated for each number of a vector."""
+"""What a query does for each row: no work is repeated for each number of a vector, no word is shuffled, no score is sorted."""
 
 import hashlib
 import math
@@ -32,3 +32,25 @@ def test_a_vector_is_measured_once(spark):
             want[int(h[:7], 16) % 16] += 1 if int(h[7], 16) % 2 == 0 else -1
         norm = math.sqrt(sum(x * x for x in want)) or 1
         assert found == pytest.approx([x / norm for x in want], abs=1e-12)
+
+
+def test_words_are_counted_where_they_are_read(spark):
+    from lexmill.operators import search
+
+    texts = [(1, "b a b"), (2, ""), (3, None), (4, "Ça a"), (5, "a a"), (5, "a b"), (5, "b"), (None, "x"), (None, "x")]
+
+    def want(rows):
+        out = {}
+        for i, t in rows:
+            words = re.findall(r"\w+", (t or "").lower().replace("ç", "c"))
+            for p, w in enumerate(words):
+                out.setdefault((i, w, len(words)), []).append(p)
+        return {k: (sorted(v), len(v)) for k, v in out.items()}
+
+    for rows in (texts[:5], texts):
+        found = search.postings(spark.createDataFrame(rows, "id long, text string"))
+        assert found.columns == ["id", "term", "doc_length", "positions", "tf"]
+        got = found.collect()
+        assert len({r[:3] for r in got}) == len(got) and {tuple(r[:3]): (r.positions, r.tf) for r in got} == want(rows)
+    once = search.postings(spark.createDataFrame(texts[:5], "id long, text string"))
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
