@@ -75,21 +75,24 @@ def reextracted_edges(found: DataFrame, owners: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """id, score of every node, the highest score 1 (GRA-2).
 
-    edges: src, dst, weight. Dangling mass spreads evenly. Shares are written once, in buckets by source, and nodes and
-    scores in as many buckets by id, so an iteration shuffles the partial sums by target alone: a join of shares and
+    edges: src, dst, weight. Dangling mass spreads evenly. Edges are computed once and written in buckets by source, and
+    nodes and scores in as many buckets by id, so an iteration shuffles the partial sums by target alone: a join of edges and
     scores bucket by bucket, the sums, a join with the nodes, and a written table, which cuts the lineage without local
-    checkpoints. The dangling sum of the next iteration is observed while the scores are written.
+    checkpoints. Scores are hashed and edges stream past them, so no iteration sorts the edges. The dangling sum of the
+    next iteration is observed while the scores are written.
     """
     spark = nodes.sparkSession
-    scratch, buckets = Scratch(spark, "pagerank"), min(shuffle_partitions(spark), -(-edges.count() // BUCKET_EDGES) or 1)
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("score"))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out_weight"))
-    shares = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out_weight")).alias("share"))
-    shares = scratch.bucketed(shares.repartition(buckets, "src"), "shares", "src", buckets)
-    known = shares.select(F.col("src").alias("id")).distinct().withColumn("d", F.lit(False))
-    every = nodes.select("id").repartition(buckets, "id").join(known, "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling"))
+    scratch = Scratch(spark, "pagerank")
+    plain = scratch.write(edges.select("src", "dst", "weight"), "edges")
+    edges = scratch.read(plain, edges.select("src", "dst", "weight").schema)
+    buckets = min(shuffle_partitions(spark), -(-edges.count() // BUCKET_EDGES) or 1)
+    edges = scratch.bucketed(edges.repartition(buckets, "src"), "bucketed", "src", buckets)
+    scratch.drop(plain)
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out_weight")).withColumn("d", F.lit(False))
+    every = nodes.select("id").repartition(buckets, "id").join(out, "id", "left").select("id", "out_weight", F.coalesce("d", F.lit(True)).alias("dangling"))
     every = scratch.bucketed(every, "nodes", "id", buckets)
     scores = every.withColumn("score", F.lit(1.0 / n))
     for i in range(iterations + 1):
@@ -99,8 +102,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
         if i == iterations:
             break
         spread = (1 - damping) / n + damping * seen.get["loose"] / n
-        got = shares.join(scores.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        scores = every.join(got, "id", "left").select("id", "dangling", (F.lit(spread) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"))
+        given = scores.filter(~F.col("dangling")).select(F.col("id").alias("src"), (F.col("score") / F.col("out_weight")).alias("given"))
+        got = edges.join(given.hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("given") * F.col("weight")).alias("got"))
+        scores = every.join(got.hint("shuffle_hash"), "id", "left").select("id", "out_weight", "dangling", (F.lit(spread) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"))
     top, schema = seen.get["top"], scores.schema
     last = scratch.read(f"{scratch.root}/{scratch._n:03d}-scores{iterations}", schema)
     scratch.forget()

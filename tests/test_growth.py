@@ -1,4 +1,4 @@
-"""What a query does for each row: no work is repeated for each number of a vector, no word is shuffled, no score is sorted."""
+"""What a query does for each row: no work is repeated for each number of a vector, no word is shuffled, no edge is sorted."""
 
 import hashlib
 import math
@@ -54,3 +54,43 @@ def test_words_are_counted_where_they_are_read(spark):
         assert len({r[:3] for r in got}) == len(got) and {tuple(r[:3]): (r.positions, r.tf) for r in got} == want(rows)
     once = search.postings(spark.createDataFrame(texts[:5], "id long, text string"))
     assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pagerank_computes_its_edges_once_and_sorts_none(spark, monkeypatch):
+    from lexmill.operators import graph
+    from lexmill.session import Scratch
+
+    plans, write, bucketed = [], Scratch.write, Scratch.bucketed
+
+    def seen(fn):
+        def run(self, df, tag, *args):
+            plans.append((tag, df._jdf.queryExecution().executedPlan().toString()))
+            return fn(self, df, tag, *args)
+
+        return run
+
+    monkeypatch.setattr(Scratch, "write", seen(write))
+    monkeypatch.setattr(Scratch, "bucketed", seen(bucketed))
+    pairs = [(a, b, 1.0 + (a * b) % 3) for a in range(9) for b in range(12) if a != b and (a + b) % 4 < 2]  # 9 to 11 cite nothing
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame(pairs, "src long, dst long, weight double").mapInArrow(noted, "src long, dst long, weight double")
+    got = {r.id: r.score for r in graph.pagerank(spark.range(12), edges, iterations=3).collect()}
+    out, score = {}, dict.fromkeys(range(12), 1 / 12)
+    for s, _, w in pairs:
+        out[s] = out.get(s, 0) + w
+    for _ in range(3):
+        fresh = dict.fromkeys(score, 0.15 / 12 + 0.85 * sum(v for i, v in score.items() if i not in out) / 12)
+        for s, d, w in pairs:
+            fresh[d] += 0.85 * score[s] * w / out[s]
+        score = fresh
+    top = max(score.values())
+    assert got == pytest.approx({i: v / top for i, v in score.items()}, abs=1e-12)
+    assert made.value == len(pairs)
+    rounds = [plan for tag, plan in plans if tag in ("scores1", "scores2", "scores3")]
+    assert len(rounds) == 3 and not any("SortMergeJoin" in plan for plan in rounds)
