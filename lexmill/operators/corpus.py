@@ -187,14 +187,16 @@ def sorted_root(rows: DataFrame, *columns: str, tasks: int | None = None) -> Dat
 
     A hash tree over the sorted row hashes, each with how often it stands: leaves meet by six hex digits, these by
     three, these in the root. A node of the upper levels has at most 4096 children, so no task and no driver holds
-    all rows; equal tables, equal roots. ``tasks``: how many tasks the hashes are dealt to, for large tables.
+    all rows; equal tables, equal roots. ``tasks``: how many tasks the hashes are dealt to, for large tables: by six digits,
+    so that leaves are counted and meet where they lie.
     """
     hashes = rows.select(F.sha2(length_prefixed(*[F.col(c) for c in columns]), 256).alias("h"))
-    own = (hashes.repartition(tasks, "h") if tasks else hashes).groupBy("h").agg(F.count("*").alias("n"))
-    level = own.select(F.col("h").alias("b"), F.sha2(F.concat("h", F.lit(":"), F.col("n").cast("string")), 256).alias("h"))
+    hashes = hashes.withColumn("p", F.substring("h", 1, 6))
+    own = (hashes.repartition(tasks, "p") if tasks else hashes).groupBy("p", "h").agg(F.count("*").alias("n"))
+    level = own.select("p", F.col("h").alias("b"), F.sha2(F.concat("h", F.lit(":"), F.col("n").cast("string")), 256).alias("h"))
     for digits in (6, 3, 0):
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: F.concat(x.b, x.h)), "")
-        level = level.groupBy(F.substring("b", 1, digits).alias("b")).agg(F.sha2(joined, 256).alias("h"))
+        level = level.groupBy("p").agg(F.sha2(joined, 256).alias("h")).withColumnRenamed("p", "b").withColumn("p", F.substring("b", 1, max(digits - 3, 0)))
     return level.select(F.col("h").alias("root"))
 
 

@@ -140,3 +140,15 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     documents = spark.range(0, 7000, 3)
     report = corpus.corroboration_report(documents, views.witness_records(spark, folder))
     assert widest(report) >= 12 and report.count() == documents.count()
+
+
+def test_leaves_of_a_root_meet_where_they_are_counted(spark):
+    """Hashes are dealt once, to the given tasks; only the nodes above the leaves travel on."""
+    from lexmill.operators import corpus
+
+    rows = spark.range(5000).selectExpr("id % 3000 AS a", "cast(id % 7 AS string) AS b")
+    dealt = corpus.sorted_root(rows, "a", "b", tasks=40)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 3 and plan.count(", 40)") == 1
+    assert dealt.collect() == corpus.sorted_root(rows, "a", "b").collect() and dealt.count() == 1
+    assert corpus.sorted_root(rows.limit(0), "a", "b", tasks=40).count() == 0
