@@ -9,7 +9,6 @@ from lexmill.functions import citations as cite
 from lexmill.functions import crawl
 from lexmill.functions import text as tx
 from lexmill.operators import attest, corpus, graph, release, retrieval, search
-from lexmill.operators.ordered import OrderedTable
 from lexmill.plans import views
 from lexmill.plans.views import with_views
 from lexmill.session import table, tasks_for
@@ -326,7 +325,7 @@ def search_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(with_views("j", "SELECT id, authority, place FROM (SELECT id, authority, row_number() OVER (ORDER BY authority DESC, id) - 1 AS place FROM j) WHERE place BETWEEN 120 AND 144"))
 def browse_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page far down the order of authority: the ranges that hold it are read, nothing is sorted (ORD-2, PRJ-6)."""
-    return OrderedTable(spark, f"{views.corpus_index(spark, sf_dir).folder}/documents").page(120, 25).select("id", "authority", "place")
+    return views.corpus_order(spark, sf_dir).page(120, 25).select("id", "authority", "place")
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------

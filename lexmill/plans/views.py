@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators.block_index import BlockIndex
+from lexmill.operators.ordered import OrderedTable
 from lexmill.session import Scratch, table, tasks_for
 
 
@@ -93,6 +94,17 @@ def corpus_index(spark: SparkSession, sf_dir: str) -> BlockIndex:
     return _INDEXES[key]
 
 
+_ORDERS: dict[tuple[str, str], OrderedTable] = {}
+
+
+def corpus_order(spark: SparkSession, sf_dir: str) -> OrderedTable:
+    """id, authority of ``judgments`` in the order of authority, without their texts: built at its first use in an application, then opened."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ORDERS:
+        _ORDERS[key] = OrderedTable(spark, Scratch(spark, "corpus-order").root).build(judgments(spark, sf_dir).select("id", "authority"), F.desc("authority"), "id")
+    return _ORDERS[key]
+
+
 #: The views as common table expressions.
 SQL = {
     "j": """SELECT doc_id AS id, upper(source) AS court, upper(lang) AS region, split_part(text, chr(10), 1) AS title,

@@ -94,3 +94,19 @@ def test_pagerank_computes_its_edges_once_and_sorts_none(spark, monkeypatch):
     assert made.value == len(pairs)
     rounds = [plan for tag, plan in plans if tag in ("scores1", "scores2", "scores3")]
     assert len(rounds) == 3 and not any("SortMergeJoin" in plan for plan in rounds)
+
+
+def test_a_page_by_authority_inverts_no_text(spark, tmp_path, monkeypatch):
+    from lexmill.operators.block_index import BlockIndex
+    from lexmill.plans import catalog, views
+
+    ids = [(i,) for i in (*range(-40, 400), *range(1000, 1200, 7))]
+    rows = spark.createDataFrame(ids, "doc_id long").selectExpr("doc_id", "'a text' AS text", "'en' AS lang", "'web' AS source")
+    rows.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(views, "_INDEXES", {})
+    monkeypatch.setattr(BlockIndex, "build", lambda *_: pytest.fail("the index is built"))
+    want = sorted(((r.authority, r.id) for r in views.judgments(spark, str(tmp_path)).collect()), key=lambda x: (-x[0], x[1]))
+    got = catalog.browse_deep_page(spark, str(tmp_path))
+    assert [(r.authority, r.id, r.place) for r in got.collect()] == [(*x, 120 + i) for i, x in enumerate(want[120:145])]
+    held = views.corpus_order(spark, str(tmp_path))
+    assert held._rows().columns == ["id", "authority", "place", "part_of"] and held is views.corpus_order(spark, str(tmp_path))
