@@ -158,6 +158,14 @@ def _decoded(faults: bool):
     return run
 
 
+def _source_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, n: how many edges of each row leave a source."""
+    for edges in _decoded(False)(batches):
+        src = edges.column("src").to_numpy()
+        starts = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(src[starts]), pa.array(np.diff(np.append(starts, len(src))))], names=["id", "n"])
+
+
 class Adjacency:
     """Encoded edges in a folder, both ways."""
 
@@ -215,10 +223,12 @@ class Adjacency:
         return found[0].unionByName(found[1]).orderBy("way", "other")
 
     def degrees(self) -> DataFrame:
-        """id, out_degree, in_degree of all nodes with an edge (GRA-5)."""
-        count = lambda way, name: self.rows(way).mapInArrow(_decoded(False), "src long, dst long, paragraph_count long").groupBy(F.col("src").alias("id")).agg(F.count("*").alias(name))
-        both = count("out", "out_degree").join(count("in", "in_degree"), "id", "full")
-        return both.select("id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("out_degree", "in_degree")))
+        """id, out_degree, in_degree of all nodes with an edge (GRA-5): edges are counted where they lie, the counts meet in as many tasks as there are ranges."""
+        none = F.lit(0).cast("long")
+        out, into = (self.rows(way).mapInArrow(_source_counts, "id long, n long") for way in ("out", "in"))
+        counts = out.select("id", F.col("n").alias("out_degree"), none.alias("in_degree")).union(into.select("id", none, "n"))
+        tasks = max(shuffle_partitions(self.spark), self.ranges("out").count(), self.ranges("in").count())
+        return counts.repartition(tasks, "id").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("out_degree", "in_degree")))
 
     def neighbourhood(self, centre: int, hops: int = 1) -> DataFrame:
         """id, depth of the nodes within ``hops`` (3 at most) of ``centre`` in either direction (GRA-4); nothing for a node without edges."""

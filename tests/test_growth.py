@@ -110,3 +110,24 @@ def test_a_page_by_authority_inverts_no_text(spark, tmp_path, monkeypatch):
     assert [(r.authority, r.id, r.place) for r in got.collect()] == [(*x, 120 + i) for i, x in enumerate(want[120:145])]
     held = views.corpus_order(spark, str(tmp_path))
     assert held._rows().columns == ["id", "authority", "place", "part_of"] and held is views.corpus_order(spark, str(tmp_path))
+
+
+def test_degrees_meet_in_tasks_that_follow_the_ranges(spark):
+    from lexmill.operators.adjacency import Adjacency
+    from lexmill.session import Scratch
+
+    pairs = {(a, b) for a in range(-3, 300) for b in range(0, 300, 1 + a % 60) if a != b} | {(1, b) for b in range(1000, 7000)}
+    frame = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, paragraph_count long").repartition(3)
+    graph = Adjacency(spark, Scratch(spark, "td").root).build(frame, range_edges=500)
+    ranges = max(graph.ranges(way).count() for way in ("out", "in"))
+    found = graph.degrees()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ranges > 10 and re.findall(r"hashpartitioning\(id#?\w*, (\d+)\)", plan) == [str(ranges)]
+    nodes = {x for p in pairs for x in p}
+    out, into = ({x: 0 for x in nodes} for _ in range(2))
+    for a, b in pairs:
+        out[a], into[b] = out[a] + 1, into[b] + 1
+    rows = found.collect()
+    assert len(rows) == len(nodes) and {r.id: (r.out_degree, r.in_degree) for r in rows} == {x: (out[x], into[x]) for x in nodes}
+    assert found.columns == ["id", "out_degree", "in_degree"]
+    assert graph.build(frame.limit(0)).degrees().count() == 0
