@@ -370,7 +370,8 @@ def own_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT (SELECT count(*) FROM m) AS total, m.id, title, court, coalesce(date, '') AS date, region, authority, round(bm25, 6) AS bm25, coalesce(b.n, 0) AS cited_by_count FROM m LEFT JOIN b USING (id) ORDER BY m.bm25 - 2.0 * authority, m.id LIMIT 20 OFFSET 5"""))
 def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A later page of a filtered search: the total, and hits with all that a result shows (ORD-1, AGG-1, PRJ-1, FLT-15)."""
-    cited = corpus.cited_by_count(_linked(spark, sf_dir))
+    cites = views.citations(spark, sf_dir).select("from_doc", "citation_key").distinct()  # places do not count: what repeats goes before rows travel
+    cited = corpus.cited_by_count(corpus.link(cites, corpus.key_owners(views.claims(spark, sf_dir))))
     page = hits_page(views.corpus_index(spark, sf_dir), views.judgments(spark, sf_dir), "the with", corpus.filters(year_from=2000), 20, 5, cited)
     return page.select("total", "id", "title", "court", F.coalesce("date", F.lit("")).alias("date"), "region", "authority", F.round("bm25", 6).alias("bm25"), "cited_by_count")
 

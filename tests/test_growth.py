@@ -131,3 +131,27 @@ def test_degrees_meet_in_tasks_that_follow_the_ranges(spark):
     assert len(rows) == len(nodes) and {r.id: (r.out_degree, r.in_degree) for r in rows} == {x: (out[x], into[x]) for x in nodes}
     assert found.columns == ["id", "out_degree", "in_degree"]
     assert graph.build(frame.limit(0)).degrees().count() == 0
+
+
+def test_a_page_of_hits_links_each_citing_pair_once(spark, tmp_path, monkeypatch):
+    from lexmill.operators import corpus
+    from lexmill.plans import lookups
+
+    places = [(500 * (i % 3) + i % 40, 700 * (i % 2) + i % 15, 1 + i % 7) for i in range(4000)]
+    spark.createDataFrame(places, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, 1) for i in range(800)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    link, count, seen = corpus.link, corpus.cited_by_count, []
+    monkeypatch.setattr(lookups.corpus, "link", lambda cites, owners: seen.append(cites) or link(cites, owners))
+    monkeypatch.setattr(lookups.corpus, "cited_by_count", lambda rows: seen.append(count(rows)) or seen[-1])
+    monkeypatch.setattr(lookups.views, "corpus_index", lambda *_: None)
+    monkeypatch.setattr(lookups, "hits_page", lambda *_: spark.range(0).selectExpr(*(f"id AS {c}" for c in ("total", "id", "title", "court", "date", "region", "authority", "bm25", "cited_by_count"))))
+    monkeypatch.setattr(lookups.views, "judgments", lambda *_: None)
+    lookups.search_page(spark, str(tmp_path))
+    pairs = {(o % 500, p % 700) for o, p, _ in places}
+    assert len(seen) == 2 and seen[0].count() == len(pairs) < len(places) / 2
+    owner = {p % 700: min(q % 500 for q in range(800) if q % 7 and q % 700 == p % 700) for p in range(800) if p % 7}
+    want = {}
+    for doc, key in pairs:
+        if key in owner and owner[key] != doc:
+            want.setdefault(owner[key], set()).add(doc)
+    assert {r.to_doc: r.cited_by_count for r in seen[1].collect()} == {k: len(v) for k, v in want.items()}
